@@ -128,10 +128,15 @@ def matches(value: Column | str, query: str, case_sensitive: bool = False, regex
     target = _col(value)
     if regex:
         return target.rlike(query if case_sensitive else f"(?i){query}")
-    pattern = query if ("%" in query or "_" in query) else f"%{query}%"
+    pattern = _escape(query if ("%" in query or "_" in query) else f"%{query}%")
     return target.like(pattern) if case_sensitive else target.ilike(pattern)
 
 
 def contains_text(value: Column | str, text: str) -> Column:
     """Substring search that always wraps the text; ``%`` and ``_`` keep their LIKE meaning."""
-    return _col(value).ilike(f"%{text}%")
+    return _col(value).ilike(_escape(f"%{text}%"))
+
+
+def _escape(pattern: str) -> str:
+    """A backslash is an ordinary character in the search patterns, but an escape in Spark's LIKE."""
+    return pattern.replace("\\", "\\\\")
