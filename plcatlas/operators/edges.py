@@ -181,9 +181,7 @@ def cross_file_dependencies(graph: Graph, file: str | None = None) -> DataFrame:
 
 def isolated(graph: Graph) -> DataFrame:
     """Units no edge touches. The two ends are united first: an OR in the join would become a nested loop."""
-    touched = graph.relationships.select(F.col("from_id").alias("id")).unionByName(
-        graph.relationships.select(F.col("to_id").alias("id"))
-    )
+    touched = graph.relationships.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
     return graph.pous.join(touched, "id", "left_anti").select("id", "name", "pou_type", "file_path")
 
 

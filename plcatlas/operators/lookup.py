@@ -159,8 +159,8 @@ def search_advanced(
     item = F.when(
         F.col("var_id").isNotNull(), F.struct("var_name", "direction", "var_type", "default_value", "var_id")
     )
-    keys = ["id", "name", "pou_type", "file_path", "start_line"]
-    return paged_lists(rows, keys, {"variables": item}, ["var_id"], page_rows)
+    carry = ["name", "pou_type", "file_path", "start_line"]
+    return paged_lists(rows, ["id"], {"variables": item}, ["var_id"], page_rows, carry)
 
 
 def resolve_entity(graph: Graph, name: str, entity_type: str | None = None, limit: int = 10) -> DataFrame:
@@ -204,28 +204,41 @@ def file_entities(
     return rows if files is None else by_keys(rows, "file_path", files).orderBy("line", "id")
 
 
-def entity_snippets(graph: Graph, corpus: DataFrame, context: int = 5, kinds: tuple[str, ...] = ("POU", "TYPE")) -> DataFrame:
+def entity_snippets(
+    graph: Graph, corpus: DataFrame, context: int = 5, kinds: tuple[str, ...] = ("POU", "TYPE"), page_rows: int = 1000
+) -> DataFrame:
     """Source lines ``start-context .. end+context`` of every entity, kept inside the file.
 
-    One join on the path. Entities of a file outside the corpus keep a line saying so.
+    Entities meet their file as lists, so a file's text is joined and split once per list and not once per entity.
+    Entities of a file outside the corpus keep a line saying so.
     """
-    entities = file_entities(graph, kinds=kinds).select("id", "name", "type", "file_path", F.col("line"))
-    ends = graph.pous.select("id", "end_line").unionByName(graph.types.select("id", "end_line"))
-    entities = entities.join(ends, "id")
-    lines = F.split("content", "\n")
-    total = F.size(lines)
-    first = F.greatest(F.lit(1), F.col("line") - context)
-    last = F.least(total, F.coalesce("end_line", "line") + context)
-    cut = F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "\n")
-    missing = F.col("content").isNull()
-    return entities.join(
-        corpus.select(F.col("path").alias("file_path"), "content"), "file_path", "left"
-    ).select(
-        "id", "name", "type", "file_path", "line",
-        F.when(missing, F.concat(F.lit(NOT_FOUND), "file_path")).otherwise(cut).alias("source"),
-        F.when(missing, F.col("line")).otherwise(first).alias("first_line"),
-        F.when(missing, F.coalesce("end_line", "line")).otherwise(last).alias("last_line"),
+    shape = lambda df, kind, type_column: df.select(
+        F.lit(kind).alias("kind"), "id", "name", F.col(type_column).alias("type"), "file_path",
+        F.col("start_line").alias("line"), F.coalesce("end_line", "start_line").alias("last"),
+    )
+    entities = shape(graph.pous, "POU", "pou_type").unionByName(shape(graph.types, "TYPE", "type_kind"))
+    entities = entities.filter(F.col("kind").isin(*kinds))
+    lists = paged_lists(
+        entities, ["file_path"], {"entities": F.struct("id", "name", "type", "line", "last")}, ["id"], page_rows
+    )
+    texts = corpus.select(F.col("path").alias("file_path"), F.split("content", "\n").alias("lines"))
+
+    def cut(e: Column) -> Column:
+        first = F.greatest(F.lit(1), e["line"] - context)
+        last = F.least(F.size("lines"), e["last"] + context)
+        source = F.array_join(F.slice("lines", first, F.greatest(last - first + 1, F.lit(0))), "\n")
+        missing = F.col("lines").isNull()
+        return F.struct(
+            e["id"].alias("id"), e["name"].alias("name"), e["type"].alias("type"), e["line"].alias("line"),
+            F.when(missing, F.concat(F.lit(NOT_FOUND), "file_path")).otherwise(source).alias("source"),
+            F.when(missing, e["line"]).otherwise(first).alias("first_line"),
+            F.when(missing, e["last"]).otherwise(last).alias("last_line"),
+        )
+
+    cuts = lists.join(texts, "file_path", "left").select(
+        "file_path", F.explode(F.transform("entities", cut)).alias("e")
     )
+    return cuts.select("e.*", "file_path")
 
 
 def variable_flow(graph: Graph, pous: DataFrame | str | None = None, page_rows: int = LIST_ROWS) -> DataFrame:

@@ -46,12 +46,14 @@ def paged_lists(
     lists: dict[str, Column],
     unique: list[str],
     page_rows: int = LIST_ROWS,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Sorted lists per key, at most about ``page_rows`` items in one row.
 
     A key with more rows is spread over several numbered pages by a hash of the columns that make a row unique,
     so a key that holds a large share of the table is neither gathered into one task nor cut off. Every other key
-    has the single page 0. Entries of ``lists`` that are null for a row are left out of that list.
+    has the single page 0. Entries of ``lists`` that are null for a row are left out of that list; ``carry`` names
+    columns that have one value per key.
     """
     heavy = (
         rows.groupBy(*keys)
@@ -66,7 +68,8 @@ def paged_lists(
         ),
     )
     return paged.groupBy(*keys, "page").agg(
-        *[F.sort_array(F.collect_list(item)).alias(name) for name, item in lists.items()]
+        *[F.first(c).alias(c) for c in carry or ()],
+        *[F.sort_array(F.collect_list(item)).alias(name) for name, item in lists.items()],
     )
 
 
