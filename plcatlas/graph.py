@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +20,16 @@ TABLE_SCHEMAS = {
     "references": schemas.REFERENCES,
 }
 
+Source = DataFrame | Callable[[], DataFrame]
+
 
-@dataclass(frozen=True)
 class Graph:
+    """Tables of the code graph as attributes (``graph.pous`` ...).
+
+    A table may be given as a function; it is called when the table is first used, so a query opens no table it does
+    not read. Tables not given are empty, columns not given are null.
+    """
+
     pous: DataFrame
     variables: DataFrame
     variable_lists: DataFrame
@@ -33,20 +40,29 @@ class Graph:
     diagnostics: DataFrame
     references: DataFrame
 
-    @classmethod
-    def of(cls, spark: SparkSession, **frames: DataFrame) -> "Graph":
-        """A graph of the given tables; missing tables are empty, missing columns are null."""
-        tables = {}
-        for name, ddl in TABLE_SCHEMAS.items():
-            df = frames.get(name)
-            tables[name] = schemas.conform(df, ddl) if df is not None else spark.createDataFrame([], ddl)
-        return cls(**tables)
+    def __init__(self, spark: SparkSession, **sources: Source) -> None:
+        unknown = set(sources) - set(TABLE_SCHEMAS)
+        if unknown:
+            raise ValueError(f"unknown tables: {sorted(unknown)}")
+        self.spark = spark
+        self._sources = sources
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in TABLE_SCHEMAS:
+            raise AttributeError(name)
+        source = self._sources.get(name)
+        if source is None:
+            table = self.spark.createDataFrame([], TABLE_SCHEMAS[name])
+        else:
+            table = schemas.conform(source if isinstance(source, DataFrame) else source(), TABLE_SCHEMAS[name])
+        setattr(self, name, table)
+        return table
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: getattr(self, name) for name in TABLE_SCHEMAS}
 
-    def with_tables(self, **frames: DataFrame) -> "Graph":
-        return replace(self, **frames)
+    def with_tables(self, **sources: Source) -> "Graph":
+        return Graph(self.spark, **{**self._sources, **sources})
 
     @property
     def calls(self) -> DataFrame:

@@ -1 +1,15 @@
+"""Jobs and registered queries."""
 
+from __future__ import annotations
+
+from plcatlas.plans.registry import Registry
+
+
+def all_queries() -> Registry:
+    from plcatlas.plans import graph_queries
+
+    merged = Registry()
+    for part in (graph_queries.registry,):
+        for name, query in part.queries.items():
+            merged.define(name, query, part.oracle.get(name))
+    return merged

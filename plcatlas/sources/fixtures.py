@@ -5,11 +5,20 @@ Each view is one SQL text that Spark and DuckDB both run; the oracle SQL uses th
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from plcatlas.graph import Graph
 
-BASE_TABLES = ("part", "supplier", "lineitem", "events")
+BASE_TABLES = {
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
 
 VIEWS = {
     "pous": """
@@ -93,7 +102,7 @@ _NEEDS = {"files": ("pous",), "corpus": ("pous", "variables", "relationships")}
 
 
 def base(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(BASE_TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,7 +119,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     names = ("pous", "variables", "variable_lists", "types", "fields", "relationships", "files", "diagnostics")
-    return Graph.of(spark, **{name: view(spark, sf_dir, name) for name in names})
+    return Graph(spark, **{name: partial(view, spark, sf_dir, name) for name in names})
 
 
 def oracle(body: str, *views: str) -> str:
