@@ -6,10 +6,10 @@ from plcatlas.plans.registry import Registry
 
 
 def all_queries() -> Registry:
-    from plcatlas.plans import graph_queries
+    from plcatlas.plans import corpus_queries, event_queries, graph_queries
 
     merged = Registry()
-    for part in (graph_queries.registry,):
+    for part in (graph_queries.registry, event_queries.registry, corpus_queries.registry):
         for name, query in part.queries.items():
             merged.define(name, query, part.oracle.get(name))
     return merged

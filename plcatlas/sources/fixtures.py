@@ -81,6 +81,36 @@ SELECT event_id AS id, ts, concat('c', CAST(floor(event_id / 2.0) AS BIGINT)) AS
   WHEN 'error' THEN 'index_file_failed' WHEN 'click' THEN 'index_file_done' ELSE 'lsp_progress' END AS kind,
  CASE WHEN event_type IN ('click','view') THEN 'tool_started' WHEN event_type = 'error' THEN 'tool_failed'
   ELSE 'tool_completed' END AS tool_kind, value, props FROM events""",
+    "event_log": """
+SELECT event_id AS id, ts,
+ CASE event_type WHEN 'signup' THEN 'index_started'
+  WHEN 'purchase' THEN CASE WHEN event_id % 9 = 0 THEN 'index_completed' ELSE 'index_done' END
+  WHEN 'error' THEN 'index_file_failed' WHEN 'click' THEN 'index_file_done'
+  ELSE CASE WHEN event_id % 5 = 0 THEN 'sqlite_stats' WHEN event_id % 7 = 0 THEN 'ws_client_connected'
+   ELSE 'lsp_progress' END END AS kind,
+ concat('w', user_id) AS workspace, concat('src/f', user_id % 50 + 1, '.st') AS file,
+ CAST(floor(value) AS INT) AS entities, CAST(floor(value) AS INT) % 7 AS edges, CAST(floor(value) AS BIGINT) AS durationMs,
+ CASE WHEN event_id % 3 = 0 THEN CAST(floor(value) AS INT) % 100 END AS totalFiles,
+ CASE WHEN event_id % 4 < 2 THEN CAST(floor(value) AS INT) % 50 END AS indexedFiles,
+ CASE WHEN event_id % 5 < 3 THEN CAST(floor(value) AS INT) % 10 END AS skippedFiles,
+ CASE WHEN event_id % 6 < 4 THEN CAST(floor(value) AS INT) END AS totalEntities,
+ CASE WHEN event_id % 7 < 4 THEN CAST(floor(value) AS INT) END AS totalEdges,
+ CASE WHEN event_id % 8 < 6 THEN CAST(floor(value) AS BIGINT) END AS totalTimeMs, CAST(event_id % 1000 AS BIGINT) AS duration,
+ CASE event_id % 11 WHEN 0 THEN 'preparing' WHEN 1 THEN 'lsp_open' WHEN 2 THEN 'parsing' WHEN 3 THEN 'extracting'
+  WHEN 4 THEN 'building_edges' WHEN 5 THEN 'resolving' WHEN 6 THEN 'persisting' WHEN 7 THEN 'cleanup'
+  WHEN 8 THEN 'done' END AS stage,
+ CAST(event_id % 100 AS INT) AS pous, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 90 AS INT) END AS variables,
+ CAST(event_id % 80 AS INT) AS types, CAST(event_id % 70 AS INT) AS relationships,
+ CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 60 AS INT) END AS files, event_id AS dbBytes FROM events""",
+    "call_log": """
+SELECT event_id AS id, ts,
+ CASE WHEN event_type IN ('click','view') THEN 'tool_started' WHEN event_type = 'error' THEN 'tool_failed'
+  ELSE 'tool_completed' END AS kind,
+ concat('c', CAST(floor(event_id / 3.0) AS BIGINT)) AS callId,
+ CASE WHEN event_id % 17 > 0 THEN concat('t', user_id % 5) END AS tool,
+ CASE WHEN event_id % 2 = 0 THEN props END AS argsPreview,
+ CASE WHEN event_id % 6 > 0 THEN CAST(floor(value) AS BIGINT) END AS durationMs,
+ CASE WHEN event_id % 5 > 0 THEN props END AS error FROM events""",
     "corpus": """
 SELECT p.id, concat('src/p', substr(p.id, 5), '.st') AS path,
  concat('// unit ', p.name, chr(10), 'FUNCTION_BLOCK ', p.name,
