@@ -232,7 +232,7 @@ def entity_snippets(
             e["id"].alias("id"), e["name"].alias("name"), e["type"].alias("type"), e["line"].alias("line"),
             F.when(missing, F.concat(F.lit(NOT_FOUND), "file_path")).otherwise(source).alias("source"),
             F.when(missing, e["line"]).otherwise(first).alias("first_line"),
-            F.when(missing, e["last"]).otherwise(last).alias("last_line"),
+            F.when(missing, e["last"]).otherwise(last).alias("last_line"), (~missing).alias("found"),
         )
 
     cuts = lists.join(texts, "file_path", "left").select(

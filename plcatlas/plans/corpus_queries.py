@@ -105,7 +105,7 @@ def _snippets(c):
     from plcatlas.graph import Graph
 
     graph = Graph(c.sparkSession, pous=extract.units(extract.extract(c)))
-    return lookup.entity_snippets(graph, c, context=5).withColumn("source_hash", F.md5("source")).drop("source")
+    return lookup.entity_snippets(graph, c, context=5).withColumn("source_hash", F.md5("source")).drop("source", "found")
 
 
 # ---- states: branches of a CASE block over the variables of a unit ----
