@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COMMENTS = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("text", T.StringType())]))
-SCANNED = T.StructType([T.StructField("code", T.StringType()), T.StructField("comments", COMMENTS)])
 
 # a string literal (a doubled quote stays inside it), a line comment, a block opener, a pragma that is no attribute
 _TOKEN = re.compile(r"""'(?:[^']|'')*'?|"(?:[^"]|"")*"?|//[^\n]*|\(\*|\{(?!attribute)[^}]*\}?""")
@@ -68,14 +67,26 @@ def _block(code: str, pos: int) -> tuple[str, int]:
     return "".join(parts), pos
 
 
-@F.pandas_udf(SCANNED)
-def _scan_batch(code: pd.Series) -> pd.DataFrame:
-    rows = [(None, None) if c is None else scan(c) for c in code]
-    return pd.DataFrame(
-        {"code": [r[0] for r in rows], "comments": [r[1] and [{"line": n, "text": t} for n, t in r[1]] for r in rows]}
-    )
+@F.pandas_udf(T.StringType())
+def _strip_batch(code: pd.Series) -> pd.Series:
+    return code.map(lambda c: None if c is None else scan(c)[0])
 
 
-def scanned(content: Column) -> Column:
-    """``(code, comments)`` of a source text; for a text without any comment mark the code is the text itself (null here)."""
-    return _scan_batch(F.when(content.rlike(r"//|\(\*|\{"), content))
+@F.pandas_udf(COMMENTS)
+def _comment_batch(code: pd.Series) -> pd.Series:
+    return code.map(lambda c: None if c is None else [{"line": n, "text": t} for n, t in scan(c)[1]])
+
+
+def _marked(content: Column) -> Column:
+    """The text if it may hold a comment; all other files pass the Python function by as nulls."""
+    return F.when(content.contains("//") | content.contains("(*") | content.contains("{"), content)
+
+
+def stripped(content: Column) -> Column:
+    """The text without comments."""
+    return F.coalesce(_strip_batch(_marked(content)), content)
+
+
+def harvested(content: Column) -> Column:
+    """The comments of a text."""
+    return F.coalesce(_comment_batch(_marked(content)), F.array().cast(COMMENTS))

@@ -31,15 +31,13 @@ ELEMENTARY_TYPES = CONVERTED_TYPES + (
 ).split()
 
 _TYPES = "|".join(CONVERTED_TYPES)
-STANDARD_PATTERN = (
-    f"^(?:{'|'.join(STANDARD_NAMES + TIME_CONVERSIONS)}"
-    f"|(?!(\\w+)_TO_\\1$)(?!W?STRING_TO_BOOL$)(?:{_TYPES})_TO_(?:{_TYPES}))$"
-)
+_CONVERSION = rf"^(?!(\w+)_TO_\1$)(?!W?STRING_TO_BOOL$)(?:{_TYPES})_TO_(?:{_TYPES})$"
 
 
 def is_standard(name: Column | str) -> Column:
     """Whether a name is on the list; the list is case-sensitive."""
-    return (F.col(name) if isinstance(name, str) else name).rlike(STANDARD_PATTERN)
+    value = F.col(name) if isinstance(name, str) else name
+    return value.isin(*STANDARD_NAMES, *TIME_CONVERSIONS) | (value.contains("_TO_") & value.rlike(_CONVERSION))
 
 
 def is_elementary(name: Column | str) -> Column:

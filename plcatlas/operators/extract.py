@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plcatlas.functions.scanner import scanned
+from plcatlas.functions.scanner import harvested, stripped
 from plcatlas.functions.standard import is_standard
 
 NAME = r"[A-Za-z_]\w*"
@@ -31,12 +31,14 @@ _NEXT_LABEL = rf";\s*(?=[\w.#]+(?:\s*(?:,|\.\.)\s*[\w.#]+)*\s*:(?!=)){_OUTSIDE_S
 _BREAK = "\u0001"
 
 _UNIT_START = rf"(?i)^({_UNITS})\s+(?:(?:{MODIFIERS})\s+)*({NAME})"
-_END = rf"(?i)^END_({_UNITS}|TYPE|STRUCT|VAR|CASE)$"
-_SECTION = rf"(?i)^({'|'.join(SECTIONS)})$"
 _TYPE_OPEN = rf"(?i)^TYPE(?:\s+{NAME}|$)"
 _TYPE_NAME = rf"(?i)^(?:TYPE\s+)?({NAME})\s*(?:\(\s*[\w.]+\s*\)\s*)?:(?!=)\s*(.*)$"
-_DECLARATION = rf"({NAME}(?:\s*,\s*{NAME})*)\s*(?:(?i:AT)\s+\S+\s*)?:(?!=)\s*((?:'(?:[^']|'')*'|[^;'])+)"
-_CALL = rf"\b({NAME})\s*\("
+# quantifiers are possessive: a word is tried once and not once per letter
+_WORD = r"[A-Za-z_]\w*+"
+_DECLARATION = (
+    rf"(?<![\w.])({_WORD}(?:\s*+,\s*+{_WORD})*+)\s*+(?:(?i:AT)\s++[^\s:]++\s*+)?:(?!=)\s*+((?:'(?:[^']|'')*+'|[^;'])++)"
+)
+_CALL = rf"\b({_WORD})\s*+\("
 _CASE = r"(?i)^CASE\s+(.+?)\s+OF\b(.*)$"
 _LABEL = r"(?i)^(?:CASE\s+.+?\s+OF\s+)?([\w.#]+(?:\s*(?:,|\.\.)\s*[\w.#]+)*)\s*:(?!=)"
 _ASSIGN = rf"({NAME}(?:\.{NAME})*)\s*:=\s*([\w.#]+)\s*(?:;|$)"
@@ -46,22 +48,18 @@ _CLAUSE = rf"{_HEADER}({NAME})(?:\s+EXTENDS\s+([A-Za-z_][\w.]*))?(?:\s+IMPLEMENT
 
 
 def clean(corpus: DataFrame) -> DataFrame:
-    """``(path, code, comments)``: the text without comments, on the same lines."""
-    scan = corpus.withColumn("_s", scanned(F.col("content")))
-    return scan.select(
-        "path", F.coalesce("_s.code", "content").alias("code"), F.col("_s.comments").alias("comments")
-    )
+    """``(path, code)``: the text without comments, on the same lines."""
+    return corpus.select("path", stripped(F.col("content")).alias("code"))
 
 
-def comments(cleaned: DataFrame) -> DataFrame:
-    return cleaned.select("path", F.explode("comments").alias("c")).select("path", "c.line", "c.text")
+def comments(corpus: DataFrame) -> DataFrame:
+    return corpus.select("path", F.explode(harvested(F.col("content"))).alias("c")).select("path", "c.line", "c.text")
 
 
-def comment_density(cleaned: DataFrame) -> DataFrame:
+def comment_density(corpus: DataFrame) -> DataFrame:
     """Comments and lines per file; computed inside the row."""
-    lines = F.size(F.split("code", "\n", -1))
-    found = F.coalesce(F.size("comments"), F.lit(0))
-    return cleaned.select("path", lines.alias("lines"), found.alias("comments"), (found / lines).alias("density"))
+    found = corpus.select("path", F.size(F.split("content", "\n", -1)).alias("lines"), F.size(harvested(F.col("content"))).alias("comments"))
+    return found.withColumn("density", F.col("comments") / F.col("lines"))
 
 
 def _text(value: Column) -> Column:
@@ -72,48 +70,68 @@ def _text(value: Column) -> Column:
 def segments(cleaned: DataFrame) -> DataFrame:
     """Statements lines ``(path, line, part, text)``: a line is split where a declaration or section keyword stands."""
     code = F.col("code")
+    upper = F.upper(code)
     flat = F.regexp_replace(code, r"\s+", " ")
     heads = F.regexp_extract_all(flat, F.lit(_CLAUSE), F.lit(0))
     lines = cleaned.select(
-        "path", code.rlike(r"(?i)\bEND_TYPE\b").alias("has_types"), code.rlike(r"(?i)\bEND_CASE\b").alias("has_cases"),
-        F.when(code.rlike(r"(?i)\b(?:EXTENDS|IMPLEMENTS)\b"), heads).alias("heads"),
+        "path", upper.contains("END_TYPE").alias("has_types"), upper.contains("END_CASE").alias("has_cases"),
+        F.when(upper.contains("EXTENDS") | upper.contains("IMPLEMENTS"), heads).alias("heads"),
         F.posexplode(F.split("code", "\n", -1)).alias("line", "text"),
     )
     # headers belong to the file; its first line carries them
     lines = lines.withColumn("heads", F.when(F.col("line") == 0, F.col("heads")))
-    marked = F.regexp_replace(F.regexp_replace("text", _ALONE, f"{_BREAK}$1{_BREAK}"), _HEAD, _BREAK)
-    # branches of a CASE that share a line
-    marked = F.when(F.col("has_cases"), F.regexp_replace(marked, _NEXT_LABEL, f";{_BREAK}")).otherwise(marked)
+    # plain substring tests come first: few lines hold a keyword, and only those meet the patterns
+    big, text = F.col("_big"), F.col("text")
+    lines = lines.withColumn("_big", F.upper("text"))
+    for wanted, pattern, to in (
+        (_any_of(big, "END_", "VAR", "STRUCT"), _ALONE, f"{_BREAK}$1{_BREAK}"),
+        (_any_of(big, *OUTER_KINDS, *INNER_KINDS, "TYPE"), _HEAD, _BREAK),
+        # branches of a CASE that share a line
+        (F.col("has_cases"), _NEXT_LABEL, f";{_BREAK}"),
+    ):
+        lines = lines.withColumn("text", F.when(wanted, F.regexp_replace(text, pattern, to)).otherwise(text))
     parts = lines.select("path", "has_types", "has_cases", "heads", (F.col("line") + 1).alias("line"),
-                         F.posexplode(F.split(marked, _BREAK, -1)).alias("part", "text"))
+                         F.posexplode(F.split("text", _BREAK, -1)).alias("part", "text"))
     parts = parts.withColumn("heads", F.when(F.col("part") == 0, F.col("heads")))
-    trimmed = F.regexp_replace("text", r"^\s+|\s+$", "")
+    trimmed = F.btrim(F.col("text"), F.lit(" \t\r\f\u000b\u00a0"))
     return parts.withColumn("text", trimmed).filter("text <> '' OR heads IS NOT NULL")
 
 
+def _any_of(value: Column, *words: str) -> Column:
+    found = value.contains(words[0])
+    for word in words[1:]:
+        found = found | value.contains(word)
+    return found
+
+
 def line_facts(parts: DataFrame) -> DataFrame:
     """The facts of every segment; segments without any are dropped."""
-    text = F.col("text")
+    parts = parts.withColumn("_big", F.upper("text"))
+    text, big = F.col("text"), F.col("_big")
+    nothing = F.array().cast("array<string>")
+    is_unit = big.startswith("FUNCTION")
+    for kind in OUTER_KINDS + INNER_KINDS:
+        is_unit = is_unit | big.startswith(kind)
+    ends = [f"END_{k}" for k in (*OUTER_KINDS, *INNER_KINDS, "TYPE", "STRUCT", "VAR", "CASE")]
     calls = F.filter(
         F.array_distinct(F.regexp_extract_all(text, F.lit(_CALL), F.lit(1))),
         lambda c: ~c.startswith("_") & ~is_standard(c),
     )
     rows = parts.select(
         "path", "line", "part", "has_types", "has_cases", "text", "heads",
-        _text(F.upper(F.regexp_extract(text, _UNIT_START, 1))).alias("unit_kind"),
-        _text(F.regexp_extract(text, _UNIT_START, 2)).alias("unit_name"),
-        _text(F.upper(F.regexp_extract(text, _END, 1))).alias("end_kind"),
-        _text(F.upper(F.regexp_extract(text, _SECTION, 1))).alias("section_kind"),
-        text.rlike(_TYPE_OPEN).alias("type_open"),
-        (F.upper(text) == "STRUCT").alias("struct_open"),
-        F.regexp_extract_all(text, F.lit(_DECLARATION), F.lit(1)).alias("names"),
-        F.regexp_extract_all(text, F.lit(_DECLARATION), F.lit(2)).alias("types"),
-        calls.alias("calls"),
-        _text(F.regexp_extract(text, _CASE, 1)).alias("case_of"),
+        F.when(is_unit, _text(F.upper(F.regexp_extract(text, _UNIT_START, 1)))).alias("unit_kind"),
+        F.when(is_unit, _text(F.regexp_extract(text, _UNIT_START, 2))).alias("unit_name"),
+        F.when(big.isin(*ends), F.substr(big, F.lit(5))).alias("end_kind"),
+        F.when(big.isin(*SECTIONS), big).alias("section_kind"),
+        F.when(big.startswith("TYPE"), text.rlike(_TYPE_OPEN)).otherwise(False).alias("type_open"),
+        (big == "STRUCT").alias("struct_open"),
+        F.when(text.contains(":"), F.regexp_extract_all(text, F.lit(_DECLARATION), F.lit(0))).otherwise(nothing).alias("declared"),
+        F.when(text.contains("("), calls).otherwise(nothing).alias("calls"),
+        F.when(big.startswith("CASE"), _text(F.regexp_extract(text, _CASE, 1))).alias("case_of"),
     )
     keep = (
         F.col("unit_kind").isNotNull() | F.col("end_kind").isNotNull() | F.col("section_kind").isNotNull()
-        | F.col("has_types") | F.col("has_cases") | (F.size("names") > 0) | (F.size("calls") > 0)
+        | F.col("has_types") | F.col("has_cases") | (F.size("declared") > 0) | (F.size("calls") > 0)
         | F.col("heads").isNotNull()
     )
     in_types, in_cases = F.col("has_types"), F.col("has_cases")
@@ -175,7 +193,7 @@ def with_scopes(facts: DataFrame) -> DataFrame:
     parent = F.when(inner["name"].isNotNull(), outer["name"])
     scope = F.coalesce(inner["name"], outer["name"])
     return second.select(
-        "path", "line", "part", "text", "heads", "unit_kind", "unit_name", "end_kind", "names", "types", "calls", "case_of",
+        "path", "line", "part", "text", "heads", "unit_kind", "unit_name", "end_kind", "declared", "calls", "case_of",
         _text(F.col("section")).alias("section"), "in_type", "in_struct", F.col("_starts").alias("type_start"),
         F.when(F.col("in_type") & F.col("type.name").isNotNull(), F.col("type")).alias("type"),
         scope.alias("scope"), parent.alias("parent"), F.coalesce(inner["kind"], outer["kind"]).alias("scope_kind"),
@@ -246,21 +264,25 @@ def units(facts: DataFrame, now_ms: int | None = None) -> DataFrame:
     )
 
 
+def _var_type(declared: Column) -> Column:
+    """The type of a declaration ``names : type := default``."""
+    return F.regexp_replace(F.regexp_extract(F.regexp_extract(declared, _DECLARATION, 2), r"(?s)^(.*?)\s*(?::=|$)", 1), r"\s+$", "")
+
+
 def _declared(rows: DataFrame) -> DataFrame:
     """One row per declared name, with type and default apart."""
-    pairs = F.explode(F.arrays_zip("names", "types")).alias("d")
-    one = rows.select(*rows.columns, pairs)
-    declared = F.regexp_replace("d.types", r"\s+$", "")
+    keep = [c for c in rows.columns if c != "declared"]
+    one = rows.select(*keep, F.explode("declared").alias("d"))
+    default = F.regexp_replace(F.regexp_extract(F.regexp_extract("d", _DECLARATION, 2), r"(?s):=\s*(.*)$", 1), r"\s+$", "")
     return one.select(
-        *rows.columns, F.explode(F.split("d.names", r"\s*,\s*")).alias("name"),
-        F.regexp_replace(F.regexp_extract(declared, r"(?s)^(.*?)\s*(?::=|$)", 1), r"\s+$", "").alias("var_type"),
-        _text(F.regexp_extract(declared, r"(?s):=\s*(.*)$", 1)).alias("default_value"),
+        *keep, F.explode(F.split(F.regexp_extract("d", _DECLARATION, 1), r"\s*,\s*")).alias("name"),
+        _var_type(F.col("d")).alias("var_type"), _text(default).alias("default_value"),
     )
 
 
 def variables(facts: DataFrame) -> DataFrame:
-    rows = facts.filter("section IS NOT NULL AND pou_id IS NOT NULL AND NOT in_type AND size(names) > 0")
-    rows = _declared(rows.select("path", "line", "part", "pou_id", "section", "names", "types"))
+    rows = facts.filter("section IS NOT NULL AND pou_id IS NOT NULL AND NOT in_type AND size(declared) > 0")
+    rows = _declared(rows.select("path", "line", "part", "pou_id", "section", "declared"))
     return (
         rows.groupBy(F.concat(F.lit("st:var:"), "pou_id", F.lit(":"), "name").alias("id"))
         .agg(F.min(F.struct("line", "part", "pou_id", "name", "section", "var_type", "default_value", "path")).alias("v"))
@@ -273,8 +295,8 @@ def variables(facts: DataFrame) -> DataFrame:
 
 def global_lists(facts: DataFrame) -> DataFrame:
     """Variables of VAR_GLOBAL sections outside of any unit."""
-    rows = facts.filter("section = 'VAR_GLOBAL' AND pou_id IS NULL AND NOT in_type AND size(names) > 0")
-    rows = _declared(rows.select("path", "line", "section", "names", "types"))
+    rows = facts.filter("section = 'VAR_GLOBAL' AND pou_id IS NULL AND NOT in_type AND size(declared) > 0")
+    rows = _declared(rows.select("path", "line", "section", "declared"))
     return (
         rows.groupBy(F.concat(F.lit("st:list:"), "path", F.lit(":"), "name").alias("id"))
         .agg(F.min(F.struct("line", "path", "name", "section")).alias("v"))
@@ -291,10 +313,10 @@ def types(facts: DataFrame, now_ms: int | None = None) -> DataFrame:
     """Types of TYPE blocks: STRUCT with fields, ENUM with values, any other as TYPE."""
     rows = facts.filter("in_type AND type IS NOT NULL")
     def named(d: Column) -> Column:
-        kind = F.regexp_extract(d["types"], r"(?s)^(.*?)\s*(?::=|$)", 1)
-        return F.transform(F.split(d["names"], r"\s*,\s*"), lambda n: F.struct(n.alias("name"), kind.alias("type")))
+        names = F.split(F.regexp_extract(d, _DECLARATION, 1), r"\s*,\s*")
+        return F.transform(names, lambda n: F.struct(n.alias("name"), _var_type(d).alias("type")))
 
-    field = F.when(F.col("in_struct"), F.flatten(F.transform(F.arrays_zip("names", "types"), named)))
+    field = F.when(F.col("in_struct"), F.flatten(F.transform("declared", named)))
     blocks = rows.groupBy("path", F.col("type.name").alias("name"), F.col("type.line").alias("line")).agg(
         F.max("line").alias("last_line"),
         F.max(F.col("in_struct").cast("int")).alias("is_struct"),
@@ -326,8 +348,8 @@ def types(facts: DataFrame, now_ms: int | None = None) -> DataFrame:
 
 
 def fields(facts: DataFrame) -> DataFrame:
-    rows = facts.filter("in_struct AND type IS NOT NULL AND size(names) > 0").withColumn("owner", F.col("type.name"))
-    rows = _declared(rows.select("path", "line", "part", "owner", "names", "types"))
+    rows = facts.filter("in_struct AND type IS NOT NULL AND size(declared) > 0").withColumn("owner", F.col("type.name"))
+    rows = _declared(rows.select("path", "line", "part", "owner", "declared"))
     parent = _type_id("path", "owner")
     return (
         rows.groupBy(F.concat(F.lit("st:field:"), parent, F.lit(":"), "name").alias("id"))

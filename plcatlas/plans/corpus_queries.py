@@ -64,10 +64,10 @@ facts_query("call_sites", lambda f: extract.call_sites(f).select("path", "line",
             f"WITH {_PLACES} SELECT path, line, pou_id, callee FROM sites", *ALL)
 facts_query("header_clauses", lambda f: extract.clauses(f).select("path", "name", "extends"),
             f"WITH {_PLACES} SELECT file_path AS path, name, extends FROM units WHERE extends IS NOT NULL", *ALL)
-corpus_query("source_comments", lambda c: extract.comments(extract.clean(c)), f"""WITH {_PLACES}
+corpus_query("source_comments", extract.comments, f"""WITH {_PLACES}
 SELECT path, CAST(1 AS INT) AS line, concat('unit ', name) AS text FROM places
 UNION ALL SELECT file_path, start_line, name FROM declared UNION ALL SELECT path, line, 'call' FROM sites""", *ALL)
-corpus_query("comment_density", lambda c: extract.comment_density(extract.clean(c)).select("path", "lines", "comments"), f"""
+corpus_query("comment_density", lambda c: extract.comment_density(c).select("path", "lines", "comments"), f"""
 WITH {_PLACES} SELECT path, CAST(4 + 3 * vars + calls AS INT) AS lines, CAST(1 + vars + calls AS INT) AS comments FROM places""", *ALL)
 corpus_query("attributed_calls", lambda c: _attributed(extract.extract(c)),
              f"WITH {_PLACES} SELECT path, line, callee, pou_id FROM sites", *ALL)

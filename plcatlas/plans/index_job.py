@@ -31,13 +31,14 @@ class Indexed:
 def declarations(corpus: DataFrame, options: Options, facts: DataFrame | None = None) -> Graph:
     """Units, variables, types, fields, globals, files and unresolved references of a corpus.
 
-    The facts are written once; every table is a projection of them.
+    The facts are written once and every table is read off them; so are the tables that several others need. All of
+    these are narrow next to the texts, which are read twice: here and for their fingerprints.
     """
     facts = cut_lineage(extract.extract(corpus)) if facts is None else facts
-    pous = extract.units(facts, options.now_ms)
-    variables = extract.variables(facts)
-    types = extract.types(facts, options.now_ms)
-    refs = resolve.references(extract.call_sites(facts), pous, variables, options.resolve_instances)
+    pous = cut_lineage(extract.units(facts, options.now_ms))
+    variables = cut_lineage(extract.variables(facts))
+    types = cut_lineage(extract.types(facts, options.now_ms))
+    refs = cut_lineage(resolve.references(extract.call_sites(facts), pous, variables, options.resolve_instances))
     counts = (
         pous.select(F.col("file_path").alias("path"), F.lit(1).alias("p"), F.lit(0).alias("v"))
         .unionByName(variables.select(F.col("file_path").alias("path"), F.lit(0).alias("p"), F.lit(1).alias("v")))
@@ -63,7 +64,8 @@ def edges(refs: DataFrame, pous: DataFrame, graph: Graph, options: Options) -> D
 def build(corpus: DataFrame, options: Options) -> Indexed:
     """The graph of a whole corpus and the rows that found no place in it."""
     declared = declarations(corpus, options)
-    graph = declared.with_tables(relationships=edges(declared.references, declared.pous, declared, options))
+    found = cut_lineage(edges(declared.references, declared.pous, declared, options))
+    graph = declared.with_tables(relationships=found)
     graph, rejects = resolve.validate(graph)
     missing = resolve.unresolved(
         declared.references.filter("type IN ('EXTENDS', 'IMPLEMENTS')"), resolve.name_table(declared.pous, declared.types)
@@ -108,7 +110,6 @@ def apply(store: GraphStore, corpus: DataFrame, touched: DataFrame, options: Opt
         return
     places = touched.select(F.col("path").alias("file_path"))
     new = declarations(corpus, options)
-    new = new.with_tables(**{n: cut_lineage(getattr(new, n)) for n in ("pous", "types", "variables", "references")})
     merged = {
         n: getattr(old, n).join(places, "file_path", "left_anti").unionByName(getattr(new, n))
         for n in ("pous", "types", "references")

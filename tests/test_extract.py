@@ -196,9 +196,8 @@ def test_base_type(spark):
 def test_comments_and_coverage(spark):
     files = {"a.st": "// one\nPROGRAM P\nEND_PROGRAM (* two *)\n", "b.st": "FUNCTION_BLOCK F\n", "c.st": "x := 1;"}
     frame = corpus(spark, files)
-    cleaned = extract.clean(frame)
-    assert records(extract.comments(cleaned)) == [("a.st", 1, "one"), ("a.st", 3, "two")]
-    assert records(extract.comment_density(cleaned), "path", "lines", "comments") == [("a.st", 4, 2), ("b.st", 2, 0), ("c.st", 1, 0)]
+    assert records(extract.comments(frame)) == [("a.st", 1, "one"), ("a.st", 3, "two")]
+    assert records(extract.comment_density(frame), "path", "lines", "comments") == [("a.st", 4, 2), ("b.st", 2, 0), ("c.st", 1, 0)]
     rows = index_job.coverage(extract.extract(frame), frame)
     assert records(rows) == [("a.st", "parsed"), ("b.st", "failed"), ("c.st", "failed")]
     assert records(index_job.coverage_summary(rows)) == [(3, 1, 2, 33.3)]
