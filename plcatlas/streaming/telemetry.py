@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from plcatlas.operators import telemetry
-from plcatlas.session import ensure_checkpoint_dir
 
 WATERMARK = "10 minutes"
 
@@ -114,9 +113,11 @@ def follow_runs(events: DataFrame, follower: RunFollower, checkpoint: str) -> St
     )
 
 
-def drain(df: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None) -> None:
-    """Run a stream over what is there and write its rows as parquet; in other modes than append the last batch stays."""
-    checkpoint = checkpoint or f"{ensure_checkpoint_dir(df.sparkSession)}/stream-{abs(hash(path))}"
+def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+    """Run a stream over what is there and write its rows as parquet.
+
+    Append mode adds rows; complete mode keeps the last result.
+    """
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", path).start()
@@ -127,6 +128,6 @@ def drain(df: DataFrame, path: str, mode: str = "append", checkpoint: str | None
 
 def _keep_last(path: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
     return write
