@@ -34,12 +34,22 @@ _TYPES = "|".join(CONVERTED_TYPES)
 _CONVERSION = rf"^(?!(\w+)_TO_\1$)(?!W?STRING_TO_BOOL$)(?:{_TYPES})_TO_(?:{_TYPES})$"
 
 
+def standard_names() -> Column:
+    """The plain names as a constant array."""
+    return F.split(F.lit(" ".join((*STANDARD_NAMES, *TIME_CONVERSIONS))), " ")
+
+
+def is_conversion(name: Column) -> Column:
+    return name.contains("_TO_") & name.rlike(_CONVERSION)
+
+
 def is_standard(name: Column | str) -> Column:
     """Whether a name is on the list; the list is case-sensitive."""
     value = F.col(name) if isinstance(name, str) else name
-    return value.isin(*STANDARD_NAMES, *TIME_CONVERSIONS) | (value.contains("_TO_") & value.rlike(_CONVERSION))
+    return F.array_contains(standard_names(), value) | is_conversion(value)
 
 
 def is_elementary(name: Column | str) -> Column:
     """Whether a type name belongs to the language; such names are the most frequent ones and never lead to an edge."""
-    return F.upper(F.col(name) if isinstance(name, str) else name).isin(*ELEMENTARY_TYPES)
+    value = F.col(name) if isinstance(name, str) else name
+    return F.array_contains(F.split(F.lit(" ".join(ELEMENTARY_TYPES)), " "), F.upper(value))

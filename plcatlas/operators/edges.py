@@ -100,9 +100,12 @@ def targets(graph: Graph, names: DataFrame | str | None = None) -> DataFrame:
     return unit.join(type_, "name", "full").select("name", F.coalesce("pou_id", "type_id").alias("id"))
 
 
-def direct_dependents(graph: Graph, names: DataFrame | str | None = None) -> DataFrame:
-    """Units with an edge to the named entity, one row per edge."""
-    found = targets(graph, names).select(F.col("name").alias("target"), F.col("id").alias("to_id"))
+def direct_dependents(
+    graph: Graph, names: DataFrame | str | None = None, found: DataFrame | None = None
+) -> DataFrame:
+    """Units with an edge to the named entity, one row per edge; ``found`` is ``targets`` where that is at hand."""
+    found = targets(graph, names) if found is None else found
+    found = found.select(F.col("name").alias("target"), F.col("id").alias("to_id"))
     edges = graph.relationships.select(
         F.col("id").alias("edge_id"), "from_id", "to_id", F.col("type").alias("rel_type")
     )

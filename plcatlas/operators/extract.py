@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plcatlas.functions.scanner import harvested, stripped
-from plcatlas.functions.standard import is_standard
+from plcatlas.functions.standard import is_conversion, standard_names
 
 NAME = r"[A-Za-z_]\w*"
 OUTER_KINDS = ("FUNCTION_BLOCK", "PROGRAM", "FUNCTION", "CLASS", "INTERFACE")
@@ -114,8 +114,8 @@ def line_facts(parts: DataFrame) -> DataFrame:
         is_unit = is_unit | big.startswith(kind)
     ends = [f"END_{k}" for k in (*OUTER_KINDS, *INNER_KINDS, "TYPE", "STRUCT", "VAR", "CASE")]
     calls = F.filter(
-        F.array_distinct(F.regexp_extract_all(text, F.lit(_CALL), F.lit(1))),
-        lambda c: ~c.startswith("_") & ~is_standard(c),
+        F.array_except(F.regexp_extract_all(text, F.lit(_CALL), F.lit(1)), standard_names()),
+        lambda c: ~c.startswith("_") & ~is_conversion(c),
     )
     rows = parts.select(
         "path", "line", "part", "has_types", "has_cases", "text", "heads",

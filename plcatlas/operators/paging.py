@@ -47,18 +47,19 @@ def paged_lists(
     unique: list[str],
     page_rows: int = LIST_ROWS,
     carry: list[str] | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Sorted lists per key, at most about ``page_rows`` items in one row.
 
     A key with more rows is spread over several numbered pages by a hash of the columns that make a row unique,
     so a key that holds a large share of the table is neither gathered into one task nor cut off. Every other key
     has the single page 0. Entries of ``lists`` that are null for a row are left out of that list; ``carry`` names
-    columns that have one value per key.
+    columns that have one value per key. ``counts`` (``*keys, _n``) saves counting the rows where that is known.
     """
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     heavy = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > page_rows)
+        counts.filter(F.col("_n") > page_rows)
         .select(*keys, F.ceil(F.col("_n") / page_rows).cast("int").alias("_pages"))
     )
     paged = rows.join(heavy, keys, "left").withColumn(

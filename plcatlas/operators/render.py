@@ -15,6 +15,7 @@ from plcatlas.operators import lookup
 from plcatlas.operators.edges import type_usages
 from plcatlas.operators.metrics import MERMAID_EDGES
 from plcatlas.operators.paging import LIST_ROWS, paged_lists
+from plcatlas.session import cut_lineage
 
 SCHEMA_VERSION = 1
 DASH, DOT = "–", "·"
@@ -119,12 +120,14 @@ def _pou_members(graph: Graph, docs: DataFrame) -> DataFrame:
 def pou_documents(graph: Graph, corpus: DataFrame | None = None, page_rows: int = LIST_ROWS) -> DataFrame:
     """``(entity_id, page, relpath, body)`` of every unit."""
     docs = document_names(graph.pous)
-    members = _pou_members(graph, docs)
+    # read for the counts and for the lists
+    members = cut_lineage(_pou_members(graph, docs))
     counts = members.groupBy("id").agg(
         F.count("variable").alias("n_variables"), F.count("call").alias("n_calls"), F.count("caller").alias("n_callers")
     )
     lists = paged_lists(
-        members, ["id"], {"variables": F.col("variable"), "calls": F.col("call"), "callers": F.col("caller")}, ["member"], page_rows
+        members, ["id"], {"variables": F.col("variable"), "calls": F.col("call"), "callers": F.col("caller")}, ["member"], page_rows,
+        counts=counts.select("id", (F.col("n_variables") + F.col("n_calls") + F.col("n_callers")).alias("_n")),
     )
     rows = (
         graph.pous.join(docs, "id")
@@ -184,8 +187,11 @@ def type_documents(graph: Graph, corpus: DataFrame | None = None, page_rows: int
     usages = type_usages(graph).join(units, "pou_id").select(
         F.col("type_id").alias("id"), _text("- ", link(F.col("user"), F.col("file"))).alias("usage"), F.col("pou_id").alias("member")
     )
+    usages = cut_lineage(usages)
     counts = usages.groupBy("id").agg(F.count(F.lit(1)).alias("n_usages"))
-    lists = paged_lists(usages, ["id"], {"usages": F.col("usage")}, ["member"], page_rows)
+    lists = paged_lists(
+        usages, ["id"], {"usages": F.col("usage")}, ["member"], page_rows, counts=counts.withColumnRenamed("n_usages", "_n")
+    )
     rows = (
         graph.types.join(docs, "id").join(counts, "id", "left").join(lists, "id", "left").fillna(0, ["n_usages", "page"])
         .withColumn("_d", text.definition("definition"))
@@ -255,20 +261,17 @@ def index_documents(graph: Graph, mermaid: bool = True, page_rows: int = LIST_RO
     entries = units.filter(F.col("section").isin(*[k for k in kinds if k != "TYPE"])).unionByName(types)
     pages = paged_lists(entries, ["section"], {"lines": F.col("line")}, ["id"], page_rows)
     listed = pages.select("page", "section", F.array_join("lines", "\n").alias("text"))
-    # the first page exists even if nothing is listed; a page has one text per section
-    spark = graph.spark
-    seed = spark.range(1).select(F.lit(0).alias("page"), F.lit("").alias("section"), F.lit("").alias("text"))
-    by_page = listed.unionByName(seed).groupBy("page").agg(
-        *[F.max(F.when(F.col("section") == k, F.col("text"))).alias(k) for k in kinds]
+    # totals and drawing are further texts of the first page, which exists even if nothing is listed
+    part = lambda df, key: df.select(F.lit(0).alias("page"), F.lit(key).alias("section"), F.col(df.columns[0]).cast("string").alias("text"))
+    texts = (
+        listed.unionByName(part(graph.pous.agg(F.count(F.lit(1))), "n_pous"))
+        .unionByName(part(graph.types.agg(F.count(F.lit(1))), "n_types"))
     )
-    n = lambda df, key: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(key).alias("key"), "n")
-    totals = n(graph.pous, "pous").unionByName(n(graph.types, "types")).agg(
-        F.max(F.when(F.col("key") == "pous", F.col("n"))).alias("n_pous"), F.max(F.when(F.col("key") == "types", F.col("n"))).alias("n_types")
-    )
-    head = totals.withColumn("page", F.lit(0))
     if mermaid:
-        head = head.join(call_drawing(graph).withColumn("page", F.lit(0)), "page")
-    rows = by_page.join(head, "page", "left")
+        texts = texts.unionByName(part(call_drawing(graph), "drawing"))
+    rows = texts.groupBy("page").agg(
+        *[F.max(F.when(F.col("section") == k, F.col("text"))).alias(k) for k in (*kinds, "n_pous", "n_types", "drawing")]
+    )
     body = []
     for kind, title in SECTIONS:
         empty = F.when(F.col("page") == 0, F.lit(NONE)).otherwise(F.lit(""))

@@ -139,7 +139,8 @@ def mark_runs(
             blocks = blocks.join(carry, by, "left")
         else:
             # the carry of an undivided log is a single row
-            blocks = blocks.join(F.broadcast(carry.limit(1)), F.lit(True), "left")
+            row = carry.select("last_start", "last_done").first() or (None, None)
+            blocks = blocks.withColumn("last_start", F.lit(row[0]).cast("bigint")).withColumn("last_done", F.lit(row[1]).cast("bigint"))
         blocks = blocks.withColumn("_bs", F.greatest("_bs", "last_start")).withColumn("_bd", F.greatest("_bd", "last_done"))
         blocks = blocks.drop("last_start", "last_done")
     inside = W.partitionBy(*by, "_block").orderBy("id").rowsBetween(W.unboundedPreceding, 0)

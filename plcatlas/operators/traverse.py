@@ -170,8 +170,9 @@ def impact(
     graph: Graph, names: DataFrame | str | None = None, max_depth: int = DEPENDENTS_DEPTH, mode: str = "shortest"
 ) -> DataFrame:
     """Direct and transitive dependents of named entities: ``(target, scope, id, ..., rel_type, depth)``."""
-    found = cut_lineage(targets(graph, names).select(F.col("name").alias("target"), "id"))
-    direct = direct_dependents(graph, names).select(
+    named = cut_lineage(targets(graph, names))
+    found = named.select(F.col("name").alias("target"), "id")
+    direct = direct_dependents(graph, found=named).select(
         "target", F.lit("direct").alias("scope"), "id", "name", "pou_type", "file_path", "rel_type", F.lit(1).alias("depth")
     )
     reached = transitive_dependents(graph, found.select("id"), max_depth, mode)

@@ -21,7 +21,9 @@ ALL = ("pous", "variables", "relationships")
 
 
 def corpus(spark, sf):
-    return fixtures.view(spark, sf, "corpus").select("path", "content")
+    """The corpus view, spread over the cores as a folder of files would be: it comes out of a single small scan."""
+    texts = fixtures.view(spark, sf, "corpus").select("path", "content")
+    return texts.repartition(max(spark.sparkContext.defaultParallelism, 1), "path")
 
 
 def corpus_query(name, operator, sql, *views):

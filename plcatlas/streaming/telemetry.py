@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from plcatlas.operators import telemetry
+from plcatlas.session import cut_lineage
 
 WATERMARK = "10 minutes"
 
@@ -86,12 +87,13 @@ class RunFollower:
         parts = telemetry.run_parts(marked, self.by)
         if state is not None:
             parts = telemetry.merge_run_parts(state.unionByName(parts), self.by)
+        parts = cut_lineage(parts)
         newest = parts.groupBy(*self.by).agg(F.max("run").alias("_newest"))
         if self.by:
             tagged = parts.join(newest, self.by)
         else:
-            # a one-row aggregate of the whole log
-            tagged = parts.join(F.broadcast(newest), F.lit(True))
+            # one value for the whole log
+            tagged = parts.withColumn("_newest", F.lit(newest.first()[0]).cast("bigint"))
         finished = tagged.filter(F.col("run") < F.col("_newest")).drop("_newest")
         current = tagged.filter(F.col("run") == F.col("_newest")).drop("_newest")
         telemetry.summarise_runs(finished, self.by).write.mode("overwrite").parquet(self._part("finished", batch_id))

@@ -38,8 +38,8 @@ def rows_of(columns, rows):
     return sorted(columns), sorted((tuple(repr(normal(r[i])) for i in order) for r in rows))
 
 
-def compare(spark, con, sf_dir, name, query, sql):
-    df = query(spark, sf_dir)
+def compare(spark, con, sf_dir, name, query, sql, df=None):
+    df = query(spark, sf_dir) if df is None else df
     got_columns, got = rows_of(df.columns, df.collect())
     result = con.execute(sql)
     want_columns, want = rows_of([d[0] for d in result.description], result.fetchall())
@@ -50,10 +50,3 @@ def compare(spark, con, sf_dir, name, query, sql):
         missing = [r for r in want if r not in set(got)][:3]
         return f"{name}: {len(got)} rows vs {len(want)}; only spark {extra}; only sql {missing}"
     return None
-
-
-def types_of(spark, con, sf_dir, query, sql):
-    df = query(spark, sf_dir)
-    ours = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    theirs = {d[0]: str(d[1]) for d in con.execute(sql).description}
-    return {c: (ours[c], theirs.get(c)) for c in ours}
