@@ -9,6 +9,7 @@ job that dies half-way leaves only a version nobody reads.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 
 from pyspark.errors import AnalysisException
@@ -20,6 +21,7 @@ from plcatlas.schemas import conform, struct_of
 from plcatlas.session import cut_lineage
 
 BUCKETS = 256
+WRITERS = 4  # tables written at the same time
 _COMMITS = "version BIGINT, table_name STRING, bucket INT"
 
 
@@ -73,11 +75,12 @@ class GraphStore:
     def replace(self, changes: dict[str, tuple[DataFrame, DataFrame]]) -> int:
         """Replace rows by file, in several tables at once: ``{table: (paths, rows)}``; returns the new version.
 
-        ``paths`` names the files whose rows go, ``rows`` are the ones that come. Both are written once before they
-        are used, so what is replaced does not depend on tables that are changing.
+        ``paths`` names the files whose rows go, ``rows`` are the ones that come. They may be read from this store: a
+        version is never written to again, so the tables they come from do not change meanwhile.
         """
         version = self.version() + 1
         done: list[tuple[int, str, int]] = []
+        writes: list[tuple[str, DataFrame]] = []
         for name, (paths, rows) in changes.items():
             column = file_column(name)
             buckets = self.buckets_of(paths)
@@ -86,19 +89,25 @@ class GraphStore:
             gone = paths.select(F.col(paths.columns[0]).alias(column)).distinct()
             kept = self.table(name, buckets).join(gone, column, "left_anti")
             fresh = kept.unionByName(conform(rows, TABLE_SCHEMAS[name]))
-            self._write(name, fresh, version)
+            writes.append((name, fresh))
             done += [(version, name, b) for b in buckets]
+        self._write_all(writes, version)
         self._commit(done)
         return version
 
     def overwrite(self, graph: Graph) -> int:
         """Replace all tables."""
         version = self.version() + 1
-        for name, rows in graph.tables().items():
-            self._write(name, rows, version)
+        self._write_all(list(graph.tables().items()), version)
         self._commit([(version, name, b) for name in TABLE_SCHEMAS for b in range(self.buckets)])
         return version
 
+    def _write_all(self, writes: list[tuple[str, DataFrame]], version: int) -> None:
+        """Tables do not depend on each other; their jobs share the cluster instead of queueing up."""
+        with ThreadPoolExecutor(WRITERS) as pool:
+            for _ in pool.map(lambda item: self._write(item[0], item[1], version), writes):
+                pass
+
     def _write(self, name: str, rows: DataFrame, version: int) -> None:
         rows = rows.withColumn("bucket", self.bucket(file_column(name)))
         # rows of a bucket go to few files, and adaptive execution splits a bucket that is too large for one
