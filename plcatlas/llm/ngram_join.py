@@ -3,8 +3,8 @@
 Method: the Jaccard distance is a metric. Documents meet in cells; in each cell a pivot is chosen, documents go to the region of their nearest
 pivot and are compared with it; the triangle inequality then says which others can still be linked: if d(x, p) is known for all x,
 only documents whose distances to p differ by at most the radius can be. Cells with more than ``block`` documents that
-aren't one class yet are cut into windows of that width (documents near a border are in both), a new pivot is drawn in each, and so on;
-small ones are compared in full. Nothing is sampled or capped.
+aren't one class yet are cut into windows of that width (documents near a border are in both), a new pivot is drawn in each, and so on for ``rounds``;
+what is left is compared block by block, with sketches that rule out most pairs before texts are compared. Nothing is sampled or capped.
 
 Two texts that share nothing are at distance 1 from each other and from nearly every pivot, so pivots alone can't part unrelated texts:
 every text would be in every region. The first cells therefore come from the sets themselves. A set is split by hash into one part more than
@@ -37,7 +37,7 @@ from plcatlas.llm.words import gram_hashes, mix, signed, words_of
 SHINGLE = 4
 PERCENT = 85
 BLOCK = 24
-ROUNDS = 6
+ROUNDS = 1
 UNNUMBERED = 1 << 62
 GROWTH = 1.7
 LONE, PIVOT, MEMBER, SET = 0, 1, 2, 3
@@ -184,7 +184,13 @@ class Join:
         n, percent = self.n, self.percent
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            left, right = shingle_sets(b.column(2), n), shingle_sets(b.column(3), n)
+            # a text that stands in many pairs of the batch is cut into shingles once
+            sides = []
+            for node, text in ((b.column(0), b.column(2)), (b.column(1), b.column(3))):
+                _, first, inverse = np.unique(node.to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+                own = shingle_sets(text.take(pa.array(first)), n)
+                sides.append([own[k] for k in inverse])
+            left, right = sides
             shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], np.int64)
             every = np.array([len(x) + len(y) for x, y in zip(left, right)], np.int64) - shared
             return pa.RecordBatch.from_arrays(
@@ -208,6 +214,61 @@ def apart_only(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return labelled(labelled(pairs, "a", comps), "b", comps).filter("a_comp <> b_comp").select("a", "b")
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """A byte for each of a power of two of hash ranges: the sum of what the set holds there. Neighbours can be added to get a shorter one."""
+    parts = 1 << max(8, int(len(shingles) * 3 // 2).bit_length())
+    out = np.zeros(parts, np.uint8)
+    np.add.at(out, (shingles >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int64), (mix(shingles + np.uint64(9)) >> np.uint64(56)).astype(np.uint8))
+    return out.tobytes()
+
+
+def possible_pairs(node: np.ndarray, comp: np.ndarray, size: np.ndarray, side: np.ndarray, sketches: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block that may be linked: parts that differ are a lower bound of the elements that do."""
+    least = min(map(len, sketches))
+    table = np.stack([np.frombuffer(x, np.uint8).reshape(least, -1).sum(axis=1, dtype=np.uint8) for x in sketches])
+    left, right = [], []
+    for k in range(len(node)):
+        others = np.flatnonzero((comp != comp[k]) & (node > node[k]) & ((side != side[k]) | (side == 0)))
+        if len(others):
+            differ = (table[others] != table[k]).sum(axis=1)
+            others = others[differ * (100 + percent) <= (100 - percent) * (size[others] + size[k])]
+            left.append(np.full(len(others), node[k]))
+            right.append(node[others])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def blockwise(join: Join, rows: DataFrame, chunk: int = 512) -> DataFrame:
+    """Pairs (a, b) of different components that stand in one region and may be linked. A region of any size is a number of blocks of bounded size;
+    a block compares sketches in memory and returns only what they don't rule out."""
+    n, percent = join.n, join.percent
+
+    def sketched(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(b.column(1), n)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.binary())], names=["node", "size", "sketch"])
+
+    wanted = join.texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text")
+    sketches = written(map_batches(wanted, sketched, "node long, size int, sketch binary"))
+    count = F.ceil(F.col("n") / chunk).cast("int")
+    placed = rows.withColumn("count", count).withColumn("own", F.pmod(F.xxhash64("node"), F.col("count")).cast("int"))
+    # a node's block meets every block of the region once; within its own block side is 0, else it tells the two apart
+    placed = placed.select("region", "node", "node_comp", "own", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("with"))
+    low, high = F.least("own", "with"), F.greatest("own", "with")
+    side = F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2)
+    placed = placed.select(F.xxhash64("region", low, high).alias("key"), "node", F.col("node_comp").alias("comp"), side.alias("side"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, comp, side, size, sketches in sorted_groups(batches):
+            for first, length in zip(*runs(key)):
+                at = slice(first, first + length)
+                a, b = possible_pairs(node[at], comp[at], size[at], side[at], list(sketches[at]), percent)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    met = placed.join(sketches, "node").select("key", "node", "comp", "side", "size", "sketch")
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
 def join_regions(join: Join, regions: DataFrame, links: DataFrame, comps: DataFrame, block: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """Hot cells (region, node): pivots, windows by the triangle inequality, recursion. Returns links and components."""
     radius = 1 - join.percent / 100
@@ -220,19 +281,16 @@ def join_regions(join: Join, regions: DataFrame, links: DataFrame, comps: DataFr
         if rows.isEmpty():
             break
         # small regions, and after the last round all that are left, are compared in full
-        full = rows if turn == rounds else rows.filter(F.col("n") <= block)
-        x, y = full.alias("x"), full.alias("y")
-        pairs = x.join(y, (F.col("x.region") == F.col("y.region")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.node_comp") != F.col("y.node_comp"))).select(
-            F.col("x.node").alias("a"), F.col("y.node").alias("b")
-        )
+        pairs = blockwise(join, rows if turn == rounds else rows.filter(F.col("n") <= block))
         large = rows.filter(F.col("n") > block)
-        spokes = large.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        found = join.compare(pairs if turn == rounds else pairs.unionByName(spokes))
+        if turn < rounds:
+            pairs = pairs.unionByName(large.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
+        found = join.compare(pairs)
         links = links.unionByName(found.filter("linked").select("a", "b"))
         comps = components(links)
         if turn == rounds:
             break
-        known = large.withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}).join(found.select("a", "b", "apart"), ["a", "b"])
+        known = large.filter("node <> pivot").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}).join(found.select("a", "b", "apart"), ["a", "b"])
         window = F.floor(F.col("apart") / radius)
         regions = written(
             known.select(F.col("region").alias("old"), "node", F.explode(F.array(window, window + 1)).alias("window"))
