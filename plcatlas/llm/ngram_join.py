@@ -255,17 +255,22 @@ def blockwise(join: Join, rows: DataFrame, chunk: int = 512) -> DataFrame:
     placed = placed.select("region", "node", "node_comp", "own", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("with"))
     low, high = F.least("own", "with"), F.greatest("own", "with")
     side = F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2)
-    placed = placed.select(F.xxhash64("region", low, high).alias("key"), "node", F.col("node_comp").alias("comp"), side.alias("side"))
+    placed = placed.select(F.xxhash64("region", low, high).alias("key"), "node", F.col("node_comp").alias("comp"), side.alias("side"), "region")
+    # a pair may stand in many regions; the smallest of those it shares returns it
+    lists = rows.groupBy("node").agg(F.collect_set("region").alias("regions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, comp, side, size, sketches in sorted_groups(batches):
+        for key, node, comp, side, region, size, sketches, regions in sorted_groups(batches):
             for first, length in zip(*runs(key)):
                 at = slice(first, first + length)
                 a, b = possible_pairs(node[at], comp[at], size[at], side[at], list(sketches[at]), percent)
+                shared = dict(zip(node[at].tolist(), regions[at]))
+                here = np.array([np.intersect1d(shared[x], shared[y]).min() == region[first] for x, y in zip(a.tolist(), b.tolist())], dtype=bool)
+                a, b = a[here], b[here]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    met = placed.join(sketches, "node").select("key", "node", "comp", "side", "size", "sketch")
+    met = placed.join(sketches.join(lists, "node"), "node").select("key", "node", "comp", "side", "region", "size", "sketch", "regions")
     return met.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
