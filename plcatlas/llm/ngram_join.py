@@ -200,7 +200,7 @@ class Join:
 
         left = self.texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+        both = pairs.select("a", "b").distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
         return written(map_batches(both, run, "a long, b long, apart double, linked boolean"))
 
 
@@ -337,7 +337,8 @@ def near_classes(
     pairs = by_rep(pairs, "a", "b").filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("shared").alias("shared"))
     pairs = written(pairs)
     playing = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = written(rows.join(playing, "node").dropDuplicates(["node"]))
+    # merged at every size: how many documents play isn't bounded, so neither side is ever sent to all tasks
+    texts = written(rows.join(playing.hint("merge"), "node").dropDuplicates(["node"]))
     join = Join(texts, n, percent)
 
     # every document goes to its nearest pivot first: the smaller document with most parts in common
