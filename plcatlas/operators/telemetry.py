@@ -113,20 +113,47 @@ def stage_progress(events: DataFrame) -> DataFrame:
 # ---- index runs ----
 
 
+def join_by(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys where null equals null; keeps the left side's keys."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(renamed[f"_r_{k}"])
+    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def with_workspace(events: DataFrame, bucket_ids: int = RUN_BUCKET_IDS, workspace: str | None = None) -> DataFrame:
+    """Gives events that name no workspace that of the last start before them; only starts and ends of runs name it themselves.
+
+    A running maximum over the id order in two levels, as in ``mark_runs``. ``workspace`` is that of the last start of an earlier part of the log.
+    """
+    start = F.when(F.col("kind") == "index_started", F.struct("id", "workspace"))
+    rows = events.withColumn("_block", F.floor(F.col("id") / bucket_ids)).withColumn("_w", start)
+    before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = rows.groupBy("_block").agg(F.max("_w").alias("_w")).select("_block", F.max("_w").over(before).alias("_bw"))
+    inside = W.partitionBy("_block").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
+    joined = rows.withColumn("_w", F.max("_w").over(inside)).join(blocks, "_block")
+    found = F.coalesce("workspace", F.greatest("_w", "_bw")["workspace"], F.lit(workspace).cast("string"))
+    return joined.withColumn("workspace", found).select(*events.columns)
+
+
 def mark_runs(
-    events: DataFrame, by: Sequence[str] = (), bucket_ids: int = RUN_BUCKET_IDS, carry: DataFrame | None = None
+    events: DataFrame, by: Sequence[str] = (), bucket_ids: int = RUN_BUCKET_IDS, carry: DataFrame | None = None, workspace: str | None = None
 ) -> DataFrame:
     """Events of index runs with ``run`` (id of the start before them) and ``closed`` (an end came in between).
 
     Both are running maxima over the id order. They are taken in two levels: inside blocks of ``bucket_ids``
     consecutive ids, and over the few rows that sum up the blocks. One log, or one workspace with most of the events,
     therefore spreads over as many tasks as it has blocks. ``carry`` (``*by, last_start, last_done``) continues from
-    an earlier part of the log.
+    an earlier part of the log. Divided by workspace, events without one belong to the last start before them.
     """
     by = list(by)
     kind = F.col("kind")
+    events = events.filter(kind.isin(*RUN_KINDS))
+    if "workspace" in by:
+        events = with_workspace(events, bucket_ids, workspace)
     rows = (
-        events.filter(kind.isin(*RUN_KINDS))
+        events
         .withColumn("_block", F.floor(F.col("id") / bucket_ids))
         .withColumn("_s", F.when(kind == "index_started", F.col("id")))
         .withColumn("_d", F.when(kind.isin(*DONE_KINDS), F.col("id")))
@@ -136,7 +163,7 @@ def mark_runs(
     blocks = blocks.select(*by, "_block", F.max("_s").over(before).alias("_bs"), F.max("_d").over(before).alias("_bd"))
     if carry is not None:
         if by:
-            blocks = blocks.join(carry, by, "left")
+            blocks = join_by(blocks, carry, by, "left")
         else:
             # the carry of an undivided log is a single row
             row = carry.select("last_start", "last_done").first() or (None, None)
@@ -145,7 +172,7 @@ def mark_runs(
         blocks = blocks.drop("last_start", "last_done")
     inside = W.partitionBy(*by, "_block").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
     local = rows.withColumn("_s", F.max("_s").over(inside)).withColumn("_d", F.max("_d").over(inside))
-    joined = local.join(blocks, [*by, "_block"])
+    joined = join_by(local, blocks, [*by, "_block"])
     run = F.coalesce(F.greatest("_s", "_bs"), F.lit(NO_START))
     closed = F.coalesce(F.greatest("_d", "_bd"), F.lit(NO_START))
     return joined.select(*events.columns, run.alias("run"), (closed > run).alias("closed"))

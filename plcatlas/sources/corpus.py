@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plcatlas.session import cut_lineage
 
-# Path patterns left out of a corpus, and files per batch of a stepwise index.
+# Path segments that a batch index leaves out if asked to, and files per batch of a stepwise index.
 EXCLUDED = ("node_modules", ".git", ".vscode", "dist", "build", "bin", "obj")
 FILES_PER_BATCH = 25
 
@@ -17,9 +18,10 @@ _BINARY = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINAR
 
 
 def excluded(path: Column | str, patterns: Sequence[str] = EXCLUDED) -> Column:
-    """Whether a path holds one of the patterns (``*`` stands for anything, case is ignored)."""
+    """Whether a whole segment of a path is one of the patterns (``*`` stands for anything within a segment, case is ignored)."""
     value = F.translate(F.col(path) if isinstance(path, str) else path, "\\", "/")
-    return value.rlike("(?i)" + "|".join(p.replace("*", ".*") for p in patterns)) if patterns else F.lit(False)
+    segments = "|".join(re.escape(p).replace(r"\*", "[^/]*") for p in patterns)
+    return value.rlike(f"(?i)(^|/)({segments})(/|$)") if patterns else F.lit(False)
 
 
 def _texts(raw: DataFrame, root: str, patterns: Sequence[str]) -> DataFrame:
@@ -32,8 +34,8 @@ def _texts(raw: DataFrame, root: str, patterns: Sequence[str]) -> DataFrame:
     )
 
 
-def read_corpus(spark: SparkSession, root: str, patterns: Sequence[str] = EXCLUDED) -> DataFrame:
-    """All ``*.st`` files below a folder, paths relative to it."""
+def read_corpus(spark: SparkSession, root: str, patterns: Sequence[str] = ()) -> DataFrame:
+    """All ``*.st`` files below a folder, paths relative to it; ``patterns`` names path segments to leave out."""
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.st").load(root)
     )
@@ -41,7 +43,7 @@ def read_corpus(spark: SparkSession, root: str, patterns: Sequence[str] = EXCLUD
 
 
 def stream_corpus(
-    spark: SparkSession, root: str, patterns: Sequence[str] = EXCLUDED, files_per_batch: int = FILES_PER_BATCH
+    spark: SparkSession, root: str, patterns: Sequence[str] = (), files_per_batch: int = FILES_PER_BATCH
 ) -> DataFrame:
     """The same files as a stream, a bounded number per micro-batch."""
     raw = (

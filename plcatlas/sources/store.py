@@ -144,7 +144,7 @@ def upsert_diagnostics(old: DataFrame, new: DataFrame, analysed: DataFrame) -> D
 
 def diagnostic_rows(raw: DataFrame, now_ms: int) -> DataFrame:
     """Diagnostics from positions counted from 0: ``(file_path, line, column, severity, code, message, source)``."""
-    key = F.concat_ws(":", F.lit("st:diag"), "file_path", "line", "column", F.substring("message", 1, 50))
+    key = F.concat_ws(":", F.lit("st:diag"), "file_path", "line", "column", F.sha2("message", 256))
     return raw.select(
         key.alias("id"), "file_path", (F.col("line") + 1).alias("line"), (F.col("column") + 1).alias("column"), "severity",
         "code", "message", "source", F.lit(now_ms).cast("bigint").alias("created_at"),

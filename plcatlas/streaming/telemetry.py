@@ -83,14 +83,15 @@ class RunFollower:
             carry = state.select(
                 *self.by, F.when(F.col("run") >= 0, F.col("run")).alias("last_start"), F.col("done.id").alias("last_done")
             )
-        marked = telemetry.mark_runs(events, self.by, self.bucket_ids, carry)
+        last = state.agg(F.max("started").alias("s")).first().s if state is not None else None
+        marked = telemetry.mark_runs(events, self.by, self.bucket_ids, carry, last.workspace if last else None)
         parts = telemetry.run_parts(marked, self.by)
         if state is not None:
             parts = telemetry.merge_run_parts(state.unionByName(parts), self.by)
         parts = cut_lineage(parts)
         newest = parts.groupBy(*self.by).agg(F.max("run").alias("_newest"))
         if self.by:
-            tagged = parts.join(newest, self.by)
+            tagged = telemetry.join_by(parts, newest, self.by)
         else:
             # one value for the whole log
             tagged = parts.withColumn("_newest", F.lit(newest.first()[0]).cast("bigint"))

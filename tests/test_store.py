@@ -76,10 +76,10 @@ def test_stepwise_ingest(spark, tmp_path):
         (root / path).write_text(text)
     (root / "node_modules").mkdir()
     (root / "node_modules" / "x.st").write_text("PROGRAM P\nEND_PROGRAM")
-    assert_read = records(sources.read_corpus(spark, str(root)))
-    assert assert_read == sorted(ALL.items(), key=repr)
+    assert records(sources.read_corpus(spark, str(root), sources.EXCLUDED)) == sorted(ALL.items(), key=repr)
+    assert sources.read_corpus(spark, str(root)).count() == len(ALL) + 1
     store = GraphStore(spark, str(tmp_path / "g"), buckets=2)
-    query = ingest.start(spark, str(root), store, Options(1), str(tmp_path / "cp"), files_per_batch=3)
+    query = ingest.start(spark, str(root), store, Options(1), str(tmp_path / "cp"), files_per_batch=3, patterns=sources.EXCLUDED)
     query.awaitTermination()
     assert query.exception() is None
     assert_same(store, spark, ALL)
@@ -146,3 +146,11 @@ def test_run_events(spark):
     run = telemetry.index_runs(events).first()
     assert (run.workspace, run.total_files, run.indexed_files, run.failed, run.status, run.total_time_ms) == (
         "ws", 8, 7, 1, "completed", 70)
+
+
+def test_excluded_takes_whole_segments(spark):
+    kept = ["src/FB_Combine.st", "src/FB_Object.st", "Cabinet/A.st", "digital/FB_X.st", "src/FB_Build.st"]
+    df = spark.createDataFrame([(p,) for p in [*kept, "a/obj/x.st", "bin/y.st", "node_modules/z/w.st"]], "path STRING")
+    assert records(df.filter(~sources.excluded("path")), "path") == sorted((p,) for p in kept)
+    assert df.filter(sources.excluded("path", ["FB_*.st"])).count() == 4
+    assert df.filter(sources.excluded("path", [])).count() == 0

@@ -179,3 +179,17 @@ def test_small_reports(spark):
     assert records(telemetry.visible(log), "id") == [(1,), (2,), (4,), (5,)]
     assert [r.id for r in telemetry.recent(log, 2).collect()] == [5, 4]
     assert conform(log, EVENTS).columns == log.columns
+
+
+def test_runs_whose_file_events_name_no_workspace(spark):
+    """Only starts and ends of runs name the workspace; file events belong to the last start."""
+    log = [(1, "index_started", "a"), (2, "index_file_done", None), (3, "index_file_done", None), (4, "index_file_failed", None),
+           (5, "index_done", "a"), (6, "index_started", "b"), (7, "index_file_done", None)]
+    df = spark.createDataFrame(log, "id BIGINT, kind STRING, workspace STRING")
+    for bucket in (2, 100):
+        got = records(telemetry.with_workspace(df, bucket), "id", "workspace")
+        assert got == [(1, "a"), (2, "a"), (3, "a"), (4, "a"), (5, "a"), (6, "b"), (7, "b")]
+    tail = telemetry.with_workspace(df.filter("id in (2, 3)"), workspace="z")
+    assert records(tail, "workspace") == [("z",), ("z",)]
+    marked = telemetry.mark_runs(df, ["workspace"], 2)
+    assert records(marked, "id", "run") == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6), (7, 6)]
