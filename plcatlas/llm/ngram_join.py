@@ -216,7 +216,8 @@ def apart_only(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 def sketch(shingles: np.ndarray) -> bytes:
     """A byte for each of a power of two of hash ranges: the sum of what the set holds there. Neighbours can be added to get a shorter one."""
-    parts = 1 << max(8, int(len(shingles) * 3 // 2).bit_length())
+    # half as many parts as shingles still tell texts at the limit apart, and a sketch travels once a region
+    parts = 1 << max(6, (len(shingles) // 2).bit_length())
     out = np.zeros(parts, np.uint8)
     np.add.at(out, (shingles >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int64), (mix(shingles + np.uint64(9)) >> np.uint64(56)).astype(np.uint8))
     return out.tobytes()
@@ -230,7 +231,7 @@ def possible_pairs(node: np.ndarray, comp: np.ndarray, size: np.ndarray, side: n
     for k in range(len(node)):
         others = np.flatnonzero((comp != comp[k]) & (node > node[k]) & ((side != side[k]) | (side == 0)))
         if len(others):
-            differ = (table[others] != table[k]).sum(axis=1)
+            differ = np.maximum((table[others] != table[k]).sum(axis=1), np.abs(size[others] - size[k]))
             others = others[differ * (100 + percent) <= (100 - percent) * (size[others] + size[k])]
             left.append(np.full(len(others), node[k]))
             right.append(node[others])
@@ -326,17 +327,21 @@ def near_classes(
 
     sets = out.filter(F.col("kind") == SET).select("node", "key", "other", "n")
     equal = sets.filter("n > 0").groupBy("key", "other", "n").agg(F.min("node").alias("rep"))
-    reps = written(sets.filter("n > 0").distinct().join(equal, ["key", "other", "n"]).select("node", "rep"))
+    reps = written(sets.filter("n > 0").distinct().join(equal, ["key", "other", "n"]).select("node", "rep", "n"))
 
     def by_rep(pairs: DataFrame, *columns: str) -> DataFrame:
         for c in columns:
-            pairs = pairs.join(reps.select(F.col("node").alias(c), F.col("rep").alias("_r")), c).drop(c).withColumnRenamed("_r", c)
+            known = reps.select(F.col("node").alias(c), F.col("rep").alias("_r"), F.col("n").alias(f"n_{c}"))
+            pairs = pairs.join(known, c).drop(c).withColumnRenamed("_r", c)
         return pairs
 
     pairs = out.filter(F.col("kind") == PAIR).groupBy(F.col("key").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
-    pairs = by_rep(pairs, "a", "b").filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("shared").alias("shared"))
+    # sets of too different sizes can't be linked, so neither their texts nor the pair need to travel
+    alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    pairs = by_rep(pairs, "a", "b").filter("a <> b").filter(alike).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("shared").alias("shared"))
     pairs = written(pairs)
-    playing = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    hot = written(by_rep(out.filter(F.col("kind") == HOT).select(F.col("key").alias("region"), "node"), "node").select("region", "node").distinct())
+    playing = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct()
     # merged at every size: how many documents play isn't bounded, so neither side is ever sent to all tasks
     texts = written(rows.join(playing.hint("merge"), "node").dropDuplicates(["node"]))
     join = Join(texts, n, percent)
@@ -349,7 +354,6 @@ def near_classes(
     rest = join.compare(apart_only(pairs.join(nearest, ["a", "b"], "left_anti"), comps))
     links = links.unionByName(rest.filter("linked").select("a", "b"))
     comps = components(links)
-    hot = by_rep(out.filter(F.col("kind") == HOT).select(F.col("key").alias("region"), "node"), "node").distinct()
     links, comps = join_regions(join, hot, links, comps, block, rounds)
 
     classed = labelled(reps, "rep", comps).select("node", F.col("rep_comp").alias("component")).distinct()
