@@ -25,48 +25,49 @@ def test_documents(spark, graph, tmp_path):
     first = export_job.export(graph, corpus(spark, ALL), base, 5).first()
     assert (first.pous_exported, first.types_exported, first.files_written, first.files_skipped, first.index_written) == (
         10, 3, 14, 0, True)
-    main = Path(base, "pous", "PRG_Main.md").read_text()
+    main = Path(base, "pous", "PRG_Station.md").read_text()
     assert main == """---
-name: PRG_Main
+name: PRG_Station
 type: PROGRAM
-file: indexer/PRG_Main.st
+file: plant/PRG_Station.st
 start_line: 1
-end_line: 8
-variable_count: 2
+end_line: 11
+variable_count: 3
 dependencies_count: 2
 dependents_count: 0
 tags: ["program", "pou"]
 schema_version: 1
 ---
 
-# PRG_Main
+# PRG_Station
 
 **Type:** PROGRAM
-**File:** `indexer/PRG_Main.st` (lines 1–8)
+**File:** `plant/PRG_Station.st` (lines 1–11)
 
 ## Variables
 
 | Direction | Name | Type | Default | Line |
 | --- | --- | --- | --- | --- |
-| VAR | `Base` | `FB_Base` |  | 4 |
-| VAR | `Controller` | `FB_Extended` |  | 3 |
+| VAR | `inlet` | `FB_Pump` |  | 3 |
+| VAR | `spare` | `FB_Device` |  | 4 |
+| VAR | `wet` | `BOOL` |  | 5 |
 ## Calls
 
-Outgoing CALLS (2) from [[PRG_Main|indexer/PRG_Main.st]]:
+Outgoing CALLS (2) from [[PRG_Station|plant/PRG_Station.st]]:
 
-[[FB_Base|indexer/FB_Base.st]]
-[[FB_Extended|indexer/FB_Extended.st]]
+[[FB_Device|plant/FB_Device.st]]
+[[FB_Pump|plant/FB_Pump.st]]
 ## Called by
 
 _Nothing calls this POU yet._
 ## Source
 
 ```st
-""" + FILES["indexer/PRG_Main.st"] + "\n```\n"
+""" + FILES["plant/PRG_Station.st"] + "\n```\n"
     enum = Path(base, "types", "E_State.md").read_text()
     assert "**Enum values (3):**\n\n- `Idle`\n- `Run`\n- `Stop`\n## Used by\n\n- [[FB_Mixed|mixed.st]]\n" in enum
     index = Path(base, "_index.md").read_text()
-    assert "Total: **10** POUs, **3** types." in index and "  PRG_Main --> FB_Base" in index
+    assert "Total: **10** POUs, **3** types." in index and "  PRG_Station --> FB_Device" in index
     # two methods are called Run: one keeps the name, the other gets a key
     runs = sorted(p.name for p in Path(base, "pous").glob("Run*.md"))
     assert len(runs) == 2 and "Run.md" in runs
@@ -76,11 +77,11 @@ _Nothing calls this POU yet._
     manifest, run = export_job.latest_manifest(spark, base)
     assert run == 2 and records(manifest.filter("relpath not like '\\\\_index%'"), "exported_at")[0] == (5,)
 
-    changed = {**ALL, "indexer/FB_Helper.st": FILES["indexer/FB_Helper.st"].replace("Result", "Outcome")}
+    changed = {**ALL, "plant/FB_Motor.st": FILES["plant/FB_Motor.st"].replace("Torque", "Outcome")}
     new = index_job.build(corpus(spark, changed), Options(1, resolve_instances=True)).graph
     third = export_job.export(new, corpus(spark, changed), base, 7).first()
     assert (third.pous_exported, third.types_exported) == (1, 0)
-    assert "Outcome" in Path(base, "pous", "FB_Helper.md").read_text()
+    assert "Outcome" in Path(base, "pous", "FB_Motor.md").read_text()
     full = export_job.export(new, None, base, 8, mode="full").first()
     assert full.files_written == 14
 
@@ -142,5 +143,5 @@ def test_snapshot_source(spark, tmp_path):
 def test_write_snapshot(spark, graph, tmp_path):
     export_job.write_snapshot(graph, str(tmp_path / "snap"))
     nodes = spark.read.json(str(tmp_path / "snap" / "nodes"))
-    assert records(nodes.filter("id like '%PRG_Main'"), "type", "data.label") == [("program", "PRG_Main")]
+    assert records(nodes.filter("id like '%PRG_Station'"), "type", "data.label") == [("program", "PRG_Station")]
     assert spark.read.json(str(tmp_path / "snap" / "edges")).count() == graph.relationships.count()

@@ -45,12 +45,12 @@ def test_units(facts):
     got = records(extract.units(facts).filter("file_path <> 'mixed.st'"),
                   "name", "pou_type", "start_line", "end_line", "extends", "implements")
     assert got == sorted([
-        ("FB_Base", "FUNCTION_BLOCK", 1, 12, None, None),
-        ("FB_Extended", "FUNCTION_BLOCK", 1, 12, "FB_Base", ["I_Ctrl"]),
-        ("FB_Helper", "FUNCTION_BLOCK", 1, 9, None, None),
-        ("PRG_Main", "PROGRAM", 1, 8, None, None),
-        ("FB_Test", "FUNCTION_BLOCK", 1, 3, None, None),
-        ("FB_BaseController", "FUNCTION_BLOCK", 1, 2, None, None),
+        ("FB_Device", "FUNCTION_BLOCK", 1, 10, None, None),
+        ("FB_Pump", "FUNCTION_BLOCK", 1, 9, "FB_Device", ["I_Service"]),
+        ("FB_Motor", "FUNCTION_BLOCK", 1, 7, None, None),
+        ("PRG_Station", "PROGRAM", 1, 11, None, None),
+        ("FB_Valve", "FUNCTION_BLOCK", 1, 2, None, None),
+        ("FB_Blank", "FUNCTION_BLOCK", 1, 2, None, None),
     ], key=repr)
 
 
@@ -68,21 +68,21 @@ def test_variables(facts):
     got = records(extract.variables(facts), "pou_id", "name", "direction", "var_type", "default_value", "start_line")
     short = [(p.rsplit(":", 1)[1], *rest) for p, *rest in got]
     assert sorted(short, key=repr) == sorted([
-        ("FB_Base", "Enable", "VAR_INPUT", "BOOL", None, 3),
-        ("FB_Base", "Status", "VAR_OUTPUT", "INT", None, 6),
-        ("FB_Base", "Internal", "VAR", "INT", None, 9),
-        ("FB_Extended", "SetPoint", "VAR_INPUT", "REAL", None, 3),
-        ("FB_Extended", "Output", "VAR_OUTPUT", "REAL", None, 6),
-        ("FB_Extended", "Helper", "VAR", "FB_Helper", None, 9),
-        ("FB_Helper", "Data", "VAR_INPUT", "INT", None, 3),
-        ("FB_Helper", "Result", "VAR_OUTPUT", "BOOL", None, 6),
-        ("PRG_Main", "Controller", "VAR", "FB_Extended", None, 3),
-        ("PRG_Main", "Base", "VAR", "FB_Base", None, 4),
-        ("FB_Test", "x", "VAR_INPUT", "BOOL", None, 2),
+        ("FB_Device", "Alarm", "VAR_IN_OUT", "BOOL", None, 3),
+        ("FB_Device", "hours", "VAR", "UDINT", None, 6),
+        ("FB_Device", "starts", "VAR", "UDINT", None, 6),
+        ("FB_Pump", "Level", "VAR_INPUT", "REAL", None, 3),
+        ("FB_Pump", "drive", "VAR", "FB_Motor", None, 6),
+        ("FB_Motor", "Speed", "VAR_INPUT", "REAL", "0.0", 2),
+        ("FB_Motor", "Torque", "VAR_OUTPUT", "REAL", None, 3),
+        ("PRG_Station", "inlet", "VAR", "FB_Pump", None, 3),
+        ("PRG_Station", "spare", "VAR", "FB_Device", None, 4),
+        ("PRG_Station", "wet", "VAR", "BOOL", None, 5),
+        ("FB_Valve", "shut", "VAR_OUTPUT", "BOOL", None, 2),
         ("FB_Mixed", "c", "VAR", "INT", "5", 15),
         ("FB_Mixed", "st", "VAR", "E_State", None, 16),
         ("FB_Mixed", "t", "VAR", "BOOL", None, 16),
-        ("FB_Mixed", "x", "VAR", "POINTER TO FB_Helper", None, 16),
+        ("FB_Mixed", "x", "VAR", "POINTER TO FB_Motor", None, 16),
         ("FB_Mixed.Run", "k", "VAR_INPUT", "INT", None, 18),
         ("FB_Mixed", "late", "VAR_TEMP", "REAL", None, 21),
     ], key=repr)
@@ -105,10 +105,10 @@ def test_types_fields_globals(facts):
 
 def test_calls(facts):
     assert records(extract.call_sites(facts), "path", "line", "scope", "callee") == sorted([
-        ("mixed.st", 19, "Run", "FB_Helper"),
-        ("indexer/FB_Extended.st", 11, "FB_Extended", "Helper"),
-        ("indexer/PRG_Main.st", 6, "PRG_Main", "Base"),
-        ("indexer/PRG_Main.st", 7, "PRG_Main", "Controller"),
+        ("mixed.st", 19, "Run", "FB_Motor"),
+        ("plant/FB_Pump.st", 8, "FB_Pump", "drive"),
+        ("plant/PRG_Station.st", 7, "PRG_Station", "spare"),
+        ("plant/PRG_Station.st", 9, "PRG_Station", "inlet"),
     ], key=repr)
 
 
@@ -127,10 +127,10 @@ def test_states(facts):
 def test_edges_and_rejects(spark):
     result = index_job.build(corpus(spark), NOW)
     assert records(result.graph.relationships.filter("type <> 'REFERENCES'"), "type", "from_id", "to_id") == [
-        ("EXTENDS", "st:indexer/FB_Extended.st:FB_Extended", "st:indexer/FB_Base.st:FB_Base"),
+        ("EXTENDS", "st:plant/FB_Pump.st:FB_Pump", "st:plant/FB_Device.st:FB_Device"),
     ]
     assert records(result.rejects) == [
-        ("relationship", "st:rel:implements:indexer/FB_Extended.st:FB_Extended:I_Ctrl", "unknown target")
+        ("relationship", "st:rel:implements:plant/FB_Pump.st:FB_Pump:I_Service", "unknown target")
     ]
 
 
@@ -138,7 +138,7 @@ def test_instance_calls(spark):
     result = index_job.build(corpus(spark), Options(1, resolve_instances=True))
     got = records(result.graph.calls, "from_id", "to_id", "line")
     assert [(a.rsplit(":", 1)[1], b.rsplit(":", 1)[1], n) for a, b, n in got] == [
-        ("FB_Extended", "FB_Helper", 11), ("PRG_Main", "FB_Base", 6), ("PRG_Main", "FB_Extended", 7),
+        ("FB_Pump", "FB_Motor", 8), ("PRG_Station", "FB_Device", 7), ("PRG_Station", "FB_Pump", 9),
     ]
 
 
@@ -147,9 +147,9 @@ def test_mixed_edges(spark):
     got = records(result.graph.relationships.filter("file_path = 'mixed.st'"), "type", "from_id", "to_id")
     short = [(t, a.split(":")[-1], b.split(":")[-1]) for t, a, b in got]
     assert sorted(short) == [
-        ("CALLS", "FB_Mixed.Run", "FB_Helper"), ("CONTAINS", "FB_Mixed", "FB_Mixed.Run"), ("CONTAINS", "I_A", "I_A.Run"),
-        ("EXTENDS", "FB_Mixed", "FB_Base"), ("IMPLEMENTS", "FB_Mixed", "I_A"), ("REFERENCES", "FB_Mixed", "E_State"),
-        ("REFERENCES", "FB_Mixed", "FB_Helper"), ("USES", "FB_Mixed", "E_State"),
+        ("CALLS", "FB_Mixed.Run", "FB_Motor"), ("CONTAINS", "FB_Mixed", "FB_Mixed.Run"), ("CONTAINS", "I_A", "I_A.Run"),
+        ("EXTENDS", "FB_Mixed", "FB_Device"), ("IMPLEMENTS", "FB_Mixed", "I_A"), ("REFERENCES", "FB_Mixed", "E_State"),
+        ("REFERENCES", "FB_Mixed", "FB_Motor"), ("USES", "FB_Mixed", "E_State"),
     ]
     by_file = index_job.build(corpus(spark, {**FILES, "mixed.st": MIXED}), Options(1, uses="file")).graph
     assert records(by_file.relationships.filter("type = 'USES'"), "to_id") == [

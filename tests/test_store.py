@@ -41,11 +41,11 @@ def test_full_then_incremental_equals_full(spark, tmp_path):
         changed = rng.choice(sorted(files))
         if step == 0:
             # a unit moves to a new file, another is gone: files that did not change refer to both
-            files.pop("indexer/FB_Helper.st")
-            files["new/Helper.st"] = FILES["indexer/FB_Helper.st"]
-            files["iface.st"] = "INTERFACE I_Ctrl\nEND_INTERFACE\n"
+            files.pop("plant/FB_Motor.st")
+            files["new/Motor.st"] = FILES["plant/FB_Motor.st"]
+            files["iface.st"] = "INTERFACE I_Service\nEND_INTERFACE\n"
         elif step == 1:
-            files["a/earlier.st"] = FILES["indexer/FB_Base.st"]
+            files["a/earlier.st"] = FILES["plant/FB_Device.st"]
         else:
             files[changed] = files[changed].replace("FB_", "FX_")
         index_job.update(store, corpus(spark, files), Options(1))
@@ -94,9 +94,9 @@ def test_excluded_and_order(spark):
 
 def test_changed_files(spark):
     files = corpus(spark)
-    registry = sources.fingerprints(files.filter("path like 'indexer%'"))
+    registry = sources.fingerprints(files.filter("path like 'plant%'"))
     work = sources.changed_files(files, registry)
-    assert records(work, "path") == [("c2/FB_Test.st",), ("simple/FB_BaseController.st",)]
+    assert records(work, "path") == [("short/FB_Blank.st",), ("short/FB_Valve.st",)]
     assert sources.changed_files(files, registry, force=True).count() == 6
 
 
