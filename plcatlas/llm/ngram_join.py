@@ -4,7 +4,8 @@ Method: the Jaccard distance is a metric. Documents meet in cells; in each cell
 pivot and are compared with it; the triangle inequality then says which others can still be linked: if d(x, p) is known for all x,
 only documents whose distances to p differ by at most the radius can be. Cells with more than ``block`` documents that
 aren't one class yet are cut into windows of that width (documents near a border are in both), a new pivot is drawn in each, and so on for ``rounds``;
-what is left is compared block by block, with sketches that rule out most pairs before texts are compared. Nothing is sampled or capped.
+what is left is compared block by block. Every set has a sketch, from which a lower bound of the distance of two sets follows; pairs that it rules out
+never have their texts moved. Nothing is sampled or capped.
 
 Two texts that share nothing are at distance 1 from each other and from nearly every pivot, so pivots alone can't part unrelated texts:
 every text would be in every region. The first cells therefore come from the sets themselves. A set is split by hash into one part more than
@@ -42,7 +43,7 @@ UNNUMBERED = 1 << 62
 GROWTH = 1.7
 LONE, PIVOT, MEMBER, SET = 0, 1, 2, 3
 PAIR, HOT = 4, 5
-ROW = "key long, node long, other long, n int, kind byte"
+ROW = "key long, node long, other long, n int, kind byte, sketch binary"
 NAMES = [x.split()[0] for x in ROW.split(", ")]
 
 
@@ -107,13 +108,14 @@ def cells_of(shingles: np.ndarray, spread: np.ndarray, bands: Bands) -> np.ndarr
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def as_rows(key, node, other, n, kind) -> pa.RecordBatch:
+def as_rows(key, node, other, n, kind, sketches=None) -> pa.RecordBatch:
     columns = (key.astype(np.int64), node, other.astype(np.int64), n.astype(np.int32), kind.astype(np.int8))
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=NAMES)
+    held = pa.nulls(len(node), pa.binary()) if sketches is None else pa.array(sketches, pa.binary())
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), held], names=NAMES)
 
 
 def cell_rows(b: pa.RecordBatch, n: int, bands: Bands, block: int) -> Iterator[pa.RecordBatch]:
-    """A row a document with its set's digest, and rows of its cells; equal sets of the batch show their cells once."""
+    """A row a document with its set's digest, and rows of its cells; equal sets of the batch show their cells and their sketch once."""
     node = b.column(0).to_numpy(zero_copy_only=False)
     sets = shingle_sets(b.column(1), n)
     digests, cells, owner, seen = [], [], [], {}
@@ -123,12 +125,14 @@ def cell_rows(b: pa.RecordBatch, n: int, bands: Bands, block: int) -> Iterator[p
         digests.append(digest)
         if len(shingles) and (digest not in seen or node[row] < node[seen[digest]]):
             seen[digest] = row
+    sketches = [None] * len(sets)
     for row in seen.values():
+        sketches[row] = sketch(sets[row])
         keys = cells_of(sets[row], mix(sets[row] + np.uint64(5)), bands)
         cells.append(keys)
         owner.append(np.full(len(keys), node[row]))
     size = np.array([len(s) for s in sets])
-    yield as_rows(np.array([d[0] for d in digests], np.uint64).view(np.int64), node, np.array([d[1] for d in digests], np.uint64).view(np.int64), size, np.full(len(node), SET))
+    yield as_rows(np.array([d[0] for d in digests], np.uint64).view(np.int64), node, np.array([d[1] for d in digests], np.uint64).view(np.int64), size, np.full(len(node), SET), sketches)
     if not cells:
         return
     key, own = signed(np.concatenate(cells)), np.concatenate(owner)
@@ -143,9 +147,9 @@ def cell_rows(b: pa.RecordBatch, n: int, bands: Bands, block: int) -> Iterator[p
 def met_rows(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of small cells; of large ones, pairs with the pivot, and their members."""
     none = np.zeros(0, np.int64)
-    for key, node, other, n, kind in sorted_groups(batches):
+    for key, node, other, n, kind, sketches in sorted_groups(batches):
         done = kind == SET
-        yield as_rows(key[done], node[done], other[done], n[done], kind[done])
+        yield as_rows(key[done], node[done], other[done], n[done], kind[done], sketches[done])
         gone = kind == MEMBER
         pairs_a, pairs_b, hot_key, hot_node = [other[gone]], [node[gone]], [key[gone]], [node[gone]]
         cell = (kind == LONE) | (kind == PIVOT)
@@ -174,10 +178,10 @@ def met_rows(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Recor
 
 
 class Join:
-    """One run of the join: the texts in play, what has been compared, and the links found."""
+    """One run of the join: the texts in play and the sketches (node, size, sketch) of all sets."""
 
-    def __init__(self, texts: DataFrame, n: int, percent: int):
-        self.texts, self.n, self.percent = texts, n, percent
+    def __init__(self, texts: DataFrame, sketches: DataFrame, n: int, percent: int):
+        self.texts, self.sketches, self.n, self.percent = texts, sketches, n, percent
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """a, b, apart (Jaccard distance), linked, exactly, from both whole texts. Other columns of ``pairs`` are kept by joins of the caller."""
@@ -223,6 +227,23 @@ def sketch(shingles: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def may_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The rows (a, b, shared) of ``pairs`` that the sketches don't rule out."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = b.column(3).to_numpy(zero_copy_only=False).astype(np.int64) + b.column(4).to_numpy(zero_copy_only=False)
+        differ = np.empty(b.num_rows, np.int64)
+        for row, (x, y) in enumerate(zip(b.column(5).to_pylist(), b.column(6).to_pylist())):
+            least = min(len(x), len(y))
+            x, y = (np.frombuffer(z, np.uint8).reshape(least, -1).sum(axis=1, dtype=np.uint8) if len(z) > least else np.frombuffer(z, np.uint8) for z in (x, y))
+            differ[row] = np.count_nonzero(x != y)
+        return b.filter(pa.array(differ * (100 + percent) <= (100 - percent) * sizes)).select(["a", "b", "shared"])
+
+    for c in "ab":
+        pairs = pairs.join(sketches.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")).hint("merge"), c)
+    return map_batches(pairs.select("a", "b", "shared", "size_a", "size_b", "sketch_a", "sketch_b"), run, "a long, b long, shared long")
+
+
 def possible_pairs(node: np.ndarray, comp: np.ndarray, size: np.ndarray, side: np.ndarray, sketches: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a block that may be linked: parts that differ are a lower bound of the elements that do."""
     least = min(map(len, sketches))
@@ -242,14 +263,7 @@ def possible_pairs(node: np.ndarray, comp: np.ndarray, size: np.ndarray, side: n
 def blockwise(join: Join, rows: DataFrame, chunk: int = 512) -> DataFrame:
     """Pairs (a, b) of different components that stand in one region and may be linked. A region of any size is a number of blocks of bounded size;
     a block compares sketches in memory and returns only what they don't rule out."""
-    n, percent = join.n, join.percent
-
-    def sketched(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(b.column(1), n)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.binary())], names=["node", "size", "sketch"])
-
-    wanted = join.texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text")
-    sketches = written(map_batches(wanted, sketched, "node long, size int, sketch binary"))
+    percent = join.percent
     count = F.ceil(F.col("n") / chunk).cast("int")
     placed = rows.withColumn("count", count).withColumn("own", F.pmod(F.xxhash64("node"), F.col("count")).cast("int"))
     # a node's block meets every block of the region once; within its own block side is 0, else it tells the two apart
@@ -271,10 +285,19 @@ def blockwise(join: Join, rows: DataFrame, chunk: int = 512) -> DataFrame:
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    met = placed.join(sketches.join(lists, "node"), "node").select("key", "node", "comp", "side", "region", "size", "sketch", "regions")
+    met = placed.join(join.sketches.join(lists, "node"), "node").select("key", "node", "comp", "side", "region", "size", "sketch", "regions")
     return met.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
+def with_links(links: DataFrame, comps: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and components after the linked pairs of ``found`` have joined them."""
+    new = found.filter("linked").select("a", "b")
+    if new.isEmpty():
+        return links, comps
+    links = links.unionByName(new)
+    return links, components(links)
+
+
 def join_regions(join: Join, regions: DataFrame, links: DataFrame, comps: DataFrame, block: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """Hot cells (region, node): pivots, windows by the triangle inequality, recursion. Returns links and components."""
     radius = 1 - join.percent / 100
@@ -292,8 +315,7 @@ def join_regions(join: Join, regions: DataFrame, links: DataFrame, comps: DataFr
         if turn < rounds:
             pairs = pairs.unionByName(large.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
         found = join.compare(pairs)
-        links = links.unionByName(found.filter("linked").select("a", "b"))
-        comps = components(links)
+        links, comps = with_links(links, comps, found)
         if turn == rounds:
             break
         known = large.filter("node <> pivot").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}).join(found.select("a", "b", "apart"), ["a", "b"])
@@ -322,7 +344,7 @@ def near_classes(
 
     shown = map_batches(rows, lambda b: cell_rows(b, n, bands, block), ROW)
     route = F.when(F.col("kind") >= MEMBER, F.xxhash64("node")).otherwise(F.col("key"))
-    met = shown.withColumn("route", route).repartition("route").drop("route").sortWithinPartitions("key")
+    met = shown.repartition(route).sortWithinPartitions("key")
     out = written(met.mapInArrow(lambda batches: met_rows(batches, block), ROW))
 
     sets = out.filter(F.col("kind") == SET).select("node", "key", "other", "n")
@@ -339,12 +361,13 @@ def near_classes(
     # sets of too different sizes can't be linked, so neither their texts nor the pair need to travel
     alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     pairs = by_rep(pairs, "a", "b").filter("a <> b").filter(alike).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("shared").alias("shared"))
-    pairs = written(pairs)
+    sketches = written(out.filter("sketch is not null").select("node", F.col("n").alias("size"), "sketch").dropDuplicates(["node"]))
+    pairs = written(may_link(pairs, sketches, percent))
     hot = written(by_rep(out.filter(F.col("kind") == HOT).select(F.col("key").alias("region"), "node"), "node").select("region", "node").distinct())
     playing = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct()
     # merged at every size: how many documents play isn't bounded, so neither side is ever sent to all tasks
     texts = written(rows.join(playing.hint("merge"), "node").dropDuplicates(["node"]))
-    join = Join(texts, n, percent)
+    join = Join(texts, sketches, n, percent)
 
     # every document goes to its nearest pivot first: the smaller document with most parts in common
     nearest = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
@@ -352,8 +375,7 @@ def near_classes(
     links = found.filter("linked").select("a", "b")
     comps = components(links)
     rest = join.compare(apart_only(pairs.join(nearest, ["a", "b"], "left_anti"), comps))
-    links = links.unionByName(rest.filter("linked").select("a", "b"))
-    comps = components(links)
+    links, comps = with_links(links, comps, rest)
     links, comps = join_regions(join, hot, links, comps, block, rounds)
 
     classed = labelled(reps, "rep", comps).select("node", F.col("rep_comp").alias("component")).distinct()
