@@ -114,6 +114,9 @@ def _thinned(graph):
 graph_query("orphans", lambda g: edges.orphans(_thinned(g)),
             "WITH known AS (SELECT * FROM pous WHERE start_line % 9 <> 0) " + _ORPHAN_SQL, *GRAPH)
 
+graph_query("orphans_dangling", lambda g: edges.orphans(fixtures.dangling(g)),
+            fixtures.with_dangling("WITH known AS (SELECT * FROM pous) " + _ORPHAN_SQL), *GRAPH, "fields")
+
 _WALK_DEPTH_SQL = """
 SELECT max(depth) FROM walk_ends"""
 _WALK_ENDS = """walk_ends(node, depth) AS (
@@ -392,6 +395,26 @@ UNION ALL SELECT f.name, 'transitive', p.id, p.name, p.pou_type, p.file_path, d.
 FROM {_SHORTEST_ROWS} d JOIN found f ON f.id = d.root JOIN pous p ON p.id = d.id"""
 graph_query("impact", lambda g: traverse.impact(g, max_depth=3), f"{_IMPACT_SQL} {_IMPACT_ROWS}", *GRAPH)
 graph_query("impact_summary", lambda g: traverse.impact_summary(traverse.impact(g, max_depth=3)), f"""{_IMPACT_SQL}
+SELECT target, count(*) FILTER (scope = 'direct') AS direct_count, count(*) FILTER (scope = 'transitive') AS transitive_count,
+ max(depth) AS max_depth FROM ({_IMPACT_ROWS}) i GROUP BY target""", *GRAPH)
+# The same walks from all units at the operators' own depths.
+_FULL_CHAIN_SQL = _CHAIN_SQL.replace(f"c.depth < {DEPTH})", f"c.depth < {traverse.CALL_CHAIN_DEPTH})")
+graph_query("call_chain_full", traverse.call_chain,
+            _FULL_CHAIN_SQL + " SELECT root, from_id, to_id, depth, count(*) AS walks FROM chain GROUP BY ALL", "relationships")
+graph_query("call_chain_walks_full", lambda g: traverse.expand(traverse.call_chain(g)),
+            _FULL_CHAIN_SQL + " SELECT root, from_id, to_id, depth FROM chain", "relationships")
+graph_query("transitive_dependents_full", traverse.transitive_dependents,
+            _DEPENDENTS_SQL.format(roots="pous", depth=traverse.DEPENDENTS_DEPTH, **_SHORTEST) + f"""
+SELECT d.root, p.id, p.name, p.pou_type, p.file_path, d.rel_type, d.depth FROM {_SHORTEST_ROWS} d JOIN pous p ON p.id = d.id""",
+            "pous", "relationships")
+graph_query("dependent_paths_full", lambda g: traverse.transitive_dependents(g, mode="paths"),
+            _DEPENDENTS_SQL.format(roots="pous", depth=traverse.DEPENDENTS_DEPTH, **_PATHS) + """
+SELECT DISTINCT d.root, p.id, p.name, p.pou_type, p.file_path, d.rel_type, d.depth FROM dep d JOIN pous p ON p.id = d.id""",
+            "pous", "relationships")
+_FULL_IMPACT_SQL = _DEPENDENTS_SQL.format(roots="found", depth=traverse.DEPENDENTS_DEPTH, **_SHORTEST).replace(
+    "WITH RECURSIVE ", f"WITH RECURSIVE {_TARGETS_SQL}, ")
+graph_query("impact_full", traverse.impact, f"{_FULL_IMPACT_SQL} {_IMPACT_ROWS}", *GRAPH)
+graph_query("impact_summary_full", lambda g: traverse.impact_summary(traverse.impact(g)), f"""{_FULL_IMPACT_SQL}
 SELECT target, count(*) FILTER (scope = 'direct') AS direct_count, count(*) FILTER (scope = 'transitive') AS transitive_count,
  max(depth) AS max_depth FROM ({_IMPACT_ROWS}) i GROUP BY target""", *GRAPH)
 graph_query("cyclic_core", lambda g: traverse.cyclic_core(g.relationships), """

@@ -127,6 +127,19 @@ LEFT JOIN (SELECT from_id, string_agg(concat('  FB_', substr(to_id, 5), '(x := 1
  ON c.from_id = p.id""",
 }
 
+# Rows without their unit, type or end, besides all rows of a view; both engines run these texts.
+DANGLING = {
+    "variables": """
+SELECT concat('gone:', id) AS id, concat('gone:', pou_id) AS pou_id, name, direction, var_type, start_line
+ FROM variables WHERE start_line % 9 = 0""",
+    "fields": """
+SELECT concat('gone:', id) AS id, concat('gone:', parent_type_id) AS parent_type_id, name, field_type, start_line, file_path
+ FROM fields WHERE start_line % 11 = 0""",
+    "relationships": """
+SELECT concat('gone:', id) AS id, CASE WHEN type = 'CALLS' THEN from_id ELSE concat('gone:', from_id) END AS from_id,
+ concat('gone:', to_id) AS to_id, type FROM relationships WHERE from_id LIKE '%5'""",
+}
+
 # Views that read other views.
 _NEEDS = {"files": ("pous",), "corpus": ("pous", "variables", "relationships")}
 
@@ -152,6 +165,23 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(spark, **{name: partial(view, spark, sf_dir, name) for name in names})
 
 
+def dangling(graph: Graph) -> Graph:
+    """The whole graph and the rows of ``DANGLING``."""
+    more = {}
+    for name, text in DANGLING.items():
+        rows = getattr(graph, name)
+        more[name] = rows.unionByName(graph.spark.sql(text.replace(f"FROM {name}", "FROM {rows}"), rows=rows), allowMissingColumns=True)
+    return graph.with_tables(**more)
+
+
+def with_dangling(body: str) -> str:
+    """An oracle's body (``WITH ...``) that reads the tables of :func:`dangling` instead of the views."""
+    for name in DANGLING:
+        body = body.replace(f"FROM {name} ", f"FROM all_{name} ")
+    clauses = [f"all_{name} AS (SELECT * FROM {name} UNION ALL BY NAME ({text}))" for name, text in DANGLING.items()]
+    return _join_with(clauses, body)
+
+
 def oracle(body: str, *views: str) -> str:
     """``body`` with the views it names in front, in DuckDB's spelling."""
     wanted: list[str] = []
