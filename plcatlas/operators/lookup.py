@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plcatlas.functions import text
 from plcatlas.graph import Graph
-from plcatlas.operators.paging import LIST_ROWS, paged_lists
+from plcatlas.operators.paging import LIST_ROWS, list_sizes, paged_lists
 
 POU_KINDS = ("POU", "FUNCTION_BLOCK", "PROGRAM", "FUNCTION", "METHOD", "CLASS")
 TYPE_KINDS = ("TYPE", "STRUCT", "ENUM", "ARRAY")
@@ -242,30 +242,29 @@ def entity_snippets(
 
 
 def variable_flow(graph: Graph, pous: DataFrame | str | None = None, page_rows: int = LIST_ROWS) -> DataFrame:
-    """Inputs, outputs and internals (VAR, VAR_TEMP, VAR_IN_OUT) of every unit, or of the named ones."""
+    """Inputs, outputs and internals (VAR, VAR_TEMP, VAR_IN_OUT) of every unit, or of the named ones.
+
+    The counts are those of the unit and stand on each of its pages.
+    """
     units = graph.pous if pous is None else by_keys(graph.pous, "name", pous)
     direction = F.col("direction")
     item = F.struct("name", "var_type", F.col("start_line").alias("line"), "id")
     inner = F.struct("name", "var_type", "direction", F.col("start_line").alias("line"), "id")
-    lists = paged_lists(
-        graph.variables,
-        ["pou_id"],
-        {
-            "inputs": F.when(direction == "VAR_INPUT", item),
-            "outputs": F.when(direction == "VAR_OUTPUT", item),
-            "internals": F.when(direction.isin("VAR", "VAR_TEMP", "VAR_IN_OUT"), inner),
-        },
-        ["id"],
-        page_rows,
-    )
+    items = {
+        "inputs": F.when(direction == "VAR_INPUT", item),
+        "outputs": F.when(direction == "VAR_OUTPUT", item),
+        "internals": F.when(direction.isin("VAR", "VAR_TEMP", "VAR_IN_OUT"), inner),
+    }
+    lists = paged_lists(graph.variables, ["pou_id"], items, ["id"], page_rows)
+    sizes = list_sizes(graph.variables, ["pou_id"], {f"_{name}": entry for name, entry in items.items()})
     joined = units.select("id", "name", "pou_type", "file_path").join(
-        lists, F.col("id") == F.col("pou_id"), "left"
+        lists.join(sizes, "pou_id"), F.col("id") == F.col("pou_id"), "left"
     )
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    size = lambda c: F.coalesce(c, F.lit(0)).cast("int")
     return joined.select(
         "id", "name", "pou_type", "file_path", F.coalesce("page", F.lit(0)).alias("page"),
-        size(F.col("inputs")).alias("input_count"), size(F.col("outputs")).alias("output_count"),
-        size(F.col("internals")).alias("internal_count"), "inputs", "outputs", "internals",
+        size(F.col("_inputs")).alias("input_count"), size(F.col("_outputs")).alias("output_count"),
+        size(F.col("_internals")).alias("internal_count"), "inputs", "outputs", "internals",
     )
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plcatlas.graph import Graph
+from plcatlas.session import cut_lineage
 
 DEFAULT_LIMIT = 50
 LIST_ROWS = 10_000
@@ -49,31 +52,63 @@ def paged_lists(
     carry: list[str] | None = None,
     counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Sorted lists per key, at most about ``page_rows`` items in one row.
-
-    A key with more rows is spread over several numbered pages by a hash of the columns that make a row unique,
-    so a key that holds a large share of the table is neither gathered into one task nor cut off. Every other key
-    has the single page 0. Entries of ``lists`` that are null for a row are left out of that list; ``carry`` names
-    columns that have one value per key. ``counts`` (``*keys, _n``) saves counting the rows where that is known.
+    """Sorted lists per key, at most ``page_rows`` items of each list in one row.
+
+    Page p of a key holds the entries p * page_rows to (p + 1) * page_rows of each of its sorted lists, so the pages one
+    after the other are the whole lists in order, whatever ``page_rows`` is. The places of the entries come from a range
+    sort and the sizes of its ranges: a key that holds a large share of the table is neither gathered into one task
+    nor cut off. ``unique`` names columns that tell equal entries apart. Entries of ``lists`` that are null for a row are
+    left out of that list; ``carry`` names columns that have one value per key. ``counts`` (``*keys, _n``) saves
+    counting the rows where that is known. Sizes of whole lists are for the caller to count, see :func:`list_sizes`.
     """
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = (
-        counts.filter(F.col("_n") > page_rows)
-        .select(*keys, F.ceil(F.col("_n") / page_rows).cast("int").alias("_pages"))
-    )
-    paged = rows.join(heavy, keys, "left").withColumn(
-        "page",
-        F.when(F.col("_pages").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*[F.col(c) for c in unique]), F.col("_pages")).cast("int")
-        ),
-    )
+    heavy = cut_lineage(counts.filter(F.col("_n") > page_rows).select(*keys))
+    if heavy.isEmpty():
+        paged = rows.withColumn("page", F.lit(0)).select(*keys, *(carry or ()), "page", *_items(lists))
+    else:
+        same = reduce(and_, [rows[k].eqNullSafe(heavy[k]) for k in keys])
+        light = rows.join(heavy, same, "left_anti").withColumn("page", F.lit(0)).select(*keys, *(carry or ()), "page", *_items(lists))
+        paged = light.unionByName(_ranked(rows.join(heavy, same, "left_semi"), keys, lists, unique, page_rows, carry or []))
     return paged.groupBy(*keys, "page").agg(
         *[F.first(c).alias(c) for c in carry or ()],
-        *[F.sort_array(F.collect_list(item)).alias(name) for name, item in lists.items()],
+        *[F.sort_array(F.collect_list(f"_i{k}")).alias(name) for k, name in enumerate(lists)],
+    )
+
+
+def _items(lists: dict[str, Column]) -> list[Column]:
+    return [item.alias(f"_i{k}") for k, item in enumerate(lists.values())]
+
+
+def _ranked(rows: DataFrame, keys: list[str], lists: dict[str, Column], unique: list[str], page_rows: int, carry: list[str]) -> DataFrame:
+    """One row per entry with its page: ranks within the ranges of a sort, and in front of them the sizes of earlier ranges."""
+    items = [f"_i{k}" for k in range(len(lists))]
+    flat = rows.select(*keys, *carry, *[F.col(c).alias(f"_u{k}") for k, c in enumerate(unique)], *_items(lists))
+    kinds = F.array(*[F.when(F.col(c).isNotNull(), F.lit(k)) for k, c in enumerate(items)])
+    # a row without any entry stays, so that its key does
+    flat = flat.withColumn("_list", F.explode(F.when(F.exists(kinds, lambda k: k.isNotNull()), F.array_compact(kinds)).otherwise(F.array(F.lit(-1)))))
+    flat = flat.select(*keys, *carry, "_list", *[F.when(F.col("_list") == k, F.col(c)).alias(c) for k, c in enumerate(items)],
+                       *[f"_u{k}" for k in range(len(unique))])
+    order = [*items, *[f"_u{k}" for k in range(len(unique))]]
+    # written, since ranges are drawn from a sample and must be the same for ranks and sizes
+    ranges = cut_lineage(flat.repartitionByRange(*keys, "_list", *order).withColumn("_range", F.spark_partition_id()))
+    group = [*keys, "_list"]
+    sizes = ranges.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).select(
+        *[F.col(c).alias(f"_k{k}") for k, c in enumerate(group)], F.col("_range").alias("_r"), "_before")
+    placed = ranges.withColumn("_place", F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order)))
+    same = [placed[c].eqNullSafe(sizes[f"_k{k}"]) for k, c in enumerate(group)] + [placed["_range"] == sizes["_r"]]
+    return placed.join(sizes, reduce(and_, same)).select(
+        *keys, *carry, F.floor((F.col("_before") + F.col("_place") - 1) / page_rows).cast("int").alias("page"), *items
     )
 
 
+def list_sizes(rows: DataFrame, keys: list[str], lists: dict[str, Column]) -> DataFrame:
+    """Entries of each list per key, over all its pages."""
+    return rows.groupBy(*keys).agg(*[F.count(item).alias(name) for name, item in lists.items()])
+
+
 def graph_nodes(graph: Graph, kinds: tuple[str, ...] = ("POU", "TYPE")) -> DataFrame:
     """Nodes of the graph in one shape."""
     pous = graph.pous.select(

@@ -86,8 +86,14 @@ def _page_path(folder: str, doc: Column, page: Column) -> Column:
 
 
 def _links(value: Column) -> Column:
-    """Sorted distinct links, one per line."""
-    return F.array_join(F.array_sort(F.array_distinct(value)), "\n")
+    """Sorted links, one per line; :func:`_once` has made them distinct."""
+    return F.array_join(F.array_sort(value), "\n")
+
+
+def _once(members: DataFrame) -> DataFrame:
+    """Variables as they are, and each link of a unit once, before the lists are cut into pages."""
+    links = members.filter("variable is null").groupBy("id", "call", "caller").agg(F.min("member").alias("member"))
+    return members.filter("variable is not null").unionByName(links, allowMissingColumns=True)
 
 
 def _pou_members(graph: Graph, docs: DataFrame) -> DataFrame:
@@ -126,7 +132,8 @@ def pou_documents(graph: Graph, corpus: DataFrame | None = None, page_rows: int
         F.count("variable").alias("n_variables"), F.count("call").alias("n_calls"), F.count("caller").alias("n_callers")
     )
     lists = paged_lists(
-        members, ["id"], {"variables": F.col("variable"), "calls": F.col("call"), "callers": F.col("caller")}, ["member"], page_rows,
+        _once(members), ["id"], {"variables": F.col("variable"), "calls": F.col("call"), "callers": F.col("caller")}, ["member"], page_rows,
+        # repeated links are in these counts: at worst a key is ranked that has one page
         counts=counts.select("id", (F.col("n_variables") + F.col("n_calls") + F.col("n_callers")).alias("_n")),
     )
     rows = (

@@ -280,6 +280,19 @@ SELECT p.id, p.name, 0 AS page, CAST(count(*) FILTER (v.direction = 'VAR_INPUT')
  {_LIST.format(item="v.name || ' ' || v.var_type || ' ' || v.direction",
                where="v.direction IN ('VAR', 'VAR_TEMP', 'VAR_IN_OUT')")} AS internals
 FROM pous p LEFT JOIN variables v ON v.pou_id = p.id GROUP BY p.id, p.name""", "pous", "variables")
+_KINDS = {"inputs": "v.direction = 'VAR_INPUT'", "outputs": "v.direction = 'VAR_OUTPUT'",
+          "internals": "v.direction IN ('VAR', 'VAR_TEMP', 'VAR_IN_OUT')"}
+graph_query("variable_flow_pages", lambda g: lookup.variable_flow(g, page_rows=1).select(
+    "id", "page", "input_count", "output_count", "internal_count",
+    *[F.coalesce(joined(c, "name", "id"), F.lit("")).alias(c) for c in _KINDS]), f"""
+WITH ranked AS (SELECT v.pou_id, v.direction, v.name || ' ' || v.id AS entry, CAST(row_number() OVER (PARTITION BY v.pou_id,
+  CASE WHEN {_KINDS["inputs"]} THEN 0 WHEN {_KINDS["outputs"]} THEN 1 ELSE 2 END ORDER BY v.name, v.var_type, v.id) - 1 AS INT) AS page
+ FROM variables v),
+sizes AS (SELECT p.id, CAST(count(*) FILTER ({_KINDS["inputs"]}) AS INT) AS input_count, CAST(count(*) FILTER ({_KINDS["outputs"]}) AS INT) AS output_count,
+ CAST(count(*) FILTER ({_KINDS["internals"]}) AS INT) AS internal_count FROM pous p LEFT JOIN variables v ON v.pou_id = p.id GROUP BY p.id)
+SELECT s.id, coalesce(v.page, 0) AS page, s.input_count, s.output_count, s.internal_count,
+ {", ".join(f"coalesce(max(v.entry) FILTER ({where}), '') AS {name}" for name, where in _KINDS.items())}
+FROM sizes s LEFT JOIN ranked v ON v.pou_id = s.id GROUP BY ALL""", "pous", "variables")
 graph_query("state_machine_candidates", lookup.state_machine_candidates, """
 SELECT id, name, pou_type, file_path, start_line, end_line FROM pous WHERE pou_type IN ('FUNCTION_BLOCK', 'PROGRAM')""", "pous")
 graph_query("entity_cards", lambda g: lookup.entity_cards(g).select(

@@ -82,6 +82,33 @@ def test_paged_lists_keep_everything(spark):
     assert [(p.page, p.vs) for p in pages if p.k == "cold"] == [(0, [1])]
 
 
+def test_pages_are_ranges_of_the_sorted_lists(spark):
+    rows = [(k, f"i{i:03}", i * 37 % 101, i % 3) for k, n in (("hot", 400), (None, 95), ("cold", 3)) for i in range(n)] + [("none", "x", None, 0)]
+    df = spark.createDataFrame(rows, "k STRING, id STRING, v INT, list INT").repartition(7)
+    lists = {"a": F.when(F.col("list") == 0, F.col("v")), "b": F.when(F.col("list") > 0, F.struct("v", "id"))}
+    whole = {r.k: (r.a, r.b) for r in paging.paged_lists(df, ["k"], lists, ["id"]).collect()}
+    pages = sorted(paging.paged_lists(df, ["k"], lists, ["id"], page_rows=20).collect(), key=lambda r: r.page)
+    for k, (a, b) in whole.items():
+        own = [r for r in pages if r.k == k]
+        assert [x for r in own for x in r.a] == a and [x for r in own for x in r.b] == b
+        assert [r.page for r in own] == list(range(len(own)))
+        assert all(len(r.a) == min(20, max(0, len(a) - 20 * r.page)) for r in own)
+
+
+def test_counts_and_links_of_paged_units(spark):
+    from plcatlas.operators import render
+
+    graph = small_graph(spark, [(0, 1)] * 30 + [(2, 1)] * 5 + [(0, 2)], 3)
+    var = "id STRING, pou_id STRING, name STRING, direction STRING, var_type STRING"
+    graph = graph.with_tables(variables=spark.createDataFrame([(f"v{i}", "n0", f"x{i}", "VAR_INPUT", "T") for i in range(30)], var))
+    flow = [r for r in lookup.variable_flow(graph, page_rows=10).collect() if r.id == "n0"]
+    assert len(flow) == 3 and {r.input_count for r in flow} == {30} and {r.output_count for r in flow} == {0}
+    pages = sorted(render.pou_documents(graph, page_rows=10).filter("entity_id = 'n0'").collect(), key=lambda r: r.page)
+    bodies = "\n".join(r.body for r in pages)
+    assert bodies.count("[[N1|f1]]") == 1 and bodies.count("[[N2|f2]]") == 1 and "Outgoing CALLS (31)" in bodies
+    assert [bodies.index(f"`x{i}`") for i in sorted(range(30), key=str)] == sorted(bodies.index(f"`x{i}`") for i in range(30))
+
+
 def test_clones_ignore_order(spark):
     var = "id STRING, pou_id STRING, name STRING, direction STRING, var_type STRING"
     sets = {"n0": "abc", "n1": "cba", "n2": "abd", "n3": "ab", "n4": "aab", "n5": "abb"}
