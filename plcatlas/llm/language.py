@@ -5,8 +5,8 @@ three-grams, itself, and whether the lexicon of a language (words that the train
 between neighbouring words are learned as well. Forward-backward gives each word's probability of each language; a text's language is the one
 with the most expected words, and its share is the score.
 
-Trained on at most ``SAMPLE`` texts, no more than ``PER_LANGUAGE`` of each language, those whose ids have the smallest hashes, by gradient steps on the
-likelihood; chains of two languages are joined from the training chains, so that switches are learned. Chains have at most ``CHAIN`` words;
+Trained on the texts of ``PER_LANGUAGE`` ids of each language, those with the smallest hashes among the distinct ids of that language
+(all of them where there are fewer), however rare or frequent the language is, by gradient steps on the likelihood; chains of two languages are joined from the training chains, so that switches are learned. Chains have at most ``CHAIN`` words;
 a longer text is several chains, all of which count.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with letters but no trained language it is ``und`` too;
@@ -19,14 +19,14 @@ import dataclasses
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plcatlas.llm.common import map_batches
 from plcatlas.llm.words import hash_slices, words_of
 
-SAMPLE = 6000
 PER_LANGUAGE = 120
+SALTS = 64
 CHAIN = 64
 BUCKETS = 1 << 16
 GRAMS = 24
@@ -237,21 +237,30 @@ def chain_cells(tokens: Tokens, state: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate([x, join(x)]) for x in (cell, real, gold))
 
 
-def train(docs: DataFrame, eligible: str, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Tagger | None:
-    """Fits the tagger on a bounded sample of the rows that meet ``eligible``, a condition on ``id`` and ``lang``."""
+def sample(known: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """Of each language the ``per_language`` distinct ids (``id, lang``) with the smallest hashes, ties by id.
+
+    The smallest of each of ``SALTS`` parts of a language are taken first, so a hot language isn't one task. Rows of one
+    id in one language count once.
+    """
+    part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(SALTS))
+    ids = known.select("id", "lang").distinct().withColumn("_hash", F.xxhash64("id")).withColumn("_part", part)
+    for group in (["lang", "_part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy("_hash", "id"))
+        ids = ids.withColumn("_rank", rank).filter(F.col("_rank") <= per_language).drop("_rank")
+    return ids.select("id", "lang")
+
+
+def train(docs: DataFrame, eligible: str, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = PER_LANGUAGE) -> Tagger | None:
+    """Fits the tagger on ``per_language`` ids of every language among the rows that meet ``eligible``, a condition on ``id`` and ``lang``."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
     known = rows.filter(eligible).filter("lang is not null and id is not null and text is not null").select("id", "lang")
-    taken: dict[str, list[int]] = {}
-    for row in known.orderBy(F.xxhash64("id"), "id", "lang").limit(SAMPLE).collect():
-        own = taken.setdefault(row.lang, [])
-        if len(own) < PER_LANGUAGE:
-            own.append(row.id)
+    pairs = [(r.id, r.lang) for r in sample(known, per_language).collect()]
     spark = docs.sparkSession
-    pairs = [(i, lang) for lang, own in taken.items() for i in own]
     if not pairs:
         return None
-    # no more than SAMPLE ids, so the list is small at any size of the input
-    chosen = F.broadcast(spark.createDataFrame(pairs, "id long, lang string").distinct())
+    # no more than per_language ids of each language, so the list is small at any size of the input
+    chosen = F.broadcast(spark.createDataFrame(pairs, "id long, lang string"))
     found = sorted((r.lang, r.text) for r in rows.filter("text is not null").join(chosen, ["id", "lang"]).select("lang", "text").collect())
     return fit([text for _, text in found], [lang for lang, _ in found])
 
