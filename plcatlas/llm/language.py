@@ -1,7 +1,7 @@
 """Language identification of code-switched text with a linear-chain conditional random field.
 
-Method: every word is a position of a chain and every language a state. A word's features are its prefixes, suffixes, character
-three-grams, itself, and whether the lexicon of a language (words that the training rows of that language use more than others) holds it; transitions
+Method: every word is a position of a chain and every language a state. A word's features are its prefixes, suffixes, byte
+three-grams at all of its places, itself, and whether the lexicon of a language (words that the training rows of that language use more than others) holds it; transitions
 between neighbouring words are learned as well. Forward-backward gives each word's probability of each language; a text's language is the one
 with the most expected words, and its share is the score.
 
@@ -9,6 +9,8 @@ Trained on the texts of ``PER_LANGUAGE`` ids of each language, those with the sm
 (all of them where there are fewer), however rare or frequent the language is, by gradient steps on the likelihood; chains of two languages are joined from the training chains, so that switches are learned. Chains have at most ``CHAIN`` words;
 a longer text is several chains, all of which count.
 
+Only ASCII bytes other than letters part words, so a run without spaces (Chinese, Japanese, Thai) is one word with one vote; all of it counts.
+
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with letters but no trained language it is ``und`` too;
 ties go to the language that comes first by code point; repeated rows are judged alike; other columns are ignored.
 """
@@ -23,16 +25,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plcatlas.llm.common import map_batches
-from plcatlas.llm.words import hash_slices, words_of
+from plcatlas.llm.words import hash_slices, mix, words_of
 
 PER_LANGUAGE = 120
 SALTS = 64
 CHAIN = 64
 BUCKETS = 1 << 16
-GRAMS = 24
+BLOCK = 1 << 20
 LEXICON = 2000
 CELLS = 2_000_000
 UNKNOWN = "und"
+# What hash_slices mixes into a slice of three bytes with seed 30.
+GRAM_SEED = np.uint64(33 * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 # Bytes between words: all of ASCII but letters.
 APART = np.zeros(256, dtype=bool)
 APART[:128] = True
@@ -72,14 +76,20 @@ class Tokens:
             columns.append(np.where(size >= n, hash_slices(data, s, np.minimum(s + n, e), 10 + n), 0))
         for n in (1, 2, 3, 4):
             columns.append(np.where(size >= n, hash_slices(data, np.maximum(e - n, s), e, 20 + n), 0))
-        for at in range(min(GRAMS, int(size.max()) - 2 if len(size) else 0)):
-            has = size >= at + 3
-            column = np.zeros(len(s), np.uint64)
-            column[has] = hash_slices(data, s[has] + at, s[has] + at + 3, 30)
-            columns.append(column)
         found = np.stack(columns, axis=1)
         return np.where(found == 0, BUCKETS, (found >> np.uint64(48)).astype(np.int64)).astype(np.int32)
 
+    def grams(self):
+        """Distinct words and buckets of their three-grams, at all places of a word, in blocks of at most ``BLOCK``; words ascend."""
+        until = np.cumsum(np.maximum(self.ends - self.starts - 2, 0))
+        total = int(until[-1]) if len(until) else 0
+        for at in range(0, total, BLOCK):
+            place = np.arange(at, min(at + BLOCK, total))
+            word = np.searchsorted(until, place, side="right")
+            start = self.ends[word] - 2 - (until[word] - place)
+            three = sum(self.words.data[start + k].astype(np.uint64) << np.uint64(8 * k) for k in range(3))
+            yield word, (mix(three ^ GRAM_SEED) >> np.uint64(48)).astype(np.int32)
+
     def has_letter(self, texts) -> np.ndarray:
         counts = self.words.counts() > 0
         data, offsets = self.words.data, self.words.offsets
@@ -102,11 +112,14 @@ class Tagger:
     moves: np.ndarray
     begin: np.ndarray
 
-    def emissions(self, tokens: Tokens) -> np.ndarray:
-        features = tokens.features()
+    def emissions(self, tokens: Tokens, features: np.ndarray | None = None, grams=None) -> np.ndarray:
         out = np.zeros((len(tokens.kinds), len(self.languages)))
-        for column in features.T:
+        for column in (tokens.features() if features is None else features).T:
             out += self.weights[column]
+        for word, bucket in tokens.grams() if grams is None else grams:
+            low, high = word[0], word[-1] + 1
+            for k in range(len(self.languages)):
+                out[low:high, k] += np.bincount(word - low, self.weights[bucket, k], minlength=high - low)
         return out + self.membership(tokens.kinds) @ self.lexicon_weights
 
     def membership(self, kinds: np.ndarray) -> np.ndarray:
@@ -192,7 +205,7 @@ def fit(texts: list[str], labels: list[str], steps: int = 30, rate: float = 0.2,
     if tokens.chains == 0:
         return model
     cell, real, gold = chain_cells(tokens, state)
-    features, member = tokens.features(), model.membership(tokens.kinds)
+    features, grams, member = tokens.features(), list(tokens.grams()), model.membership(tokens.kinds)
     shape = [model.weights.shape, model.lexicon_weights.shape, model.moves.shape, model.begin.shape]
     first, second = [np.zeros(x) for x in shape], [np.zeros(x) for x in shape]
     total = real.sum()
@@ -200,7 +213,7 @@ def fit(texts: list[str], labels: list[str], steps: int = 30, rate: float = 0.2,
     stays = np.zeros((n, n))
     np.add.at(stays, (gold[:, :-1][real[:, 1:]], gold[:, 1:][real[:, 1:]]), 1)
     for t in range(1, steps + 1):
-        emission = model.emissions(tokens)
+        emission = model.emissions(tokens, features, grams)
         grads = [np.zeros(x) for x in shape]
         slip = np.zeros((kinds, n))
         moved, begun = np.zeros((n, n)), np.zeros(n)
@@ -216,6 +229,9 @@ def fit(texts: list[str], labels: list[str], steps: int = 30, rate: float = 0.2,
         for column in features.T:
             for k in range(n):
                 grads[0][:, k] += np.bincount(column, slip[:, k], minlength=BUCKETS + 1)
+        for word, bucket in grams:
+            for k in range(n):
+                grads[0][:, k] += np.bincount(bucket, slip[word, k], minlength=BUCKETS + 1)
         grads[1], grads[2], grads[3] = member.T @ slip, moved - stays, begun
         for k, part in enumerate((model.weights, model.lexicon_weights, model.moves, model.begin)):
             g = grads[k] / total + ridge * part

@@ -264,6 +264,32 @@ def test_language_sample_holds_rare_languages(spark):
     assert language.train(docs, "true").languages == ["hot", "rare"]
 
 
+def test_language_reads_whole_words():
+    """Words that differ from their 27th byte on only, in front of the last few, are told apart; every three-gram is there."""
+    import numpy as np
+    import pyarrow as pa
+
+    from plcatlas.llm.words import hash_slices
+
+    rnd = random.Random(3)
+    head, tail = "q" * 40, "z" * 8
+    made = lambda letters, n=60: head + "".join(rnd.choice(letters) for _ in range(n)) + tail
+    model = language.fit([made(x) for x in ("abcd", "mnop") for _ in range(60)], [x for x in ("en", "xx") for _ in range(60)])
+    new = [made("abcd", 5000), made("mnop", 5000), made("abcd"), made("mnop")]
+    assert language.judge(pa.array(new), model)[0] == ["en", "xx", "en", "xx"]
+    column = pa.array(["ab abc 漢字のテキスト" * 3, "x" * 50, None, "long" * 20_000])
+    tokens, block = language.Tokens(column), language.BLOCK
+    try:
+        language.BLOCK = 1000
+        got = [(w, b) for words, buckets in tokens.grams() for w, b in zip(words, buckets)]
+    finally:
+        language.BLOCK = block
+    want = [(w, a) for w, (s, e) in enumerate(zip(tokens.starts, tokens.ends)) for a in range(s, e - 2)]
+    places = np.array([a for _, a in want])
+    buckets = hash_slices(tokens.words.data, places, places + 3, 30) >> np.uint64(48)
+    assert got == [(w, b) for (w, _), b in zip(want, buckets)]
+
+
 def test_exact(docs, rows, odd, empty):
     groups = {}
     for i, t, *_ in rows:
