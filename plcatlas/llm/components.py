@@ -32,5 +32,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi") % 1_000_003), F.sum("lo")).first()
+    row = edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi") % 1_000_003), F.bit_xor(F.xxhash64("hi", "lo"))).first()
     return tuple(row)
