@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plcatlas.graph import Graph
+from plcatlas.operators import reach, strong
 from plcatlas.operators.edges import direct_dependents, targets
 from plcatlas.operators.lookup import by_keys
 from plcatlas.session import cut_lineage
@@ -59,10 +60,26 @@ def expand(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("walks")))).drop("_i", "walks")
 
 
-def call_chain(graph: Graph, roots: DataFrame | None = None, max_depth: int = CALL_CHAIN_DEPTH) -> DataFrame:
-    """Call edges on every walk from the roots (ids), with depth and number of walks; from all units by default."""
-    starts = graph.pous.select("id") if roots is None else roots
-    return walks(graph.calls.select("from_id", "to_id"), starts, max_depth)
+def call_chain(graph: Graph, roots: DataFrame, max_depth: int = CALL_CHAIN_DEPTH) -> DataFrame:
+    """Call edges on every walk from the roots (ids), with depth and number of walks."""
+    return walks(graph.calls.select("from_id", "to_id"), roots, max_depth)
+
+
+def chain_sizes(calls: DataFrame, max_depth: int) -> DataFrame:
+    """``id, chain_size, chain_depth``: how many walks of up to ``max_depth`` calls begin at a unit, and how long the longest is.
+
+    Walks of k calls from a unit are those of k - 1 calls from its callees, so a level has one row a unit, whatever the number of walks.
+    """
+    links = cut_lineage(calls.groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("n")))
+    level = cut_lineage(links.groupBy(F.col("from_id").alias("id")).agg(F.sum("n").alias("walks")))
+    levels = [level.withColumn("depth", F.lit(1))]
+    for depth in range(2, max_depth + 1):
+        step = links.join(level, links["to_id"] == level["id"]).groupBy(links["from_id"]).agg(F.sum(F.col("n") * F.col("walks")).alias("walks"))
+        level = cut_lineage(step.withColumnRenamed("from_id", "id"))
+        if level.isEmpty():
+            break
+        levels.append(level.withColumn("depth", F.lit(depth)))
+    return _union(levels).groupBy("id").agg(F.sum("walks").alias("chain_size"), F.max("depth").alias("chain_depth"))
 
 
 def calls_view(graph: Graph, roots: DataFrame | None = None, max_depth: int = CALLS_VIEW_DEPTH) -> DataFrame:
@@ -70,9 +87,7 @@ def calls_view(graph: Graph, roots: DataFrame | None = None, max_depth: int = CA
     units = graph.pous.select("id", "name", "pou_type", "file_path")
     if roots is not None:
         units = by_keys(units, "id", roots)
-    chain = call_chain(graph, roots, max_depth).groupBy(F.col("root").alias("id")).agg(
-        F.sum("walks").alias("chain_size"), F.max("depth").alias("chain_depth")
-    )
+    chain = chain_sizes(graph.calls.select("from_id", "to_id"), max_depth)
     ends = graph.calls.select(F.explode(F.array(
         F.struct(F.col("from_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")),
         F.struct(F.col("to_id").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")),
@@ -116,39 +131,35 @@ def _with_units(graph: Graph, rows: DataFrame) -> DataFrame:
     return rows.join(units, "id").select("root", "id", "name", "pou_type", "file_path", "rel_type", "depth")
 
 
+def dependents(graph: Graph, roots: DataFrame, max_depth: int = DEPENDENTS_DEPTH) -> reach.Reach:
+    """The search behind :func:`transitive_dependents`, with a bit a root: levels hold each dependent at its smallest depth."""
+    edges = _dependency_edges(graph).select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), F.col("rel_type").alias("label"))
+    return reach.search(edges, edges.filter("label <> 'CONTAINS'"), roots, max_depth)
+
+
 def transitive_dependents(
-    graph: Graph, roots: DataFrame | None = None, max_depth: int = DEPENDENTS_DEPTH, mode: str = "shortest"
+    graph: Graph, roots: DataFrame, max_depth: int = DEPENDENTS_DEPTH, mode: str = "shortest"
 ) -> DataFrame:
     """Units that depend on the roots (ids) over any number of edges: ``(root, id, ..., rel_type, depth)``.
 
     The first edge may be of any type, later ones are not CONTAINS. ``shortest`` reports a dependent at its smallest
     depth only and visits it once. ``paths`` reports every depth at which a path without repeated units ends; the
-    number of such paths can grow exponentially with the depth.
+    number of such paths can grow exponentially with the depth. The rows are pairs; ``impact_reach`` counts them without making them.
     """
-    if mode not in ("shortest", "paths"):
+    if mode == "shortest":
+        return _with_units(graph, reach.pairs(dependents(graph, roots, max_depth)).withColumnRenamed("label", "rel_type"))
+    if mode != "paths":
         raise ValueError(f"unknown mode: {mode}")
     edges = _dependency_edges(graph)
-    starts = graph.pous.select("id") if roots is None else roots
-    starts = starts.select(F.col(starts.columns[0]).alias("root")).distinct()
+    starts = roots.select(F.col(roots.columns[0]).alias("root")).distinct()
     first = edges.join(starts, edges["to_id"] == starts["root"]).select("root", F.col("from_id").alias("id"), "rel_type")
-    later = edges.filter("rel_type <> 'CONTAINS'")
-    rows = _shortest(first, later, max_depth) if mode == "shortest" else _paths(first, later, max_depth)
-    return _with_units(graph, rows)
+    return _with_units(graph, _paths(first, edges.filter("rel_type <> 'CONTAINS'"), max_depth))
 
 
-def _shortest(first: DataFrame, later: DataFrame, max_depth: int) -> DataFrame:
-    level = cut_lineage(first.distinct())
-    levels, visited = [level.withColumn("depth", F.lit(1))], level.select("root", "id").distinct()
-    for depth in range(2, max_depth + 1):
-        frontier = level.select("root", F.col("id").alias("to_id")).distinct()
-        step = frontier.join(later, "to_id").select("root", F.col("from_id").alias("id"), "rel_type").distinct()
-        level = cut_lineage(step.join(visited, ["root", "id"], "left_anti"))
-        if level.isEmpty():
-            break
-        levels.append(level.withColumn("depth", F.lit(depth)))
-        # levels do not overlap, so the visited set is their plain union of written tables
-        visited = visited.unionByName(level.select("root", "id").distinct())
-    return _union(levels)
+def impact_reach(graph: Graph, roots: DataFrame, max_depth: int = DEPENDENTS_DEPTH) -> DataFrame:
+    """Per unit: on how many of the roots it depends, and at which smallest depth."""
+    units = graph.pous.select("id", "name", "pou_type", "file_path")
+    return units.join(reach.root_counts(dependents(graph, roots, max_depth)), "id")
 
 
 def _paths(first: DataFrame, later: DataFrame, max_depth: int) -> DataFrame:
@@ -219,18 +230,13 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
 
     The result is empty exactly if the edges hold no cycle; otherwise it holds the cycles and what connects them.
     """
-    core = cut_lineage(edges.select("from_id", "to_id").distinct())
-    size = core.count()
-    while size:
-        sources = core.select(F.col("from_id").alias("node")).distinct()
-        inner = core.join(sources, core["to_id"] == sources["node"], "left_semi")
-        sinks = inner.select(F.col("to_id").alias("node")).distinct()
-        core = cut_lineage(inner.join(sinks, inner["from_id"] == sinks["node"], "left_semi"))
-        before, size = size, core.count()
-        if size == before:
-            break
-    return core
+    return strong.trimmed(edges)
 
 
 def has_cycle(edges: DataFrame) -> bool:
     return not cyclic_core(edges).isEmpty()
+
+
+def strong_components(graph: Graph) -> DataFrame:
+    """``node, component``: entities that lead to each other over edges of any type."""
+    return strong.strong_components(graph.relationships)

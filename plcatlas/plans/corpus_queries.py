@@ -177,31 +177,21 @@ graph_query("registry_totals", lambda g: tables.registry_totals(g.files), """
 SELECT count(*) AS total_files, CAST(sum(pou_count) AS BIGINT) AS total_pous FROM files""", "files")
 
 
-def _thinned(g):
-    return g.with_tables(pous=g.pous.filter("start_line % 9 <> 0"), types=g.types.filter("start_line % 11 <> 0"))
-
-
 _KNOWN = """
-known AS (SELECT id FROM pous WHERE start_line % 9 <> 0), kinds AS (SELECT id FROM types WHERE start_line % 11 <> 0),
+known AS (SELECT id FROM pous), kinds AS (SELECT id FROM types),
 nodes AS (SELECT id FROM known UNION ALL SELECT id FROM kinds),
 rejects AS (SELECT 'variable' AS kind, id, 'unknown unit' AS reason FROM variables WHERE pou_id NOT IN (SELECT id FROM known)
  UNION ALL SELECT 'field', id, 'unknown type' FROM fields WHERE parent_type_id NOT IN (SELECT id FROM kinds)
  UNION ALL SELECT 'relationship', id, CASE WHEN from_id NOT IN (SELECT id FROM nodes) THEN 'unknown source' ELSE 'unknown target' END
  FROM relationships WHERE from_id NOT IN (SELECT id FROM nodes) OR to_id NOT IN (SELECT id FROM nodes))"""
 _VIEWS = ("pous", "variables", "types", "fields", "relationships")
-graph_query("rejects", lambda g: resolve.validate(_thinned(g))[1], f"WITH {_KNOWN} SELECT * FROM rejects", *_VIEWS)
-graph_query("rejects_by_reason", lambda g: resolve.rejects_by_reason(resolve.validate(_thinned(g))[1]),
-            f"WITH {_KNOWN} SELECT kind, reason, count(*) AS count FROM rejects GROUP BY kind, reason", *_VIEWS)
-graph_query("valid_edges", lambda g: resolve.validate(_thinned(g))[0].relationships.select("id", "from_id", "to_id", "type"), f"""
-WITH {_KNOWN} SELECT id, from_id, to_id, type FROM relationships WHERE id NOT IN (SELECT id FROM rejects)""", *_VIEWS)
-_WHOLE = _KNOWN.replace("pous WHERE start_line % 9 <> 0", "pous").replace("types WHERE start_line % 11 <> 0", "types")
-graph_query("rejects_dangling", lambda g: resolve.validate(fixtures.dangling(g))[1],
-            fixtures.with_dangling(f"WITH {_WHOLE} SELECT * FROM rejects"), *_VIEWS)
-graph_query("rejects_by_reason_dangling", lambda g: resolve.rejects_by_reason(resolve.validate(fixtures.dangling(g))[1]),
-            fixtures.with_dangling(f"WITH {_WHOLE} SELECT kind, reason, count(*) AS count FROM rejects GROUP BY kind, reason"), *_VIEWS)
-graph_query("valid_edges_dangling", lambda g: resolve.validate(fixtures.dangling(g))[0].relationships.select("id", "from_id", "to_id", "type"),
+graph_query("rejects", lambda g: resolve.validate(fixtures.dangling(g))[1],
+            fixtures.with_dangling(f"WITH {_KNOWN} SELECT * FROM rejects"), *_VIEWS)
+graph_query("rejects_by_reason", lambda g: resolve.rejects_by_reason(resolve.validate(fixtures.dangling(g))[1]),
+            fixtures.with_dangling(f"WITH {_KNOWN} SELECT kind, reason, count(*) AS count FROM rejects GROUP BY kind, reason"), *_VIEWS)
+graph_query("valid_edges", lambda g: resolve.validate(fixtures.dangling(g))[0].relationships.select("id", "from_id", "to_id", "type"),
             fixtures.with_dangling(f"""
-WITH {_WHOLE} SELECT id, from_id, to_id, type FROM relationships WHERE id NOT IN (SELECT id FROM rejects)"""), *_VIEWS)
+WITH {_KNOWN} SELECT id, from_id, to_id, type FROM relationships WHERE id NOT IN (SELECT id FROM rejects)"""), *_VIEWS)
 graph_query("type_removal", lambda g: tables.remove_types(g, g.types.filter("type_kind = 'ENUM'").select("id")).relationships
             .select("id", "from_id", "to_id", "type"), """
 SELECT r.id, r.from_id, r.to_id, r.type FROM relationships r

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plcatlas.operators import clones, edges, lookup, metrics, paging, traverse
+from plcatlas.operators import clones, edges, lookup, metrics, near_clones, paging, traverse
 from plcatlas.plans.registry import Registry
 from plcatlas.sources import fixtures
 
@@ -14,7 +14,6 @@ registry = Registry()
 define = registry.define
 
 GRAPH = ("pous", "variables", "types", "relationships")
-DEPTH = 5
 
 _METRICS_SQL = """
 SELECT p.id, p.name, p.pou_type, p.file_path, coalesce(p.end_line, p.start_line) - p.start_line + 1 AS lines,
@@ -105,16 +104,7 @@ SELECT v.id, v.name, v.pou_id AS place, 'variable' AS type FROM variables v WHER
 UNION ALL SELECT r.id, r.type, NULL, 'relationship' FROM relationships r
 WHERE r.from_id NOT IN (SELECT id FROM known UNION ALL SELECT id FROM types)"""
 
-
-def _thinned(graph):
-    """The graph with every ninth unit gone: its variables and edges lose their ends."""
-    return graph.with_tables(pous=graph.pous.filter("start_line % 9 <> 0"))
-
-
-graph_query("orphans", lambda g: edges.orphans(_thinned(g)),
-            "WITH known AS (SELECT * FROM pous WHERE start_line % 9 <> 0) " + _ORPHAN_SQL, *GRAPH)
-
-graph_query("orphans_dangling", lambda g: edges.orphans(fixtures.dangling(g)),
+graph_query("orphans", lambda g: edges.orphans(fixtures.dangling(g)),
             fixtures.with_dangling("WITH known AS (SELECT * FROM pous) " + _ORPHAN_SQL), *GRAPH, "fields")
 
 _WALK_DEPTH_SQL = """
@@ -177,6 +167,16 @@ graph_query("clone_summary", lambda g: clones.clone_summary(clones.pou_clones(g)
 graph_query("clone_signatures", lambda g: clones.signatures_of(g, clones.pou_clones(g)), _CLONES_SQL.format(
     scope="", select="""SELECT v.pou_id AS group_id, v.name || ':' || v.var_type AS item FROM variables v
 JOIN grp g ON g.group_id = v.pou_id WHERE v.direction IN ('VAR_INPUT', 'VAR_OUTPUT', 'VAR_IN_OUT')"""), "pous", "variables")
+define("near_clones", lambda spark, sf: near_clones.near_clones(fixtures.graph(spark, sf).with_tables(
+    variables=fixtures.view(spark, sf, "wide_variables"))), fixtures.oracle("""
+WITH items AS (SELECT DISTINCT pou_id AS id, name || ':' || var_type AS item FROM wide_variables
+  WHERE direction IN ('VAR_INPUT', 'VAR_OUTPUT', 'VAR_IN_OUT')),
+ sets AS (SELECT id, count(*) AS size, string_agg(item, ';' ORDER BY item) AS sig FROM items GROUP BY id HAVING count(*) >= 3),
+ shared AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM items a JOIN items b ON b.item = a.item AND b.id <> a.id GROUP BY a.id, b.id),
+ linked AS (SELECT s.a, s.b, y.sig FROM shared s JOIN sets x ON x.id = s.a JOIN sets y ON y.id = s.b WHERE 100 * s.n >= 80 * (x.size + y.size - s.n))
+SELECT p.id, p.name, p.file_path, c.class_id, c.class_size, x.size, count(DISTINCT l.sig) FILTER (l.sig <> x.sig) AS near_classes, count(*) AS links
+FROM linked l JOIN sets x ON x.id = l.a JOIN pous p ON p.id = l.a JOIN (SELECT sig, min(id) AS class_id, count(*) AS class_size FROM sets GROUP BY sig) c ON c.sig = x.sig
+GROUP BY ALL""", "pous", "wide_variables"))
 graph_query("type_clones", clones.type_clones, """
 WITH sig AS (SELECT id, name, file_path AS file, regexp_extract(definition, 'T_[0-9]+') AS signature FROM types
  WHERE type_kind = 'STRUCT' AND definition IS NOT NULL),
@@ -358,16 +358,17 @@ SELECT DISTINCT t.id AS type_id, t.name AS type_name, p.id AS pou_id, p.name, p.
 JOIN types t ON t.id = r.to_id JOIN pous p ON p.id = r.from_id""", *GRAPH)
 
 # ---- traversal ----
-_CHAIN_SQL = f"""
+_CHAIN_SQL = """
 WITH RECURSIVE chain(root, from_id, to_id, depth) AS (
  SELECT from_id, from_id, to_id, 1 FROM relationships WHERE type = 'CALLS'
  UNION ALL SELECT c.root, r.from_id, r.to_id, c.depth + 1 FROM chain c
-  JOIN relationships r ON r.from_id = c.to_id AND r.type = 'CALLS' WHERE c.depth < {DEPTH})"""
-graph_query("call_chain", lambda g: traverse.call_chain(g, max_depth=DEPTH),
-            _CHAIN_SQL + " SELECT root, from_id, to_id, depth, count(*) AS walks FROM chain GROUP BY ALL", "relationships")
-graph_query("call_chain_walks", lambda g: traverse.expand(traverse.call_chain(g, max_depth=DEPTH)),
-            _CHAIN_SQL + " SELECT root, from_id, to_id, depth FROM chain", "relationships")
-graph_query("calls_view", lambda g: traverse.calls_view(g, max_depth=DEPTH), _CHAIN_SQL + """
+  JOIN relationships r ON r.from_id = c.to_id AND r.type = 'CALLS' WHERE c.depth < {depth})"""
+_FULL_CHAIN_SQL = _CHAIN_SQL.format(depth=traverse.CALL_CHAIN_DEPTH)
+graph_query("call_chain", lambda g: traverse.call_chain(g, g.pous.select("id")),
+            _FULL_CHAIN_SQL + " SELECT root, from_id, to_id, depth, count(*) AS walks FROM chain GROUP BY ALL", "relationships")
+graph_query("call_chain_walks", lambda g: traverse.expand(traverse.call_chain(g, g.pous.select("id"))),
+            _FULL_CHAIN_SQL + " SELECT root, from_id, to_id, depth FROM chain", "relationships")
+graph_query("calls_view", traverse.calls_view, _CHAIN_SQL.format(depth=traverse.CALLS_VIEW_DEPTH) + """
 SELECT p.id, p.name, p.pou_type, p.file_path, coalesce(i.n, 0) AS incoming_count, coalesce(o.n, 0) AS outgoing_count,
  coalesce(c.n, 0) AS chain_size, coalesce(c.d, 0) AS chain_depth FROM pous p
 LEFT JOIN (SELECT to_id, count(*) AS n FROM relationships WHERE type = 'CALLS' GROUP BY to_id) i ON i.to_id = p.id
@@ -393,43 +394,32 @@ _PATHS = dict(visited=", visited", first=", [r.from_id]", append=", list_append(
 _SHORTEST_ROWS = """(SELECT DISTINCT d.root, d.id, d.rel_type, d.depth FROM dep d
  JOIN (SELECT root, id, min(depth) AS depth FROM dep GROUP BY root, id) m
  ON m.root = d.root AND m.id = d.id AND m.depth = d.depth)"""
-graph_query("transitive_dependents", lambda g: traverse.transitive_dependents(g, max_depth=DEPTH),
-            _DEPENDENTS_SQL.format(roots="pous", depth=DEPTH, **_SHORTEST) + f"""
+_ALL_DEPENDENTS_SQL = _DEPENDENTS_SQL.format(roots="pous", depth=traverse.DEPENDENTS_DEPTH, **_SHORTEST)
+graph_query("transitive_dependents", lambda g: traverse.transitive_dependents(g, g.pous.select("id")), f"""{_ALL_DEPENDENTS_SQL}
 SELECT d.root, p.id, p.name, p.pou_type, p.file_path, d.rel_type, d.depth FROM {_SHORTEST_ROWS} d JOIN pous p ON p.id = d.id""",
             "pous", "relationships")
-graph_query("dependent_paths", lambda g: traverse.transitive_dependents(g, max_depth=4, mode="paths"),
-            _DEPENDENTS_SQL.format(roots="pous", depth=4, **_PATHS) + """
+graph_query("impact_reach", lambda g: traverse.impact_reach(g, g.pous.select("id")), f"""{_ALL_DEPENDENTS_SQL}
+SELECT p.id, p.name, p.pou_type, p.file_path, count(DISTINCT d.root) AS n_roots, min(d.depth) AS min_depth
+FROM dep d JOIN pous p ON p.id = d.id GROUP BY ALL""", "pous", "relationships")
+graph_query("dependent_paths", lambda g: traverse.transitive_dependents(g, g.pous.select("id"), mode="paths"),
+            _DEPENDENTS_SQL.format(roots="pous", depth=traverse.DEPENDENTS_DEPTH, **_PATHS) + """
 SELECT DISTINCT d.root, p.id, p.name, p.pou_type, p.file_path, d.rel_type, d.depth FROM dep d JOIN pous p ON p.id = d.id""",
             "pous", "relationships")
-_IMPACT_SQL = _DEPENDENTS_SQL.format(roots="found", depth=3, **_SHORTEST).replace(
+_IMPACT_SQL = _DEPENDENTS_SQL.format(roots="found", depth=traverse.DEPENDENTS_DEPTH, **_SHORTEST).replace(
     "WITH RECURSIVE ", f"WITH RECURSIVE {_TARGETS_SQL}, ")
 _IMPACT_ROWS = f"""SELECT target, 'direct' AS scope, id, name, pou_type, file_path, rel_type, 1 AS depth FROM ({_DIRECT_SQL}) x
 UNION ALL SELECT f.name, 'transitive', p.id, p.name, p.pou_type, p.file_path, d.rel_type, d.depth
 FROM {_SHORTEST_ROWS} d JOIN found f ON f.id = d.root JOIN pous p ON p.id = d.id"""
-graph_query("impact", lambda g: traverse.impact(g, max_depth=3), f"{_IMPACT_SQL} {_IMPACT_ROWS}", *GRAPH)
-graph_query("impact_summary", lambda g: traverse.impact_summary(traverse.impact(g, max_depth=3)), f"""{_IMPACT_SQL}
-SELECT target, count(*) FILTER (scope = 'direct') AS direct_count, count(*) FILTER (scope = 'transitive') AS transitive_count,
- max(depth) AS max_depth FROM ({_IMPACT_ROWS}) i GROUP BY target""", *GRAPH)
-# The same walks from all units at the operators' own depths.
-_FULL_CHAIN_SQL = _CHAIN_SQL.replace(f"c.depth < {DEPTH})", f"c.depth < {traverse.CALL_CHAIN_DEPTH})")
-graph_query("call_chain_full", traverse.call_chain,
-            _FULL_CHAIN_SQL + " SELECT root, from_id, to_id, depth, count(*) AS walks FROM chain GROUP BY ALL", "relationships")
-graph_query("call_chain_walks_full", lambda g: traverse.expand(traverse.call_chain(g)),
-            _FULL_CHAIN_SQL + " SELECT root, from_id, to_id, depth FROM chain", "relationships")
-graph_query("transitive_dependents_full", traverse.transitive_dependents,
-            _DEPENDENTS_SQL.format(roots="pous", depth=traverse.DEPENDENTS_DEPTH, **_SHORTEST) + f"""
-SELECT d.root, p.id, p.name, p.pou_type, p.file_path, d.rel_type, d.depth FROM {_SHORTEST_ROWS} d JOIN pous p ON p.id = d.id""",
-            "pous", "relationships")
-graph_query("dependent_paths_full", lambda g: traverse.transitive_dependents(g, mode="paths"),
-            _DEPENDENTS_SQL.format(roots="pous", depth=traverse.DEPENDENTS_DEPTH, **_PATHS) + """
-SELECT DISTINCT d.root, p.id, p.name, p.pou_type, p.file_path, d.rel_type, d.depth FROM dep d JOIN pous p ON p.id = d.id""",
-            "pous", "relationships")
-_FULL_IMPACT_SQL = _DEPENDENTS_SQL.format(roots="found", depth=traverse.DEPENDENTS_DEPTH, **_SHORTEST).replace(
-    "WITH RECURSIVE ", f"WITH RECURSIVE {_TARGETS_SQL}, ")
-graph_query("impact_full", traverse.impact, f"{_FULL_IMPACT_SQL} {_IMPACT_ROWS}", *GRAPH)
-graph_query("impact_summary_full", lambda g: traverse.impact_summary(traverse.impact(g)), f"""{_FULL_IMPACT_SQL}
+graph_query("impact", traverse.impact, f"{_IMPACT_SQL} {_IMPACT_ROWS}", *GRAPH)
+graph_query("impact_summary", lambda g: traverse.impact_summary(traverse.impact(g)), f"""{_IMPACT_SQL}
 SELECT target, count(*) FILTER (scope = 'direct') AS direct_count, count(*) FILTER (scope = 'transitive') AS transitive_count,
  max(depth) AS max_depth FROM ({_IMPACT_ROWS}) i GROUP BY target""", *GRAPH)
+graph_query("strong_components", traverse.strong_components, """
+WITH RECURSIVE link AS (SELECT DISTINCT from_id, to_id FROM relationships),
+ ways(a, b) AS (SELECT from_id, to_id FROM link UNION SELECT w.a, l.to_id FROM ways w JOIN link l ON l.from_id = w.b),
+ node AS (SELECT from_id AS id FROM link UNION SELECT to_id FROM link)
+SELECT n.id AS node, least(n.id, coalesce(min(o.a), n.id)) AS component FROM node n
+LEFT JOIN (SELECT x.a, x.b FROM ways x JOIN ways y ON y.a = x.b AND y.b = x.a) o ON o.b = n.id GROUP BY n.id""", "relationships")
 graph_query("cyclic_core", lambda g: traverse.cyclic_core(g.relationships), """
 WITH RECURSIVE link AS (SELECT DISTINCT from_id, to_id FROM relationships),
  fwd(node, depth) AS (SELECT to_id, 1 FROM link UNION SELECT l.to_id, f.depth + 1 FROM fwd f JOIN link l ON l.from_id = f.node

@@ -37,6 +37,12 @@ SELECT concat('var:', l_partkey, ':v', l_linenumber) AS id, concat('pou:', l_par
  CASE WHEN l_linenumber = 7 THEN concat('FB_', min(l_suppkey)) ELSE concat('T_', min(l_suppkey) % 3) END AS var_type,
  CAST(min(l_orderkey) % 500 AS INT) AS start_line
 FROM lineitem WHERE l_quantity < 10 GROUP BY l_partkey, l_linenumber""",
+    "wide_variables": """
+SELECT DISTINCT concat('var:', p.p_partkey, ':', l.l_linenumber, ':', l.l_suppkey) AS id, concat('pou:', p.p_partkey) AS pou_id,
+ concat('v', l.l_linenumber) AS name, concat('FB_', l.l_suppkey) AS var_type,
+ CASE l.l_linenumber % 4 WHEN 0 THEN 'VAR_INPUT' WHEN 1 THEN 'VAR_OUTPUT' WHEN 2 THEN 'VAR_IN_OUT' ELSE 'VAR' END AS direction
+FROM part p JOIN (SELECT * FROM lineitem) l ON l.l_partkey = p.p_partkey - p.p_partkey % 5
+WHERE p.p_partkey % 5 < 2 OR (l.l_orderkey + p.p_partkey) % 11 > 0""",
     "types": """
 SELECT concat('type:', s_suppkey) AS id, concat('ST_', s_suppkey) AS name,
  CASE s_nationkey % 3 WHEN 0 THEN 'STRUCT' WHEN 1 THEN 'ENUM' ELSE 'TYPE' END AS type_kind,

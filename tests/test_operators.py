@@ -6,7 +6,7 @@ from conftest import records
 
 from plcatlas.functions import text
 from plcatlas.graph import Graph
-from plcatlas.operators import clones, edges, lookup, metrics, paging, traverse
+from plcatlas.operators import clones, edges, lookup, metrics, near_clones, paging, strong, traverse
 from pyspark.sql import functions as F
 
 EDGE = "id STRING, from_id STRING, to_id STRING, type STRING"
@@ -26,12 +26,17 @@ def random_pairs(seed, n, m):
 
 def test_walks_equal_enumeration(spark):
     pairs = random_pairs(7, 6, 10) + [(0, 1), (0, 1)]
-    got = Counter(map(tuple, records(traverse.expand(traverse.call_chain(small_graph(spark, pairs, 6), max_depth=4)))))
+    graph = small_graph(spark, pairs, 6)
+    got = Counter(map(tuple, records(traverse.expand(traverse.call_chain(graph, graph.pous.select("id"), max_depth=4)))))
     want, level = Counter(), [(f"n{a}", f"n{a}", f"n{b}") for a, b in pairs]
     for depth in range(1, 5):
         want.update((r, a, b, depth) for r, a, b in level)
         level = [(r, b, f"n{d}") for r, _, b in level for c, d in pairs if f"n{c}" == b]
     assert got == want
+    sizes = {r.id: (r.chain_size, r.chain_depth) for r in traverse.calls_view(graph, max_depth=4).collect()}
+    for i in range(6):
+        own = [d for (r, _, _, d), n in want.items() if r == f"n{i}" for _ in range(n)]
+        assert sizes[f"n{i}"] == (len(own), max(own, default=0))
 
 
 def test_shortest_and_paths(spark):
@@ -49,13 +54,91 @@ def test_shortest_and_paths(spark):
 
     for i in range(7):
         walk(f"n{i}", f"n{i}", 1, frozenset())
-    got = set(records(traverse.transitive_dependents(graph, max_depth=6, mode="paths"), "root", "id", "rel_type", "depth"))
+    got = set(records(traverse.transitive_dependents(graph, graph.pous.select("id"), max_depth=6, mode="paths"), "root", "id", "rel_type", "depth"))
     assert got == want
     best = {}
     for root, node, _, depth in want:
         best[root, node] = min(depth, best.get((root, node), 99))
-    short = records(traverse.transitive_dependents(graph, max_depth=6), "root", "id", "depth")
+    short = records(traverse.transitive_dependents(graph, graph.pous.select("id"), max_depth=6), "root", "id", "depth")
     assert {(r, i): d for r, i, d in short} == best
+    counts = records(traverse.impact_reach(graph, graph.pous.select("id"), 6), "id", "n_roots", "min_depth")
+    assert counts == sorted((i, len(ds), min(ds)) for i in {i for _, i in best} for ds in [[d for (_, j), d in best.items() if j == i]])
+
+
+def test_search_from_more_roots_than_a_block(spark):
+    pairs = random_pairs(5, 200, 330)
+    graph = small_graph(spark, pairs, 200)
+    want = {}
+    for root in range(0, 200, 2):
+        level, depth, seen = {root}, 0, set()
+        while level and depth < 20:
+            depth += 1
+            level = {a for a, b in pairs if b in level} - seen
+            seen |= level
+            want.update({(f"n{root}", f"n{a}"): depth for a in level})
+    roots = spark.createDataFrame([(f"n{i}",) for i in range(0, 200, 2)] * 2, "id STRING").repartition(3)
+    assert {(r, i): d for r, i, d in records(traverse.transitive_dependents(graph, roots), "root", "id", "depth")} == want
+    nobody = spark.createDataFrame([("nobody",)], "id STRING")
+    assert traverse.transitive_dependents(graph, nobody).count() == 0 and traverse.impact_reach(graph, nobody).count() == 0
+
+
+def by_hand(pairs):
+    nodes = {x for p in pairs for x in p}
+    ways = {n: {b for a, b in pairs if a == n} for n in nodes}
+    for k in nodes:
+        for n in nodes:
+            if k in ways[n]:
+                ways[n] |= ways[k]
+    return {n: min([n, *(m for m in nodes if m in ways[n] and n in ways[m])]) for n in nodes}
+
+
+@pytest.mark.parametrize("seed, n, m", [(1, 40, 60), (2, 30, 90), (3, 60, 62), (4, 25, 24)])
+def test_strong_components(spark, seed, n, m):
+    pairs = [(f"{a:03}", f"{b:03}") for a, b in random_pairs(seed, n, m)]
+    edges = spark.createDataFrame(pairs, "from_id STRING, to_id STRING")
+    assert dict(records(strong.strong_components(edges))) == by_hand(pairs)
+
+
+def test_strong_components_of_rings_and_chains(spark):
+    ring = [(f"r{i:03}", f"r{(i + 1) % 70:03}") for i in range(70)]
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(40)] + [("c040", "r000"), ("r035", "d000"), ("d000", "d001"), ("s", "s")]
+    edges = spark.createDataFrame(ring + chain, "from_id STRING, to_id STRING")
+    assert dict(records(strong.strong_components(edges))) == by_hand(ring + chain)
+    assert strong.strong_components(edges.limit(0)).count() == 0
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    plain = strong.cut_lineage
+    monkeypatch.setattr(strong, "cut_lineage", lambda df: rounds.append(1) or plain(df))
+    edges = spark.range(4096).selectExpr("concat('n', id) AS from_id", "concat('n', id + 1) AS to_id")
+    assert strong.trimmed(edges).isEmpty() and len(rounds) <= 30
+
+
+def test_near_clones(spark):
+    rng = random.Random(3)
+    shared = [("x", f"T{k}") for k in range(12)]
+    sets = {}
+    for i in range(90):
+        own = shared[: rng.randint(2, 12)] + [(f"v{rng.randint(0, 30)}", "INT") for _ in range(rng.randint(0, 4))]
+        sets[f"u{i:02}"] = set(own)
+    sets.update({f"w{i}": sets["u05"] for i in range(5)})
+    rows = [(f"{u}:{k}", u, n, t, ("VAR_INPUT", "VAR_OUTPUT", "VAR_IN_OUT")[k % 3]) for u, own in sets.items() for k, (n, t) in enumerate([*own, *list(own)[:2]])]
+    rows += [(f"{u}:own", u, "private", u, "VAR") for u in sets]
+    graph = Graph(
+        spark, pous=spark.createDataFrame([(u, u, "FUNCTION_BLOCK", "f", 1) for u in sets], POU),
+        variables=spark.createDataFrame(rows, "id STRING, pou_id STRING, name STRING, var_type STRING, direction STRING"),
+    )
+    for percent in (80, 50, 100):
+        big = {u: s for u, s in sets.items() if len(s) >= 3}
+        linked = {u: [w for w, b in big.items() if w != u and 100 * len(a & b) >= percent * len(a | b)] for u, a in big.items()}
+        want = sorted(
+            (u, min(w for w, b in big.items() if b == big[u]), sum(b == big[u] for b in big.values()), len({frozenset(big[w]) for w in ws} - {frozenset(big[u])}), len(ws))
+            for u, ws in linked.items() if ws
+        )
+        got = records(near_clones.near_clones(graph, percent), "id", "class_id", "class_size", "near_classes", "links")
+        assert got == want and len(want) > 5
+    assert near_clones.near_clones(Graph(spark)).count() == 0
 
 
 @pytest.mark.parametrize("pairs, depth, cyclic", [
