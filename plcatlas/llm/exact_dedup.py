@@ -104,7 +104,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 def distinct_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of equal texts."""
-    kept = exact_duplicates(docs, id_column, text_column, salts).filter("kept").select(order_key("doc_id").alias("_ord"), F.col("text_sha256").alias("_sha"))
+    kept = exact_duplicates(docs, id_column, text_column, salts).filter("kept").select(order_key("doc_id").alias("ord"), F.col("text_sha256").alias("sha"))
     normal = F.regexp_replace(F.coalesce(F.col(text_column).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    rows = docs.withColumns({"_ord": order_key(id_column), "_sha": F.sha2(normal, 256)})
-    return rows.join(kept, ["_ord", "_sha"], "left_semi").dropDuplicates(["_ord", "_sha"]).select(*docs.columns)
+    rows = docs.select(order_key(id_column).alias("ord"), F.sha2(normal, 256).alias("sha"), F.struct(*docs.columns).alias("row"))
+    return rows.join(kept, ["ord", "sha"], "left_semi").dropDuplicates(["ord", "sha"]).select("row.*")

@@ -387,5 +387,6 @@ def near_classes(
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stand for their class of linked texts."""
-    stays = near_classes(docs, id_column, text_column, **options).filter("stays").select(F.col("node").alias("_node"))
-    return docs.withColumn("_node", node_of(id_column, text_column)).join(stays, "_node", "left_semi").dropDuplicates(["_node"]).select(*docs.columns)
+    stays = near_classes(docs, id_column, text_column, **options).filter("stays").select("node")
+    rows = docs.select(node_of(id_column, text_column).alias("node"), F.struct(*docs.columns).alias("row"))
+    return rows.join(stays, "node", "left_semi").dropDuplicates(["node"]).select("row.*")
