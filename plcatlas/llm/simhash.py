@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plcatlas.llm.common import bounded_batches, map_batches, written
-from plcatlas.llm.components import components
+from plcatlas.llm.components import components, forest
 
 SHINGLE = 4
 RADIUS = 4
@@ -118,21 +118,6 @@ def sent(b: pa.RecordBatch, shards: Shards, low: int, high: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(target[first]), pa.array(blobs, pa.binary())], names=["shard", "prints"])
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every linked number with the smallest of its class."""
-    nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right, top = index[: len(a)], index[len(a) :], np.arange(len(nodes))
-    while len(left):
-        low, high = np.minimum(top[left], top[right]), np.maximum(top[left], top[right])
-        if (low == high).all():
-            break
-        np.minimum.at(top, high, low)
-        while (top[top] != top).any():
-            top = top[top]
-    other = top != np.arange(len(nodes))
-    return nodes[top[other]], nodes[other]
-
-
 def met(prints: np.ndarray, shards: Shards, shard: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a shard that have a variant in common, verified, as a forest."""
     variant, owner = shards.variants(prints, shard)

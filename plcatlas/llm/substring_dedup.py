@@ -90,18 +90,23 @@ def minimizer_rows(b: pa.RecordBatch, n: int, k: int) -> pa.RecordBatch:
 
 def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of sorted batches, cut so that no run of equal first values is split. Runs are bounded by what batches left of a key."""
-    held: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []
     for b in batches:
         columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if held is not None:
-            columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
+        if not len(columns[0]):
+            continue
         key = columns[0]
-        cut = np.searchsorted(key, key[-1]) if len(key) else 0
-        held = [c[cut:] for c in columns]
+        # a batch that only goes on with the key that waits is put aside as it is
+        if held and held[-1][0][-1] == key[0] == key[-1]:
+            held.append(columns)
+            continue
+        joined = [np.concatenate(c) for c in zip(*held, columns)] if held else columns
+        cut = np.searchsorted(joined[0], key[-1])
+        held = [[c[cut:] for c in joined]]
         if cut:
-            yield [c[:cut] for c in columns]
-    if held is not None and len(held[0]):
-        yield held
+            yield [c[:cut] for c in joined]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
 
 
 def repeated_minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pytest
 import public_tokenizers
 import tiktoken
 
-from plcatlas.llm import bpe, exact_dedup, language, licenses, mixture, ngram_join, quality, secrets, substring_dedup, warc
+from plcatlas.llm import bpe, components, exact_dedup, language, licenses, mixture, ngram_join, quality, secrets, substring_dedup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ord long, node long, score double"
@@ -142,6 +142,49 @@ def test_mixture(docs, rows, odd, empty):
     assert mixture.mixed(odd).columns == odd.columns
 
 
+def test_mixture_of_repeated_ids(spark, rows):
+    """Rows of one id with different texts have an order, so the cut doesn't depend on the order of the input."""
+    made = [(7 if i % 3 else None, t, f"s{i % 2}") for i, t, *_ in rows]
+    results = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(made)
+        df = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(3 + seed)
+        results.add(tuple(sorted(((r.doc_id or 0, r.source, r.size, r.tie, r.taken) for r in mixture.mix(df).collect()))))
+    assert len(results) == 1
+
+
+def test_clashing_columns_are_kept(spark, rows):
+    """The stages that return rows give them back as they came, whatever the columns are called."""
+    names = ["_node", "_ord", "_sha", "_tie", "_copy", "_copies", "node", "ord", "sha", "tie", "row", "copies", "copy", "t", "d", "range", "nth", "component"]
+    made = [(i, t, None if i % 5 == 0 else f"s{i % 3}", *[f"{n}{i}" for n in names]) for i, t, *_ in rows]
+    df = spark.createDataFrame(made, f"doc_id long, text string, source string, {', '.join(f'{n} string' for n in names)}")
+    whole = {tuple(r) for r in made}
+    for stage in (mixture.mixed, exact_dedup.distinct_texts, ngram_join.one_of_each):
+        got = stage(df)
+        kept = [tuple(r) for r in got.collect()]
+        assert got.columns == df.columns and kept and set(kept) <= whole
+        assert stage is mixture.mixed or len(kept) == len(set(kept))
+
+
+@pytest.mark.parametrize("chunk", [0, components.CHUNK])
+def test_components(spark, chunk):
+    rnd = random.Random(6)
+    pairs = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(330)] + [(1000 + k, 1001 + k) for k in range(60)]
+    top = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(4)
+    got = {r.node: r.component for r in components.components(df, chunk=chunk).collect()}
+    assert got == {x: find(x) for a, b in pairs if a != b for x in (a, b)}
+
+
 def test_mixture_caps(spark):
     sizes = spark.createDataFrame([("a", 1), ("b", 100), ("c", 2), (None, 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixture.source_targets(sizes).collect()}
