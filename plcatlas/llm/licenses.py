@@ -2,10 +2,10 @@
 
 Method: one pass over the texts keeps, for each file, the positions of licence vocabulary words, if the file holds any that are more than function words.
 From this index come the words' document frequencies and IDF. A file's words with the highest IDF among each template's words say where that template may
-start; the template's postings are intersected with the file's by relative position; and a label needs its mandatory key phrase
-complete at these positions. Base phrases are templates that are all key phrase.
+start; the template's postings are intersected with the file's by relative position; and a label needs its mandatory key phrases, the version
+among them, complete at these positions, and ``ENOUGH`` of the template's IDF. Base phrases are templates that are all key phrase. Templates are the wording of public licences.
 
-Defined cases: a null text counts as empty; rows without a match have zero counts, null positions, empty label lists and the score of
+Defined cases: a null text counts as empty; texts of any length are read as a whole; an empty table gives an empty result; rows without an id are kept; rows without a match have zero counts, null positions, empty label lists and the score of
 their best partial match, 0 if there is none; repeated rows are judged alike; other columns are ignored.
 """
 
@@ -26,32 +26,94 @@ ENOUGH = 0.8
 
 @dataclasses.dataclass(frozen=True)
 class Template:
-    """Words of a licence; ``key`` is the part that must stand complete (first and last word, exclusive); base ones are counted as places."""
+    """Words of a licence; each of ``keys`` must stand complete at its place (base ones are key as a whole); base ones are counted as places."""
 
     label: str
     text: str
-    key: tuple[int, int]
+    keys: tuple[str, ...] = ()
     base: bool = False
 
     @property
     def words(self) -> list[str]:
         return self.text.split()
 
+    @property
+    def key_places(self) -> set[int]:
+        """Places of the words of all key phrases."""
+        words, out = self.words, set()
+        for key in self.keys or (self.text,):
+            own = key.split()
+            at = next(i for i in range(len(words)) if words[i : i + len(own)] == own)
+            out |= set(range(at, at + len(own)))
+        return out
+
 
-# The base phrases with their labels, then longer templates with labels of their own.
+# The base phrases with their labels.
 BASE = (
-    Template("mit", "under the mit license", (0, 4), True),
-    Template("apache-2", "apache license version 2", (0, 4), True),
-    Template("cc-by-nc", "cc by nc", (0, 3), True),
+    Template("mit", "under the mit license", base=True),
+    Template("apache-2", "apache license version 2", base=True),
+    Template("cc-by-nc", "cc by nc", base=True),
 )
+# Wording of public licences, from where no name of a holder stands in between, with the phrases that tell one from its like.
 MORE = (
-    Template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", (2, 7)),
-    Template("apache-2-text", "licensed under the apache license version 2 0 the license you may not use this file except in compliance", (3, 7)),
-    Template("gpl-3", "gnu general public license as published by the free software foundation either version 3 of the license", (0, 4)),
-    Template("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted", (0, 8)),
-    Template("cc-by-nc-text", "licensed under cc by nc 4 0", (2, 5)),
+    Template(
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the "
+        "software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+        "and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall "
+        "be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied",
+        ("permission is hereby granted free of charge", "merge publish distribute sublicense"),
+    ),
+    Template(
+        "isc-text",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and "
+        "this permission notice appear in all copies",
+        ("permission to use copy modify", "with or without fee is hereby granted"),
+    ),
+    Template(
+        "bsd-text",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        ("redistribution and use in source and binary forms",),
+    ),
+    Template(
+        "bsd-3-clause",
+        "may be used to endorse or promote products derived from this software without specific prior written permission",
+        ("endorse or promote products derived from this software",),
+    ),
+    Template(
+        "apache-2-text",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as "
+        "is basis without warranties or conditions of any kind either express or implied",
+        ("apache license version 2 0", "except in compliance with the license"),
+    ),
+    *(
+        Template(
+            f"{short}-{version}",
+            f"it under the terms of the gnu {name} general public license as published by the free software foundation either version {version} of the license".replace("  ", " "),
+            (f"gnu {name} general public license".replace("  ", " "), f"version {version} of the license"),
+        )
+        for short, name, version in (("gpl", "", "2"), ("gpl", "", "3"), ("lgpl", "lesser", "2 1"), ("lgpl", "lesser", "3"), ("agpl", "affero", "3"))
+    ),
+    Template(
+        "mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+        ("mozilla public license v 2 0",),
+    ),
+    Template(
+        "unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
+        ("free and unencumbered software released into the public domain",),
+    ),
+    Template("cc-by-nc-text", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
+    Template(
+        "cc-by-nc-text", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial 4 0",),
+    ),
+)
+# A file without any other word of a template is not looked at further.
+FUNCTION_WORDS = (
+    "a", "above", "all", "an", "and", "any", "are", "as", "at", "be", "been", "by", "can", "do", "either", "except", "file", "files", "following", "for", "free", "from", "have", "if",
+    "in", "into", "is", "it", "kind", "law", "may", "met", "not", "obtain", "of", "on", "one", "or", "org", "person", "persons", "shall", "so", "that", "the", "this", "to", "under", "use",
+    "used", "v", "was", "whom", "with", "without", "writing", "written", "www", "you", "0", "1", "2", "3", "4",
 )
-FUNCTION_WORDS = "under the by is of to any a this you may not use in as and with or are either file person 2 3 4 0".split()
 
 
 def lowered(text: Column) -> Column:
@@ -81,13 +143,14 @@ def scan(
 
     # one row a word and place of each template: a fixed table
     places = spark.createDataFrame(
-        [(n, t.label, t.base, w, i, t.key[0] <= i < t.key[1], t.key[1] - t.key[0], len(t.words)) for n, t in enumerate(templates) for i, w in enumerate(t.words)],
-        "template int, label string, base boolean, word string, place int, in_key boolean, key_size int, size int",
+        [(n, t.label, t.base, w, i, i in t.key_places, len(t.key_places)) for n, t in enumerate(templates) for i, w in enumerate(t.words)],
+        "template int, label string, base boolean, word string, place int, in_key boolean, key_size int",
     )
     files = index.count()
     frequency = postings.groupBy("word", "row").agg(F.lit(1).alias("one")).groupBy("word").agg(F.count("*").alias("df"))
     idf = frequency.select("word", F.log(1 + F.lit(float(files)) / F.col("df")).alias("idf"))
-    weighted = places.join(idf, "word", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
+    # a word that no file holds is as rare as one can be
+    weighted = places.join(idf, "word", "left").withColumn("idf", F.coalesce("idf", F.log(F.lit(1.0 + files))))
     whole = Window.partitionBy("template")
     weighted = weighted.withColumn("mass", F.sum("idf").over(whole))
 

@@ -219,6 +219,38 @@ def test_licenses(docs, rows, odd, empty):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).count() == 0
 
 
+def test_own_license_labels(spark):
+    """Whole notices get their label with a few words changed, near misses don't; absent words count as rare."""
+    by = {}
+    for t in licenses.MORE:
+        by.setdefault(t.label, t.text)
+    texts = [(label, f"Lead in, 2024. {text.upper()}; and on it goes") for label, text in by.items()]
+    changed = by["mit-text"].replace("furnished", "given").replace("substantial", "large")
+    texts += [("mit-text", changed), ("", by["mit-text"].replace("sublicense", "rent")), ("", "the MIT License"), ("", "GNU General Public License"), ("", "a file for the use of any person")]
+    texts += [("gpl-2", "GNU GPL. " + by["gpl-2"]), ("", by["gpl-3"].replace("version 3", "version 9")), ("", None)]
+    got = by_id(licenses.scan(spark.createDataFrame([(i, t, "x") for i, (_, t) in enumerate(texts)], "doc_id long, text string, word string")), "base_labels", "labels", "score")
+    for i, (label, _) in enumerate(texts):
+        assert (i, label) == (i, ",".join(x for x in got[i][1].split(",") if x not in got[i][0].split(",")))
+    assert got[len(by)][2] < 1 and 0 < got[len(by) + 2][2] < 0.9 and got[len(texts) - 1] == ("", "", 0.0)
+
+
+def test_many_matches_in_one_text(spark):
+    """100,000 matches of one rule; every rule's spans, those of the method too, equal the expressions' own matches."""
+    import time
+
+    long = "é " + " ".join(f"{k:016x}" for k in range(100_000))
+    keys = ["-----BEGIN RSA PRIVATE KEY-----", "github_pat_" + "A1" * 30, "github_pat_short", "xoxb-1234567890-abcdef", "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"]
+    texts = [long, "x".join(keys) + " " + " ".join(keys), " ".join(f"token={'k' * (n % 30)}" for n in range(700)), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    secrets.scan(df.limit(0)).collect()
+    began = time.time()
+    got = by_id(secrets.scan(df), "spans", "n_hex")
+    assert time.time() - began < 60 and got[0][1] == 100_000
+    for i, t in enumerate(texts):
+        spans = sorted((m.start(), k, m.end()) for k, r in enumerate(secrets.RULES) for m in re.finditer(r.pattern, t or "") if len(m[r.group]) >= r.least)
+        assert got[i][0] == ",".join(f"{secrets.RULES[k].kind}:{a}:{b}" for a, k, b in spans)
+
+
 def test_secrets(docs, rows, odd, empty):
     got = by_id(secrets.scan(docs), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
     for i, t, *_ in rows:
