@@ -7,13 +7,14 @@ of a rule are verified with its expression. A rule without mandatory trigrams is
 Spans are found from left to right without overlap within a rule; positions are code points, ends are exclusive. Matches whose value
 is too short are dropped after matching, as they take their place in the text all the same.
 
-Defined cases: a null text counts as empty and has no spans; repeated rows are judged alike; rows without an id are kept; other columns are ignored.
+Defined cases: a null text counts as empty and has no spans; texts of any length are read as a whole, in time that grows with their matches; an empty table gives an empty result; repeated rows are judged alike; rows without an id are kept; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import dataclasses
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from plcatlas.llm.common import back_to_id, order_key
 
 MOST_SETS = 64
 TELLING = 2
+RUN = 256
+SPANS = "array<struct<start:int,kind:int,end:int>>"
 # Fixed value: letters from frequent to rare, to tell which trigrams select most.
 FREQUENT = " etaoinsrhldcumfpgwybvkxjqz"
 
@@ -92,15 +95,27 @@ def fast_pattern(rule: Rule) -> str:
     return f"{found[1]}{found[2]}{{{max(1, rule.least - len(found[1]))},}}" if found and rule.group == 0 else rule.pattern
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` has it in a function over an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def total(steps: Column) -> Column:
+    return F.aggregate(steps, F.lit(0), lambda at, x: at + x["gap"] + x["size"])
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
-    """An array of (start, order, end) of the rule's matches: the pieces between matches give the positions."""
+    """An array of (start, order, end) of the rule's matches: the pieces between matches give the positions.
+
+    Positions are running sums. Matches are cut into runs of ``RUN``; the runs' totals give where each run begins, and only within a run are
+    spans appended one by one, so the time grows with the number of matches and not with its square.
+    """
     pattern = fast_pattern(rule)
     matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
-    steps = F.transform(F.arrays_zip(pieces.alias("piece"), matches.alias("match"), values.alias("value")), lambda x: F.struct(
-        F.length(x["piece"]).alias("gap"), F.coalesce(F.length(x["match"]), F.lit(0)).alias("size"), F.coalesce(F.length(x["value"]), F.lit(-1)).alias("value"),
-    ))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("spans"))
+
+    def measured(x: Column) -> Column:
+        value = F.length(F.regexp_extract(x["match"], pattern, rule.group) if rule.group else x["match"])
+        return F.struct(F.length(x["piece"]).alias("gap"), F.coalesce(F.length(x["match"]), F.lit(0)).alias("size"), F.coalesce(value, F.lit(-1)).alias("value"))
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
@@ -108,7 +123,22 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(x["value"] >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
-    return F.aggregate(steps, empty, step, lambda state: state["spans"])
+    def within(run: Column, start: Column) -> Column:
+        empty = F.struct(start.alias("at"), F.array().cast(SPANS).alias("spans"))
+        return F.aggregate(run, empty, step, lambda state: state["spans"])
+
+    def cut(steps: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / RUN).cast("int")), lambda k: F.slice(steps, k * RUN + 1, RUN))
+
+    def starts(runs: Column) -> Column:
+        # one number a run
+        return F.aggregate(runs, F.array(F.lit(0)), lambda at, run: F.array_append(at, F.element_at(at, -1) + total(run)))
+
+    def placed(runs: Column) -> Column:
+        return let(starts(runs), lambda at: F.flatten(F.transform(runs, lambda run, k: within(run, F.get(at, k)))))
+
+    steps = F.transform(F.arrays_zip(pieces.alias("piece"), matches.alias("match")), measured)
+    return let(steps, lambda own: let(cut(own), placed))
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -130,7 +160,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         .filter("n = size").groupBy("ord", "same").agg(F.collect_set("rule").alias("rules"))
     )
     joined = rows.join(candidates, ["ord", "same"], "left")
-    nothing = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    nothing = F.array().cast(SPANS)
     found = {}
     for k, rule in enumerate(rules):
         spans = spans_of(F.col("text"), rule, k)
