@@ -138,20 +138,19 @@ def with_workspace(events: DataFrame, bucket_ids: int = RUN_BUCKET_IDS, workspac
 
 
 def mark_runs(
-    events: DataFrame, by: Sequence[str] = (), bucket_ids: int = RUN_BUCKET_IDS, carry: DataFrame | None = None, workspace: str | None = None
+    events: DataFrame, by: Sequence[str] = (), bucket_ids: int = RUN_BUCKET_IDS
 ) -> DataFrame:
     """Events of index runs with ``run`` (id of the start before them) and ``closed`` (an end came in between).
 
     Both are running maxima over the id order. They are taken in two levels: inside blocks of ``bucket_ids``
     consecutive ids, and over the few rows that sum up the blocks. One log, or one workspace with most of the events,
-    therefore spreads over as many tasks as it has blocks. ``carry`` (``*by, last_start, last_done``) continues from
-    an earlier part of the log. Divided by workspace, events without one belong to the last start before them.
+    therefore spreads over as many tasks as it has blocks. Divided by workspace, events without one belong to the last start before them.
     """
     by = list(by)
     kind = F.col("kind")
     events = events.filter(kind.isin(*RUN_KINDS))
     if "workspace" in by:
-        events = with_workspace(events, bucket_ids, workspace)
+        events = with_workspace(events, bucket_ids)
     rows = (
         events
         .withColumn("_block", F.floor(F.col("id") / bucket_ids))
@@ -161,15 +160,6 @@ def mark_runs(
     blocks = rows.groupBy(*by, "_block").agg(F.max("_s").alias("_s"), F.max("_d").alias("_d"))
     before = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.select(*by, "_block", F.max("_s").over(before).alias("_bs"), F.max("_d").over(before).alias("_bd"))
-    if carry is not None:
-        if by:
-            blocks = join_by(blocks, carry, by, "left")
-        else:
-            # the carry of an undivided log is a single row
-            row = carry.select("last_start", "last_done").first() or (None, None)
-            blocks = blocks.withColumn("last_start", F.lit(row[0]).cast("bigint")).withColumn("last_done", F.lit(row[1]).cast("bigint"))
-        blocks = blocks.withColumn("_bs", F.greatest("_bs", "last_start")).withColumn("_bd", F.greatest("_bd", "last_done"))
-        blocks = blocks.drop("last_start", "last_done")
     inside = W.partitionBy(*by, "_block").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
     local = rows.withColumn("_s", F.max("_s").over(inside)).withColumn("_d", F.max("_d").over(inside))
     joined = join_by(local, blocks, [*by, "_block"])
@@ -178,8 +168,6 @@ def mark_runs(
     return joined.select(*events.columns, run.alias("run"), (closed > run).alias("closed"))
 
 
-_LAST = ("started", "done", "indexed", "skipped", "total_entities", "total_edges")
-_SUMS = ("file_count", "file_entities", "file_edges", "failed")
 
 
 def run_parts(marked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -206,12 +194,6 @@ def run_parts(marked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def merge_run_parts(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return parts.groupBy(*by, "run").agg(
-        *[F.max(c).alias(c) for c in _LAST], *[F.sum(c).alias(c) for c in _SUMS]
-    )
-
-
 def summarise_runs(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     indexed = F.coalesce("indexed.n", "file_count")
     skipped = F.coalesce("skipped.n", F.lit(0))
@@ -253,7 +235,7 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 
 def call_aggregates() -> list[Column]:
-    """Start, first end and last end of a call; usable in batch and in a streaming aggregation."""
+    """Start, first end and last end of a call."""
     ended = F.col("kind").isin("tool_completed", "tool_failed")
     error = F.when(F.col("kind") == "tool_failed", F.coalesce("error", F.lit("(unknown error)")))
     duration = F.coalesce("durationMs", F.lit(0))

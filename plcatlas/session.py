@@ -16,6 +16,8 @@ JOB_CONF = {
     # a hot name or hot caller must be split even when the split costs another shuffle further up
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # processors with state need it, and open calls and runs need not fit into memory
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # plans are built from many small column expressions; recording the call site of each one doubles that time
     "spark.sql.dataFrameQueryContext.enabled": "false",

@@ -10,10 +10,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.query import StreamingQuery
 
 from plcatlas.operators import telemetry
-from plcatlas.session import cut_lineage
+from plcatlas.streaming import processors
 
 WATERMARK = "10 minutes"
 
@@ -47,73 +46,44 @@ def overflow(events: DataFrame, capacity: int, interval: str = "1 second", water
     return telemetry.overflow(events.withWatermark("ts", watermark), capacity, interval)
 
 
-def tool_calls(events: DataFrame, timeout: str = "10 minutes", watermark: str = WATERMARK) -> DataFrame:
-    """Calls of a stream, in append mode: a call is final when nothing came for ``timeout`` before the watermark.
+def tool_calls(events: DataFrame) -> DataFrame:
+    """Calls of a stream, in append mode: a batch gives the row of every call it touches; :func:`current_calls` keeps the last one of each.
 
-    The session window holds the state of open calls only. A call that never ends leaves as ``running``; an end that
-    arrives after that stands alone, as it does for the batch reader of a log that lacks the start.
+    State is one value a call, without a time limit, so a call may stay open, or be opened again, at any time.
     """
-    return (
-        telemetry.call_events(events)
-        .withWatermark("ts", watermark)
-        .groupBy(F.session_window("ts", timeout).alias("w"), F.col("callId").alias("call_id"))
-        .agg(*telemetry.call_aggregates())
-        .select("call_id", *telemetry.call_columns())
-    )
+    rows = telemetry.call_events(events).select("callId", "id", F.unix_millis("ts").alias("ms"), "kind", "tool", "argsPreview", "durationMs", "error")
+    out = rows.groupBy("callId").transformWithStateInPandas(processors.Calls(), processors.schema(processors.CALL_ROW), "Append", "None")
+    return out.select("call_id", "version", "tool", F.timestamp_millis("started_ms").alias("started_at"), "args_preview", "duration_ms", "status", "error")
 
 
-class RunFollower:
-    """Run summaries of a stream, batch by batch, with the state in versioned tables.
+def current_calls(changes: DataFrame) -> DataFrame:
+    """The last row of each call, of a table of what :func:`tool_calls` gave."""
+    return _last(changes, ["call_id"])
 
-    Version ``n`` is written by micro-batch ``n`` and never changed, so a repeated batch rewrites its own version from
-    the same input. The state holds the current run of each key; events can only touch that one, so a run followed by
-    another start is final and moves to the finished table.
-    """
 
-    def __init__(self, spark: SparkSession, path: str, by: Sequence[str] = (), bucket_ids: int = telemetry.RUN_BUCKET_IDS):
-        self.spark, self.path, self.by, self.bucket_ids = spark, path, list(by), bucket_ids
-
-    def _part(self, name: str, version: int) -> str:
-        return f"{self.path}/{name}/version={version:012d}"
-
-    def apply(self, events: DataFrame, batch_id: int) -> None:
-        state = self.spark.read.parquet(self._part("current", batch_id - 1)) if batch_id else None
-        carry = None
-        if state is not None:
-            carry = state.select(
-                *self.by, F.when(F.col("run") >= 0, F.col("run")).alias("last_start"), F.col("done.id").alias("last_done")
-            )
-        last = state.agg(F.max("started").alias("s")).first().s if state is not None else None
-        marked = telemetry.mark_runs(events, self.by, self.bucket_ids, carry, last.workspace if last else None)
-        parts = telemetry.run_parts(marked, self.by)
-        if state is not None:
-            parts = telemetry.merge_run_parts(state.unionByName(parts), self.by)
-        parts = cut_lineage(parts)
-        newest = parts.groupBy(*self.by).agg(F.max("run").alias("_newest"))
-        if self.by:
-            tagged = telemetry.join_by(parts, newest, self.by)
-        else:
-            # one value for the whole log
-            tagged = parts.withColumn("_newest", F.lit(newest.first()[0]).cast("bigint"))
-        finished = tagged.filter(F.col("run") < F.col("_newest")).drop("_newest")
-        current = tagged.filter(F.col("run") == F.col("_newest")).drop("_newest")
-        telemetry.summarise_runs(finished, self.by).write.mode("overwrite").parquet(self._part("finished", batch_id))
-        current.write.mode("overwrite").parquet(self._part("current", batch_id))
-
-    def runs(self, batch_id: int) -> DataFrame:
-        """All runs after a batch: the finished ones and the current ones."""
-        done = self.spark.read.parquet(*[self._part("finished", v) for v in range(batch_id + 1)])
-        current = telemetry.summarise_runs(self.spark.read.parquet(self._part("current", batch_id)), self.by)
-        return done.select(*current.columns).unionByName(current)
-
-
-def follow_runs(events: DataFrame, follower: RunFollower, checkpoint: str) -> StreamingQuery:
-    return (
-        events.writeStream.foreachBatch(follower.apply)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+def index_runs(events: DataFrame, by: Sequence[str] = (), log: str | None = None) -> DataFrame:
+    """Index runs of a stream, in append mode: a batch gives the row of every run it touches; :func:`current_runs` keeps the last one of each.
+
+    ``by`` may hold ``workspace``, as for the batch operator. A log is one sequence of events; ``log`` names the column that tells logs apart, each of which is read on
+    its own. Batches follow each other in the order of ids, as the log is written.
+    """
+    if set(by) - {"workspace"}:
+        raise ValueError(f"runs of a stream are divided by workspace only: {list(by)}")
+    rows = events.filter(F.col("kind").isin(*telemetry.RUN_KINDS)).select(
+        (F.col(log).cast("string") if log else F.lit("log")).alias("log"), "id", "kind", "workspace",
+        *[F.col(c).cast("bigint").alias(c) for c in ("totalFiles", "indexedFiles", "skippedFiles", "totalEntities", "totalEdges", "totalTimeMs", "duration", "entities", "edges")],
     )
+    return rows.groupBy("log").transformWithStateInPandas(processors.Runs("workspace" in by), processors.schema(processors.RUN_ROW), "Append", "None")
+
+
+def current_runs(changes: DataFrame) -> DataFrame:
+    """The last row of each run, of a table of what :func:`index_runs` gave."""
+    return _last(changes, ["log", "run"])
+
+
+def _last(changes: DataFrame, keys: list[str]) -> DataFrame:
+    rest = [c for c in changes.columns if c not in (*keys, "version")]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("r")).select(*keys, "r.*")
 
 
 def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -129,19 +129,44 @@ def test_index_runs_match_the_reader(spark, seed, bucket):
     assert got == reference_runs(rows)
 
 
-def test_run_follower_equals_batch(spark, tmp_path):
-    rows = random_log(4)
-    source = tmp_path / "log"
+def in_parts(spark, tmp_path, rows, stream, parts=2):
+    """What a stream gives that is stopped and started again for every part of the log."""
+    source, out = tmp_path / "log", str(tmp_path / "out")
     source.mkdir()
-    parsed = telemetry.parse_events(streams.read_lines(spark, str(source), 1))[0]
-    follower = streams.RunFollower(spark, str(tmp_path / "state"), bucket_ids=20)
-    for part in range(3):
-        (source / f"part-{part}.json").write_text("\n".join(event_lines(rows[part * 40 : part * 40 + 40])))
-        query = streams.follow_runs(parsed, follower, str(tmp_path / "cp"))
-        query.awaitTermination()
-        assert query.exception() is None
-        got = records(follower.runs(part), *RUN_COLUMNS)
-        assert got == reference_runs(rows[: part * 40 + 40])
+    size = -(-len(rows) // parts)
+    for part in range(parts):
+        (source / f"part-{part}.json").write_text("\n".join(event_lines(rows[part * size : (part + 1) * size])))
+        parsed = telemetry.parse_events(streams.read_lines(spark, str(source), 1))[0]
+        streams.drain(stream(parsed), out, str(tmp_path / "cp"))
+        yield rows[: (part + 1) * size], spark.read.parquet(out)
+
+
+def test_run_stream_equals_batch(spark, tmp_path):
+    for seen, changes in in_parts(spark, tmp_path, random_log(4), streams.index_runs):
+        assert records(streams.current_runs(changes), *RUN_COLUMNS) == reference_runs(seen)
+
+
+def test_run_stream_of_file_events_without_workspace(spark, tmp_path):
+    """Two workspaces take turns; only starts and some ends name theirs, and a run outlives both restarts."""
+    rng, rows = random.Random(9), []
+    for i in range(90):
+        kind = rng.choice(["index_started", *["index_file_done"] * 5, "index_file_failed", "index_done"]) if i else "index_started"
+        rest = {"workspace": rng.choice("xy")} if kind == "index_started" or kind == "index_done" and i % 2 else {}
+        rows.append((i, i, kind, rest | {"entities": 2} if kind == "index_file_done" else rest))
+    for seen, changes in in_parts(spark, tmp_path, rows, lambda e: streams.index_runs(e, ["workspace"])):
+        batch = telemetry.index_runs(events(spark, seen), ["workspace"])
+        assert records(streams.current_runs(changes), "workspace", *RUN_COLUMNS) == records(batch, "workspace", *RUN_COLUMNS)
+
+
+def test_call_stream_equals_batch(spark, tmp_path):
+    """Calls that last for days and go on after a restart, starts after ends, ends without a start."""
+    rng, rows = random.Random(2), []
+    for i in range(150):
+        kind = rng.choice(["tool_started", "tool_completed", "tool_failed"])
+        rest = {"callId": rng.choice([None, *(f"c{k}" for k in range(25))]), "tool": rng.choice(["t", "u", None]), "durationMs": rng.choice([None, 5, 70]), "error": rng.choice([None, "bad"])}
+        rows.append((i, i * 86_400_000, kind, rest | ({"argsPreview": f"a{i}"} if i % 3 else {})))
+    for seen, changes in in_parts(spark, tmp_path, rows, streams.tool_calls):
+        assert call_records(streams.current_calls(changes)) == call_records(telemetry.tool_calls(events(spark, seen), None))
 
 
 def test_streams_equal_batch(spark, tmp_path):
@@ -159,7 +184,8 @@ def test_streams_equal_batch(spark, tmp_path):
     run = lambda df, name, mode="append": streams.drain(
         df, str(tmp_path / name), str(tmp_path / f"{name}-cp"), mode) or spark.read.parquet(str(tmp_path / name))
 
-    assert call_records(run(streams.tool_calls(parse()), "calls")) == EXPECTED_CALLS
+    calls = streams.current_calls(run(streams.tool_calls(parse()), "calls"))
+    assert call_records(calls.filter("call_id <> 'zz'")) == EXPECTED_CALLS
     assert records(run(streams.counts(parse()), "counts", "complete")) == records(telemetry.count_by_kind(batch))
     assert records(run(streams.latest_stage(parse(), ["workspace"]), "stage", "complete")) == [("x", "cleanup"), ("y", "done")]
     windows = records(run(streams.counts(parse(), "1 second"), "windows"), "kind", "count")
