@@ -1,7 +1,8 @@
 """From source texts to graph tables.
 
 A file is one row of the corpus. Its lines are reduced to facts (declarations, section marks, calls ...) before
-anything is shuffled; only those facts meet in windows per file, which give every fact its unit and section.
+anything is shuffled; only those facts meet in windows per file, which give every fact its unit and section. A declaration
+that runs over several lines is put on one line inside the row first.
 """
 
 from __future__ import annotations
@@ -30,6 +31,18 @@ _HEAD = rf"(?i)(?<![.\w])(?=(?:{_UNITS}|TYPE)\s+{NAME}){_OUTSIDE_STRINGS}"
 _NEXT_LABEL = rf";\s*(?=[\w.#]+(?:\s*(?:,|\.\.)\s*[\w.#]+)*\s*:(?!=)){_OUTSIDE_STRINGS}"
 _BREAK = "\u0001"
 
+# A declaration may run over several lines; its lines become one before a file is cut into lines. While that happens every
+# line carries its number, and so does every break that was taken out.
+_NUMBER, _TAKEN = "\u0003", "\u0002"
+_SECTION = rf"(?i)^(?:{'|'.join(SECTIONS)}|STRUCT)(?!\w)(?:\s+(?:CONSTANT|RETAIN|NON_RETAIN|PERSISTENT)(?!\w))*"
+_EDGE = (
+    rf"(?i)(?<![.\w])(?=(?:END_\w+|{'|'.join(SECTIONS)}|STRUCT)(?!\w))"
+    r"(?=(?:[^'\n]*'[^'\n]*')*[^'\n]*(?:\n|\z))"
+)
+_WRAPPED = r"(?<=[^;}\s])[ \t\r\f]*\n(?!\s*\z)"
+_INNER_BREAK = rf"(?:(?<=[^;}}\s{_NUMBER}])|(?!\A)\G)[ \t\r\f]*\n(\d+){_NUMBER}(?!\s*\z)"
+_LAST_TAKEN = rf"({_TAKEN}(\d+){_NUMBER}(?:'[^'\n]*'|[^{_TAKEN}\n;'])*+;)"
+
 _UNIT_START = rf"(?i)^({_UNITS})\s+(?:(?:{MODIFIERS})\s+)*({NAME})"
 _TYPE_OPEN = rf"(?i)^TYPE(?:\s+{NAME}|$)"
 _TYPE_NAME = rf"(?i)^(?:TYPE\s+)?({NAME})\s*(?:\(\s*[\w.]+\s*\)\s*)?:(?!=)\s*(.*)$"
@@ -43,8 +56,10 @@ _CASE = r"(?i)^CASE\s+(.+?)\s+OF\b(.*)$"
 _LABEL = r"(?i)^(?:CASE\s+.+?\s+OF\s+)?([\w.#]+(?:\s*(?:,|\.\.)\s*[\w.#]+)*)\s*:(?!=)"
 _ASSIGN = rf"({NAME}(?:\.{NAME})*)\s*:=\s*([\w.#]+)\s*(?:;|$)"
 _HEADER = rf"(?i)\b(?:FUNCTION_BLOCK|PROGRAM|CLASS|INTERFACE)\s+(?:(?:{MODIFIERS})\s+)*"
-_NAMES = rf"{NAME}(?:\s*,\s*{NAME})*"
-_CLAUSE = rf"{_HEADER}({NAME})(?:\s+EXTENDS\s+([A-Za-z_][\w.]*))?(?:\s+IMPLEMENTS\s+({_NAMES}))?"
+_DOTTED = rf"{NAME}(?:\.{NAME})*+"
+_NAMES = rf"{_DOTTED}(?:\s*,\s*{_DOTTED})*+"
+_CLAUSE = rf"{_HEADER}({NAME})(?:\s+EXTENDS\s+({_NAMES}))?(?:\s+IMPLEMENTS\s+({_NAMES}))?"
+_UNIT_HEAD = rf"{_UNIT_START}(?:\s+EXTENDS\s+{_NAMES})?(?:\s+IMPLEMENTS\s+{_NAMES})?"
 
 
 def clean(corpus: DataFrame) -> DataFrame:
@@ -67,19 +82,52 @@ def _text(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
+def _pieces(code: Column) -> Column:
+    """A text cut where variable sections, structures and ends of blocks stand."""
+    return F.split(code, _EDGE, -1)
+
+
+def _wrapped(code: Column) -> Column:
+    """Whether a declaration of a text runs over the end of a line."""
+    body = lambda piece: F.regexp_replace(piece, _SECTION, "")
+    return F.exists(_pieces(code), lambda p: p.rlike(_SECTION) & body(p).rlike(_WRAPPED))
+
+
+def _joined_lines(code: Column) -> Column:
+    """Lines ``number, mark, text`` in which every declaration stands on the line it starts on."""
+    plain = F.split(F.translate(code, f"{_BREAK}{_TAKEN}{_NUMBER}", "   "), "\n", -1)
+    numbered = F.array_join(F.transform(plain, lambda t, i: F.concat((i + 1).cast("string"), F.lit(_NUMBER), t)), "\n")
+
+    def joined(piece: Column) -> Column:
+        body = F.regexp_replace(F.regexp_replace(piece, _SECTION, ""), _INNER_BREAK, f"{_TAKEN}$1{_NUMBER}")
+        # what follows the end of a wrapped declaration stands on the line where that one ends
+        body = F.regexp_replace(body, _LAST_TAKEN, f"$1\n$2{_NUMBER}")
+        body = F.regexp_replace(body, rf"{_TAKEN}\d+{_NUMBER}", " ")
+        return F.when(piece.rlike(_SECTION), F.concat(F.regexp_extract(piece, _SECTION, 0), body)).otherwise(piece)
+
+    return F.split(F.array_join(F.transform(_pieces(numbered), joined), ""), "\n", -1)
+
+
 def segments(cleaned: DataFrame) -> DataFrame:
     """Statements lines ``(path, line, part, text)``: a line is split where a declaration or section keyword stands."""
     code = F.col("code")
     upper = F.upper(code)
     flat = F.regexp_replace(code, r"\s+", " ")
     heads = F.regexp_extract_all(flat, F.lit(_CLAUSE), F.lit(0))
-    lines = cleaned.select(
-        "path", upper.contains("END_TYPE").alias("has_types"), upper.contains("END_CASE").alias("has_cases"),
+    has_sections = upper.contains("VAR") | upper.contains("STRUCT")
+    lines = cleaned.withColumn("wrapped", F.when(has_sections, _wrapped(code)).otherwise(False)).select(
+        "path", "wrapped", upper.contains("END_TYPE").alias("has_types"), upper.contains("END_CASE").alias("has_cases"),
         F.when(upper.contains("EXTENDS") | upper.contains("IMPLEMENTS"), heads).alias("heads"),
-        F.posexplode(F.split("code", "\n", -1)).alias("line", "text"),
+        F.posexplode(F.when(F.col("wrapped"), _joined_lines(code)).otherwise(F.split("code", "\n", -1))).alias("at", "text"),
+    )
+    number = F.substring_index("text", _NUMBER, 1).cast("int")
+    lines = lines.select(
+        "path", "has_types", "has_cases",
+        # headers belong to the file; its first line carries them
+        F.when(F.col("at") == 0, F.col("heads")).alias("heads"),
+        "at", F.when(F.col("wrapped"), number).otherwise(F.col("at") + 1).alias("line"),
+        F.when(F.col("wrapped"), F.substring_index("text", _NUMBER, -1)).otherwise(F.col("text")).alias("text"),
     )
-    # headers belong to the file; its first line carries them
-    lines = lines.withColumn("heads", F.when(F.col("line") == 0, F.col("heads")))
     # plain substring tests come first: few lines hold a keyword, and only those meet the patterns
     big, text = F.col("_big"), F.col("text")
     lines = lines.withColumn("_big", F.upper("text"))
@@ -90,9 +138,11 @@ def segments(cleaned: DataFrame) -> DataFrame:
         (F.col("has_cases"), _NEXT_LABEL, f";{_BREAK}"),
     ):
         lines = lines.withColumn("text", F.when(wanted, F.regexp_replace(text, pattern, to)).otherwise(text))
-    parts = lines.select("path", "has_types", "has_cases", "heads", (F.col("line") + 1).alias("line"),
+    parts = lines.select("path", "has_types", "has_cases", "heads", "at", "line",
                          F.posexplode(F.split("text", _BREAK, -1)).alias("part", "text"))
     parts = parts.withColumn("heads", F.when(F.col("part") == 0, F.col("heads")))
+    # parts of a text line stay in order, also where two lines of the joined text have one number
+    parts = parts.withColumn("part", F.col("at").cast("bigint") * (1 << 31) + F.col("part")).drop("at")
     trimmed = F.btrim(F.col("text"), F.lit(" \t\r\f\u000b\u00a0"))
     return parts.withColumn("text", trimmed).filter("text <> '' OR heads IS NOT NULL")
 
@@ -113,12 +163,23 @@ def line_facts(parts: DataFrame) -> DataFrame:
     for kind in OUTER_KINDS + INNER_KINDS:
         is_unit = is_unit | big.startswith(kind)
     ends = [f"END_{k}" for k in (*OUTER_KINDS, *INNER_KINDS, "TYPE", "STRUCT", "VAR", "CASE")]
+    # a header declares its own name; what follows it on the line may call
+    body = F.when(is_unit, F.regexp_replace(text, _UNIT_HEAD, "")).otherwise(text)
     calls = F.filter(
-        F.array_except(F.regexp_extract_all(text, F.lit(_CALL), F.lit(1)), standard_names()),
+        F.array_except(F.regexp_extract_all(body, F.lit(_CALL), F.lit(1)), standard_names()),
         lambda c: ~c.startswith("_") & ~is_conversion(c),
     )
+    # labels and assignments of branches; what they belong to is known once blocks are
+    label = F.coalesce(_text(F.regexp_extract(text, _LABEL, 1)), F.when(big.rlike("^ELSE\\b"), "ELSE"))
+    moves = F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(_ASSIGN), F.lit(1)).alias("var"),
+        F.regexp_extract_all(text, F.lit(_ASSIGN), F.lit(2)).alias("val"),
+    )
+    has_cases = F.col("has_cases")
     rows = parts.select(
-        "path", "line", "part", "has_types", "has_cases", "text", "heads",
+        "path", "line", "part", "has_types", "text", "heads",
+        F.when(has_cases & (text.contains(":") | big.startswith("ELSE")), label).alias("label"),
+        F.when(has_cases & text.contains(":="), moves).alias("moves"),
         F.when(is_unit, _text(F.upper(F.regexp_extract(text, _UNIT_START, 1)))).alias("unit_kind"),
         F.when(is_unit, _text(F.regexp_extract(text, _UNIT_START, 2))).alias("unit_name"),
         F.when(big.isin(*ends), F.substr(big, F.lit(5))).alias("end_kind"),
@@ -131,11 +192,11 @@ def line_facts(parts: DataFrame) -> DataFrame:
     )
     keep = (
         F.col("unit_kind").isNotNull() | F.col("end_kind").isNotNull() | F.col("section_kind").isNotNull()
-        | F.col("has_types") | F.col("has_cases") | (F.size("declared") > 0) | (F.size("calls") > 0)
-        | F.col("heads").isNotNull()
+        | F.col("has_types") | (F.size("declared") > 0) | (F.size("calls") > 0)
+        | F.col("heads").isNotNull() | F.col("case_of").isNotNull() | F.col("label").isNotNull() | (F.size("moves") > 0)
     )
-    in_types, in_cases = F.col("has_types"), F.col("has_cases")
-    return rows.filter(keep).withColumn("text", F.when(in_types | in_cases, F.col("text"))).drop("has_types", "has_cases")
+    # the definition of a type is its text; no other file's lines leave the scan
+    return rows.filter(keep).withColumn("text", F.when(F.col("has_types"), F.col("text"))).drop("has_types")
 
 
 def with_scopes(facts: DataFrame) -> DataFrame:
@@ -183,7 +244,7 @@ def with_scopes(facts: DataFrame) -> DataFrame:
     owner = F.struct(type_name.alias("name"), "line", "part")
     second = first.withColumn("in_type", inside).withColumn("in_struct", in_struct).withColumn("_starts", type_start)
     no_owner = F.struct(
-        F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("part")
+        F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("bigint").alias("part")
     )
     ends = F.col("type_open") | (F.col("end_kind") == "TYPE")
     second = second.withColumn(
@@ -193,8 +254,8 @@ def with_scopes(facts: DataFrame) -> DataFrame:
     parent = F.when(inner["name"].isNotNull(), outer["name"])
     scope = F.coalesce(inner["name"], outer["name"])
     return second.select(
-        "path", "line", "part", "text", "heads", "unit_kind", "unit_name", "end_kind", "declared", "calls", "case_of",
-        _text(F.col("section")).alias("section"), "in_type", "in_struct", F.col("_starts").alias("type_start"),
+        "path", "line", "part", "text", "heads", "unit_kind", "unit_name", "end_kind", "declared", "calls", "case_of", "label",
+        "moves", _text(F.col("section")).alias("section"), "in_type", "in_struct", F.col("_starts").alias("type_start"),
         F.when(F.col("in_type") & F.col("type.name").isNotNull(), F.col("type")).alias("type"),
         scope.alias("scope"), parent.alias("parent"), F.coalesce(inner["kind"], outer["kind"]).alias("scope_kind"),
         F.when(scope.isNotNull(), pou_id(F.col("path"), scope, parent)).alias("pou_id"),
@@ -364,9 +425,10 @@ def fields(facts: DataFrame) -> DataFrame:
 def call_sites(facts: DataFrame) -> DataFrame:
     """``(path, line, pou_id, scope, callee)``: names followed by a bracket, with the innermost unit around them.
 
-    A name that starts a type block or declares a unit is no call; names that no unit bears drop out on resolution.
+    A name that starts a type block or declares a unit is no call, but a call may follow a header on its line; names that
+    no unit bears drop out on resolution.
     """
-    rows = facts.filter("pou_id IS NOT NULL AND unit_kind IS NULL AND size(calls) > 0")
+    rows = facts.filter("pou_id IS NOT NULL AND size(calls) > 0")
     return rows.select("path", "line", "pou_id", "scope", "parent", F.explode("calls").alias("callee")).distinct()
 
 
@@ -376,7 +438,9 @@ def states(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     A label of the block is a state; an assignment to the selector inside a branch is a transition. Nested blocks are
     told apart by their depth, and an assignment counts for the innermost block around it.
     """
-    rows = facts.filter("text IS NOT NULL AND NOT in_type AND pou_id IS NOT NULL AND section IS NULL")
+    rows = facts.filter("NOT in_type AND pou_id IS NOT NULL AND section IS NULL").filter(
+        "label IS NOT NULL OR moves IS NOT NULL OR case_of IS NOT NULL OR end_kind = 'CASE'"
+    )
     in_file = W.partitionBy("path").orderBy("line", "part").rowsBetween(W.unboundedPreceding, 0)
     opens, closes = F.col("case_of").isNotNull(), F.col("end_kind") == "CASE"
     depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(in_file)
@@ -386,21 +450,13 @@ def states(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("block", F.last(F.when(opens, block), ignorenulls=True).over(level)).filter(
         "depth > 0 AND block IS NOT NULL"
     )
-    label = F.coalesce(
-        _text(F.regexp_extract("text", _LABEL, 1)), F.when(F.upper("text").rlike("^ELSE\\b"), "ELSE")
-    )
-    rows = rows.withColumn("label", F.when(~F.coalesce(closes, F.lit(False)), label))
     branch = W.partitionBy("path", "depth", "block").orderBy("line", "part").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("state", F.last("label", ignorenulls=True).over(branch))
     found_states = rows.filter("label IS NOT NULL AND label <> 'ELSE'").select(
         "path", "pou_id", F.col("block.selector").alias("selector"),
         F.explode(F.split("label", r"\s*,\s*")).alias("state"), "line",
     ).distinct()
-    targets = F.arrays_zip(
-        F.regexp_extract_all("text", F.lit(_ASSIGN), F.lit(1)).alias("var"),
-        F.regexp_extract_all("text", F.lit(_ASSIGN), F.lit(2)).alias("val"),
-    )
-    moves = rows.filter("state IS NOT NULL").select("path", "pou_id", "block", "state", "line", F.explode(targets).alias("a"))
+    moves = rows.filter("state IS NOT NULL").select("path", "pou_id", "block", "state", "line", F.explode("moves").alias("a"))
     transitions = moves.filter(F.lower("a.var") == F.lower("block.selector")).select(
         "path", "pou_id", F.col("block.selector").alias("selector"),
         F.explode(F.split("state", r"\s*,\s*")).alias("from_state"), F.col("a.val").alias("to_state"), "line",

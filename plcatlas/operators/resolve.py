@@ -47,9 +47,10 @@ def references(
         F.lit(CALL_CONTEXT),
     )
     heads = pous.withColumn("pou_id", F.col("id")).withColumn("path", F.col("file_path"))
+    # an interface may extend several others
+    bases = heads.withColumn("base", F.explode(F.split("extends", r"\s*,\s*")))
     extends = _reference(
-        heads.filter("extends IS NOT NULL"), join(F.lit("st:rel:extends"), "path", "name", "extends"), F.col("extends"),
-        "EXTENDS", no_line, no_context,
+        bases, join(F.lit("st:rel:extends"), "path", "name", "base"), F.col("base"), "EXTENDS", no_line, no_context,
     )
     interfaces = heads.withColumn("interface", F.explode("implements"))
     implements = _reference(

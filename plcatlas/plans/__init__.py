@@ -6,10 +6,10 @@ from plcatlas.plans.registry import Registry
 
 
 def all_queries() -> Registry:
-    from plcatlas.plans import corpus_queries, event_queries, export_queries, graph_queries
+    from plcatlas.plans import corpus_queries, event_queries, export_queries, graph_queries, plant_queries
 
     merged = Registry()
-    for part in (graph_queries.registry, event_queries.registry, corpus_queries.registry, export_queries.registry):
-        for name, query in part.queries.items():
-            merged.define(name, query, part.oracle.get(name))
+    for part in (graph_queries, event_queries, corpus_queries, plant_queries, export_queries):
+        for name, query in part.registry.queries.items():
+            merged.define(name, query, part.registry.oracle.get(name))
     return merged

@@ -20,7 +20,56 @@ BASE_TABLES = {
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
 }
 
+# A file with every form of declaration, one SQL expression a line; k is the number of the file, b and c those of two others.
+PLANT = (
+    "concat('TYPE ST_', k, ' : STRUCT')",
+    "'  a, b : INT := 3;'",
+    "'  pos :'",
+    "'    ARRAY[0..3] OF REAL; name : STRING;'",
+    "'END_STRUCT; END_TYPE'",
+    "concat('TYPE E_', k, ' : (Off_', k, ', On := 2, Hold); END_TYPE')",
+    "concat('TYPE A_', k, ' : ARRAY[0..', n, '] OF ST_', k, '; END_TYPE')",
+    "'VAR_GLOBAL CONSTANT'",
+    "concat('  g_', k, ',')",
+    "concat('  h_', k, ' : INT := 1;')",
+    "'END_VAR'",
+    "concat('INTERFACE I_', k, ' EXTENDS I_', b, ', lib.I_X')",
+    "'METHOD Start : BOOL'",
+    "'END_METHOD'",
+    "'END_INTERFACE'",
+    "concat('FUNCTION_BLOCK FBX_', k, ' EXTENDS FBX_', b)",
+    "concat('  IMPLEMENTS lib.I_X, I_', k, ', I_', c)",
+    "'VAR_INPUT (* several on a line *) u : INT; v : LREAL := 0.5; END_VAR'",
+    "concat('VAR_IN_OUT io : ST_', k, '; END_VAR')",
+    "'VAR_OUTPUT done,'",
+    "'  failed : BOOL := TRUE; mode // wrapped'",
+    "concat('  : E_', k, '; last : STRING := ', chr(39), 'x;y : z', chr(39), '; END_VAR')",
+    "'VAR_TEMP t : REAL; END_VAR'",
+    "'VAR_EXTERNAL x : DINT; END_VAR'",
+    "'VAR_CONSTANT limit_ : INT := 5; END_VAR'",
+    "'VAR'",
+    "concat('  inst : FBX_', b, ';')",
+    "concat('  p AT %IX0.0 : POINTER TO ST_', k, ';')",
+    "'END_VAR'",
+    "'METHOD PUBLIC Run : BOOL'",
+    "'VAR_INPUT w : INT; END_VAR'",
+    "concat('  FBX_', c, '(u := w); ABS(w); INT_TO_REAL(w);')",
+    "'END_METHOD'",
+    "'inst(u := 1); TON(IN := TRUE);'",
+    "'CASE mode OF'",
+    "concat('  Off_', k, ': mode := On; 7: mode := Hold;')",
+    "'  On, Hold: // both'",
+    "concat('    IF done THEN mode := Off_', k, '; END_IF')",
+    "'END_CASE'",
+    "'END_FUNCTION_BLOCK'",
+    "concat('PROGRAM PRGX_', k, ' FBX_', k, '(); END_PROGRAM')",
+)
+
 VIEWS = {
+    "plant": f"""
+SELECT k, b, c, n, concat('lib/x', k, '.st') AS path, concat_ws(chr(10), {", ".join(PLANT)}) AS content FROM (
+ SELECT p_partkey AS k, CAST(floor(p_partkey / 2.0) AS BIGINT) AS b, CAST(floor(p_partkey / 3.0) AS BIGINT) AS c,
+  p_size AS n FROM part) x""",
     "pous": """
 SELECT concat('pou:', p_partkey) AS id,
  concat('FB_', CASE WHEN p_partkey % 50 = 49 THEN p_partkey - 1 ELSE p_partkey END) AS name,

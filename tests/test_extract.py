@@ -201,3 +201,59 @@ def test_comments_and_coverage(spark):
     rows = index_job.coverage(extract.extract(frame), frame)
     assert records(rows) == [("a.st", "parsed"), ("b.st", "failed"), ("c.st", "failed")]
     assert records(index_job.coverage_summary(rows)) == [(3, 1, 2, 33.3)]
+
+
+WRAPPED = """VAR_GLOBAL CONSTANT
+  g,
+
+  h : INT;
+END_VAR
+INTERFACE I_Both EXTENDS I_A, lib.I_B
+END_INTERFACE
+FUNCTION_BLOCK FB_W EXTENDS lib.FB_Base
+  IMPLEMENTS lib.I_X, I_Both
+VAR_OUTPUT first,
+  second : BOOL; third
+  : E_K; text : STRING := 'a;b : c'; END_VAR
+VAR RETAIN
+  {attribute 'hide'}
+  noted : INT
+    := 5
+END_VAR
+METHOD Run(x : INT) : BOOL FB_Q(1);
+END_METHOD
+IF first THEN
+  FB_Z(x :=
+    FB_K(1));
+END_IF
+END_FUNCTION_BLOCK
+PROGRAM P FB_W(); END_PROGRAM
+"""
+
+
+def test_wrapped_declarations(spark):
+    """Declarations keep the line they start on; bodies keep their lines."""
+    facts = extract.extract(corpus(spark, {"w.st": WRAPPED, "empty.st": "", "open.st": "VAR\n  a,"})).cache()
+    assert records(extract.variables(facts), "name", "var_type", "default_value", "start_line") == sorted([
+        ("first", "BOOL", None, 10), ("second", "BOOL", None, 10), ("third", "E_K", None, 11),
+        ("text", "STRING", "'a;b : c'", 12), ("noted", "INT", "5", 15),
+    ], key=repr)
+    assert records(extract.global_lists(facts), "name", "start_line") == [("g", 2), ("h", 2)]
+    assert records(extract.call_sites(facts), "scope", "callee", "line") == sorted([
+        ("Run", "FB_Q", 18), ("FB_W", "FB_Z", 21), ("FB_W", "FB_K", 22), ("P", "FB_W", 25)], key=repr)
+    heads = {r.name: (r.extends, r.implements) for r in extract.units(facts).collect()}
+    assert heads["I_Both"] == ("I_A, lib.I_B", None) and heads["FB_W"] == ("lib.FB_Base", ["lib.I_X", "I_Both"])
+
+
+def test_lines_that_wrap_nothing_stay_apart(spark):
+    """A file with a wrapped declaration gives the same facts for its other parts as one without."""
+    tail = "PROGRAM Q\nVAR\n  a : INT;\n  b : REAL := 1.5;\nEND_VAR\nCASE a OF\n  0: a := 1;\n  1:\n    a := 0;\nEND_CASE\nEND_PROGRAM\n"
+    plain = extract.extract(corpus(spark, {"q.st": "\n\n\n\n" + tail}))
+    wrapped = extract.extract(corpus(spark, {"q.st": "VAR_GLOBAL\n  g\n  : INT;\nEND_VAR\n" + tail}))
+    for table in (extract.variables, extract.units, lambda f: extract.states(f)[0], lambda f: extract.states(f)[1]):
+        assert records(table(wrapped)) == records(table(plain))
+
+
+def test_no_line_texts_are_shuffled_for_case_blocks(spark):
+    facts = extract.extract(corpus(spark, {"a.st": "PROGRAM A\nCASE s OF\n 0: s := 1; (* x *)\nEND_CASE\nEND_PROGRAM\n"}))
+    assert facts.filter("text IS NOT NULL").isEmpty() and extract.states(facts)[1].count() == 1
