@@ -12,7 +12,7 @@ from plcatlas.graph import Graph
 from plcatlas.functions.standard import is_elementary
 from plcatlas.operators import extract
 from plcatlas.operators.lookup import first_by_name
-from plcatlas.schemas import REFERENCES, RELATIONSHIPS, conform
+from plcatlas.schemas import NAME_OWNERS, NAME_USERS, REFERENCES, RELATIONSHIPS, conform
 
 CALL_CONTEXT = "regex_fallback"  # fixed value
 INSTANCE_CONTEXT = "instance_call"
@@ -86,6 +86,25 @@ def _instance_calls(sites: DataFrame, pous: DataFrame, variables: DataFrame) ->
     )
 
 
+def name_owners(pous: DataFrame, types: DataFrame) -> DataFrame:
+    """Every bearer of a name: when the first one goes, the next is known without a look at the declarations."""
+    rows = lambda df, is_type: df.select(
+        F.col("name").alias("target_name"), F.lit(is_type).alias("is_type"), "id", "file_path", "start_line"
+    )
+    return conform(rows(pous, False).unionByName(rows(types, True)), NAME_OWNERS)
+
+
+def name_users(refs: DataFrame) -> DataFrame:
+    """Name -> files that refer to it, declared or not."""
+    return conform(refs.select("target_name", "file_path").distinct(), NAME_USERS)
+
+
+def owner_table(owners: DataFrame) -> DataFrame:
+    """``name_table`` of the bearers of names."""
+    rows = owners.withColumnRenamed("target_name", "name")
+    return name_table(rows.filter("NOT is_type"), rows.filter("is_type"))
+
+
 def name_table(pous: DataFrame, types: DataFrame) -> DataFrame:
     """Name -> first unit and first type of that name: ``(target_name, pou_id, type_id)``."""
     unit = first_by_name(pous).select("name", F.col("id").alias("pou_id"))

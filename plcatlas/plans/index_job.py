@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from plcatlas.graph import Graph
 from plcatlas.operators import extract, resolve
-from plcatlas.schemas import EVENTS, conform
+from plcatlas.schemas import DIAGNOSTICS, EVENTS, conform
 from plcatlas.session import cut_lineage
 from plcatlas.sources import corpus as sources
-from plcatlas.sources.store import GraphStore
+from plcatlas.sources.store import GraphStore, diagnostic_rows
 
 
 @dataclass(frozen=True)
@@ -52,25 +52,30 @@ def declarations(corpus: DataFrame, options: Options, facts: DataFrame | None =
     )
 
 
-def edges(refs: DataFrame, pous: DataFrame, graph: Graph, options: Options) -> DataFrame:
+def edges(refs: DataFrame, pous: DataFrame, types: DataFrame, names: DataFrame, options: Options) -> DataFrame:
     """Edges that start at ``pous``: their resolved references, members and used types."""
-    resolved = resolve.resolve(refs, resolve.name_table(graph.pous, graph.types))
+    resolved = resolve.resolve(refs, names)
     return resolve.unique_edges(
         resolved.unionByName(resolve.contains_edges(pous))
-        .unionByName(resolve.uses_edges(pous, graph.types, resolved, options.uses))
+        .unionByName(resolve.uses_edges(pous, types, resolved, options.uses))
+    )
+
+
+def unknown_targets(refs: DataFrame, names: DataFrame) -> DataFrame:
+    """Base units and interfaces that nothing declares, as rejects."""
+    return resolve.unresolved(refs.filter("type IN ('EXTENDS', 'IMPLEMENTS')"), names).select(
+        F.lit("relationship").alias("kind"), "id", F.lit("unknown target").alias("reason")
     )
 
 
 def build(corpus: DataFrame, options: Options) -> Indexed:
     """The graph of a whole corpus and the rows that found no place in it."""
     declared = declarations(corpus, options)
-    found = cut_lineage(edges(declared.references, declared.pous, declared, options))
+    names = resolve.name_table(declared.pous, declared.types)
+    found = cut_lineage(edges(declared.references, declared.pous, declared.types, names, options))
     graph = declared.with_tables(relationships=found)
     graph, rejects = resolve.validate(graph)
-    missing = resolve.unresolved(
-        declared.references.filter("type IN ('EXTENDS', 'IMPLEMENTS')"), resolve.name_table(declared.pous, declared.types)
-    ).select(F.lit("relationship").alias("kind"), "id", F.lit("unknown target").alias("reason"))
-    return Indexed(graph, rejects.unionByName(missing))
+    return Indexed(graph, rejects.unionByName(unknown_targets(declared.references, names)))
 
 
 def full_index(store: GraphStore, corpus: DataFrame, options: Options) -> DataFrame:
@@ -80,56 +85,83 @@ def full_index(store: GraphStore, corpus: DataFrame, options: Options) -> DataFr
     return index_stats(store.read(), corpus.select("path"), corpus.select("path"))
 
 
-def update(store: GraphStore, corpus: DataFrame, options: Options, force: bool = False) -> DataFrame:
+def update(
+    store: GraphStore, corpus: DataFrame, options: Options, force: bool = False, diagnostics: DataFrame | None = None
+) -> DataFrame:
     """Bring the store in line with a corpus: index new and changed files, drop those that are gone."""
     listing = cut_lineage(sources.fingerprints(corpus))
-    old = store.read()
-    work = cut_lineage(sources.changed(listing, old.files, force).select("path"))
-    gone = cut_lineage(sources.stale(old.files, listing).select("path"))
-    apply(store, corpus.join(work, "path", "left_semi"), work.unionByName(gone), options)
-    return index_stats(store.read(), listing, work)
+    old = store.table("files")
+    work = cut_lineage(sources.changed(listing, old, force).select("path"))
+    gone = cut_lineage(sources.stale(old, listing).select("path"))
+    apply(store, corpus.join(work, "path", "left_semi"), work.unionByName(gone), options, diagnostics)
+    return _stats_of(store, listing, work)
 
 
 def update_named(store: GraphStore, corpus: DataFrame, paths: DataFrame, options: Options) -> DataFrame:
     """Index some files of the corpus, changed or not, and drop those that are gone."""
     named = cut_lineage(paths.select("path").distinct())
-    gone = cut_lineage(sources.stale(store.read().files, corpus).select("path"))
+    gone = cut_lineage(sources.stale(store.table("files"), corpus).select("path"))
     apply(store, sources.named_files(corpus, named), named.unionByName(gone), options)
-    return index_stats(store.read(), corpus.select("path"), named)
+    return _stats_of(store, corpus.select("path"), named)
 
 
-def apply(store: GraphStore, corpus: DataFrame, touched: DataFrame, options: Options) -> None:
-    """Replace the files of ``touched`` by what ``corpus`` says about them.
+def apply(
+    store: GraphStore, corpus: DataFrame, touched: DataFrame, options: Options, diagnostics: DataFrame | None = None
+) -> DataFrame:
+    """Replace the files of ``touched`` by what ``corpus`` says about them; returns the rejects ``(kind, id, reason)``.
 
     A changed file can give a name to, or take one from, files that did not change. Every file that refers to a name
-    declared in a touched file, before or now, gets its edges anew.
+    declared in a touched file, before or now, gets its edges anew. Those files come from the store's table of users of
+    names, the targets of their references from its table of bearers; nothing else of the store is read. ``diagnostics``
+    (positions from 0) take the place of those of the touched files; without them only those of files that are gone go.
     """
-    old = store.read()
+    spark = corpus.sparkSession
     touched = cut_lineage(touched.select("path").distinct())
     if touched.isEmpty():
-        return
+        return spark.createDataFrame([], "kind STRING, id STRING, reason STRING")
     places = touched.select(F.col("path").alias("file_path"))
     new = declarations(corpus, options)
-    merged = {
-        n: getattr(old, n).join(places, "file_path", "left_anti").unionByName(getattr(new, n))
-        for n in ("pous", "types", "references")
-    }
-    graph = old.with_tables(**merged)
-    name_of = lambda df: df.select(F.col("name").alias("target_name"))
-    mine = lambda df: df.join(places, "file_path", "left_semi")
-    names = (
-        name_of(mine(old.pous)).unionByName(name_of(mine(old.types)))
-        .unionByName(name_of(new.pous)).unionByName(name_of(new.types)).distinct()
-    )
-    affected = cut_lineage(
-        places.unionByName(graph.references.join(names, "target_name", "left_semi").select("file_path")).distinct()
-    )
-    units = graph.pous.join(affected, "file_path", "left_semi")
-    fresh = edges(graph.references.join(affected, "file_path", "left_semi"), units, graph, options)
+    owners, users = resolve.name_owners(new.pous, new.types), resolve.name_users(new.references)
+    name_of = lambda df, column="target_name": df.select(F.col(column).alias("target_name"))
+    old_declared = name_of(store.near("pous", places), "name").unionByName(name_of(store.near("types", places), "name"))
+    declared = cut_lineage(old_declared.unionByName(name_of(owners)).distinct())
+    # names whose rows change in the tables by name
+    moved = cut_lineage(
+        declared.unionByName(name_of(store.near("references", places))).unionByName(name_of(users)).distinct()
+    )
+    others = cut_lineage(
+        store.near("name_users", declared).select("file_path").distinct().join(places, "file_path", "left_anti")
+    )
+    refs = cut_lineage(store.near("references", others).unionByName(new.references))
+    targets = cut_lineage(name_of(refs).distinct())
+    bearers = cut_lineage(
+        store.near("name_owners", targets).join(places, "file_path", "left_anti")
+        .unionByName(owners.join(targets, "target_name", "left_semi"))
+    )
+    if options.uses == "file":
+        types = store.near("types", others).unionByName(new.types)
+    else:
+        types = bearers.filter("is_type").withColumnRenamed("target_name", "name")
+    names = cut_lineage(resolve.owner_table(bearers))
+    fresh = edges(refs, store.near("pous", others).unionByName(new.pous), types, names, options)
     changes = {n: (places, getattr(new, n)) for n in ("pous", "variables", "variable_lists", "types", "fields", "references")}
-    changes["relationships"] = (affected, fresh)
+    changes["relationships"] = (places.unionByName(others), fresh)
     changes["files"] = (touched, new.files)
-    store.replace(changes)
+    changes["name_owners"], changes["name_users"] = (places, owners), (places, users)
+    if diagnostics is None:
+        gone = touched.join(corpus.select("path"), "path", "left_anti")
+        changes["diagnostics"] = (gone, spark.createDataFrame([], DIAGNOSTICS))
+    else:
+        found = diagnostic_rows(diagnostics.join(places, "file_path", "left_semi"), options.now_ms)
+        changes["diagnostics"] = (places, found.dropDuplicates(["id"]))
+    store.replace(changes, moved)
+    return unknown_targets(refs, names)
+
+
+def _stats_of(store: GraphStore, listing: DataFrame, work: DataFrame) -> DataFrame:
+    """``index_stats`` of a change; opens the buckets of its files only."""
+    mine = {n: store.near(n, work) for n in ("pous", "types", "relationships")}
+    return index_stats(Graph(listing.sparkSession, **mine), listing, work)
 
 
 def index_stats(graph: Graph, listing: DataFrame, work: DataFrame) -> DataFrame:

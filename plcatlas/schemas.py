@@ -39,6 +39,10 @@ REFERENCES = (
     "id STRING, from_id STRING, target_name STRING, type STRING, file_path STRING, line INT, context STRING"
 )
 
+# Two tables besides the graph's: who bears a name, and which files refer to it.
+NAME_OWNERS = "target_name STRING, is_type BOOLEAN, id STRING, file_path STRING, start_line INT"
+NAME_USERS = "target_name STRING, file_path STRING"
+
 DEFINITION = "kind STRING, values ARRAY<STRING>, fields ARRAY<STRUCT<name: STRING, type: STRING>>"
 
 EDGE_TYPES = ("CONTAINS", "USES", "CALLS", "EXTENDS", "IMPLEMENTS", "REFERENCES")

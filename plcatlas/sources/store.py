@@ -4,6 +4,9 @@ Every table is a parquet folder partitioned by version and by bucket, a hash of
 writes the buckets of the files it touches into a new version and then, as its last step, one commit row per table and
 bucket. Readers take the latest committed version of every bucket: they see all tables of a change or none, and a
 job that dies half-way leaves only a version nobody reads.
+
+Besides the graph there are two tables in buckets of names: the bearers of a name and the files that refer to it. A
+change opens the buckets of its files and of the names it adds, takes or refers to, however large the store is.
 """
 
 from __future__ import annotations
@@ -17,11 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plcatlas.graph import TABLE_SCHEMAS, Graph
-from plcatlas.schemas import conform, struct_of
+from plcatlas.operators import resolve
+from plcatlas.schemas import NAME_OWNERS, NAME_USERS, conform, struct_of
 from plcatlas.session import cut_lineage
 
 BUCKETS = 256
 WRITERS = 4  # tables written at the same time
+NAME_TABLES = {"name_owners": NAME_OWNERS, "name_users": NAME_USERS}
+SCHEMAS = {**TABLE_SCHEMAS, **NAME_TABLES}
 _COMMITS = "version BIGINT, table_name STRING, bucket INT"
 
 
@@ -29,6 +35,10 @@ def file_column(table: str) -> str:
     return "path" if table == "files" else "file_path"
 
 
+def bucket_column(table: str) -> str:
+    return "target_name" if table in NAME_TABLES else file_column(table)
+
+
 class GraphStore:
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
@@ -55,7 +65,7 @@ class GraphStore:
 
     def table(self, name: str, only: Iterable[int] | None = None) -> DataFrame:
         """A table as of the latest commit of each bucket, or of some buckets only; others are not opened."""
-        ddl = TABLE_SCHEMAS[name]
+        ddl = SCHEMAS[name]
         current = self.commits().filter(F.col("table_name") == name).groupBy("bucket").agg(F.max("version").alias("v"))
         # at most one row per bucket, a fixed number
         wanted = set(only) if only is not None else None
@@ -72,23 +82,30 @@ class GraphStore:
         rows = paths.select(self.bucket(paths.columns[0]).alias("b")).distinct().collect()
         return sorted(r.b for r in rows)
 
-    def replace(self, changes: dict[str, tuple[DataFrame, DataFrame]]) -> int:
+    def near(self, name: str, keys: DataFrame, column: str | None = None) -> DataFrame:
+        """Rows of a table whose ``column`` (the one its buckets are made of) is among the keys; opens their buckets only."""
+        column = column or bucket_column(name)
+        wanted = keys.select(F.col(keys.columns[0]).alias(column)).distinct()
+        return self.table(name, self.buckets_of(keys)).join(wanted, column, "left_semi")
+
+    def replace(self, changes: dict[str, tuple[DataFrame, DataFrame]], names: DataFrame | None = None) -> int:
         """Replace rows by file, in several tables at once: ``{table: (paths, rows)}``; returns the new version.
 
         ``paths`` names the files whose rows go, ``rows`` are the ones that come. They may be read from this store: a
-        version is never written to again, so the tables they come from do not change meanwhile.
+        version is never written to again, so the tables they come from do not change meanwhile. ``names`` are those
+        of the rows that go or come in tables by name.
         """
         version = self.version() + 1
         done: list[tuple[int, str, int]] = []
         writes: list[tuple[str, DataFrame]] = []
         for name, (paths, rows) in changes.items():
             column = file_column(name)
-            buckets = self.buckets_of(paths)
+            buckets = self.buckets_of(names if name in NAME_TABLES else paths)
             if not buckets:
                 continue
             gone = paths.select(F.col(paths.columns[0]).alias(column)).distinct()
             kept = self.table(name, buckets).join(gone, column, "left_anti")
-            fresh = kept.unionByName(conform(rows, TABLE_SCHEMAS[name]))
+            fresh = kept.unionByName(conform(rows, SCHEMAS[name]))
             writes.append((name, fresh))
             done += [(version, name, b) for b in buckets]
         self._write_all(writes, version)
@@ -98,8 +115,9 @@ class GraphStore:
     def overwrite(self, graph: Graph) -> int:
         """Replace all tables."""
         version = self.version() + 1
-        self._write_all(list(graph.tables().items()), version)
-        self._commit([(version, name, b) for name in TABLE_SCHEMAS for b in range(self.buckets)])
+        owners, users = resolve.name_owners(graph.pous, graph.types), resolve.name_users(graph.references)
+        self._write_all([*graph.tables().items(), ("name_owners", owners), ("name_users", users)], version)
+        self._commit([(version, name, b) for name in SCHEMAS for b in range(self.buckets)])
         return version
 
     def _write_all(self, writes: list[tuple[str, DataFrame]], version: int) -> None:
@@ -109,7 +127,7 @@ class GraphStore:
                 pass
 
     def _write(self, name: str, rows: DataFrame, version: int) -> None:
-        rows = rows.withColumn("bucket", self.bucket(file_column(name)))
+        rows = rows.withColumn("bucket", self.bucket(bucket_column(name)))
         # rows of a bucket go to few files, and adaptive execution splits a bucket that is too large for one
         rows = rows.hint("rebalance", "bucket")
         target = f"{self.path}/{name}/version={version}"

@@ -155,3 +155,53 @@ def test_excluded_takes_whole_segments(spark):
     assert records(df.filter(~sources.excluded("path")), "path") == sorted((p,) for p in kept)
     assert df.filter(sources.excluded("path", ["FB_*.st"])).count() == 4
     assert df.filter(sources.excluded("path", [])).count() == 0
+
+
+def test_an_update_opens_the_buckets_it_needs(spark, tmp_path):
+    """The buckets an update reads depend on its files and their names, not on the size of the store."""
+    files = {f"m/{i}.st": f"FUNCTION_BLOCK FB_{i}\nVAR\n n : FB_{i + 1};\nEND_VAR\nEND_FUNCTION_BLOCK\n" for i in range(60)}
+    store = GraphStore(spark, str(tmp_path / "g"), buckets=64)
+    index_job.full_index(store, corpus(spark, files), Options(1))
+    opened = []
+    table = store.table
+    store.table = lambda name, only=None: (opened.append((name, None if only is None else len(only))), table(name, only))[1]
+    files["m/7.st"] = files["m/7.st"].replace("FB_7", "FB_Seven")
+    index_job.apply(store, corpus(spark, {"m/7.st": files["m/7.st"]}), spark.createDataFrame([("m/7.st",)], "path STRING"), Options(1))
+    store.table = table
+    assert opened and all(n is not None and n <= 4 for _, n in opened)
+    assert_same(store, spark, files)
+
+
+def test_the_next_bearer_of_a_name_takes_over(spark, tmp_path):
+    unit = "FUNCTION_BLOCK FB_Twice\nEND_FUNCTION_BLOCK\n"
+    files = {"a.st": unit, "b.st": unit, "use.st": "PROGRAM P\nVAR x : FB_Twice; END_VAR\nEND_PROGRAM\n"}
+    store = GraphStore(spark, str(tmp_path / "g"), buckets=8)
+    index_job.full_index(store, corpus(spark, files), Options(1))
+    for gone in ("a.st", "b.st"):
+        files.pop(gone)
+        index_job.update(store, corpus(spark, files), Options(1))
+        assert_same(store, spark, files)
+    assert store.read().relationships.isEmpty()
+    files["c.st"] = unit
+    index_job.update(store, corpus(spark, files), Options(1))
+    assert records(store.read().relationships, "to_id") == [("st:c.st:FB_Twice",)]
+
+
+def test_updates_carry_diagnostics_and_rejects(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "g"), buckets=4)
+    schema = "file_path STRING, line INT, column INT, severity INT, code STRING, message STRING, source STRING"
+    found = spark.createDataFrame([(p, 0, 3, 1, "C1", "bad", "st") for p in ("a.st", "b.st", "b.st", "not-there.st")], schema)
+    files = {"a.st": "PROGRAM A\nEND_PROGRAM\n", "b.st": "FUNCTION_BLOCK B EXTENDS Nobody\nEND_FUNCTION_BLOCK\n"}
+    index_job.update(store, corpus(spark, files), Options(1), diagnostics=found)
+    assert records(store.read().diagnostics, "file_path", "line", "column") == [("a.st", 1, 4), ("b.st", 1, 4)]
+    files["b.st"] += "\n"
+    index_job.update(store, corpus(spark, files), Options(2))
+    assert store.read().diagnostics.count() == 2
+    index_job.update(store, corpus(spark, files), Options(3), force=True, diagnostics=found.filter("file_path = 'a.st'"))
+    assert records(store.read().diagnostics, "file_path", "created_at") == [("a.st", 3)]
+    files.pop("a.st")
+    index_job.update(store, corpus(spark, files), Options(4))
+    assert store.read().diagnostics.isEmpty()
+    touched = spark.createDataFrame([("b.st",)], "path STRING")
+    rejects = index_job.apply(store, corpus(spark, files), touched, Options(5))
+    assert records(rejects, "kind", "reason") == [("relationship", "unknown target")]
