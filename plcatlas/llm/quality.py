@@ -1,10 +1,10 @@
 """Quality rules: fixed rules and a calibrated classifier.
 
-Method: a logistic regression over hashed word and character three-grams is trained on labelled quality rows, its outputs are turned into
+Method: a logistic regression over hashed words, word two- and three-grams and character (byte) three-grams is trained on labelled quality rows, its outputs are turned into
 probabilities on rows it hasn't seen (Platt's scaling), and every text is scored in Arrow batches against fixed thresholds.
 
 The classifier is fitted on at most ``SAMPLE`` labelled rows of each class, those whose ids have the smallest hashes; texts of these
-rows are used whole, and only their feature counts come to the driver. All other figures are computed for every document.
+rows are used whole, of repeated rows of an id the least text, and only their feature counts come to the driver. All other figures are computed for every document.
 
 Defined cases: a null or empty text has no words and fails the base rules; without labels of both classes there is no model, the
 probability is null and the base rules decide alone; labels other than 0 and 1, labels without a document and repeated labels
@@ -24,7 +24,10 @@ from plcatlas.llm.common import map_batches
 from plcatlas.llm.words import Words, gram_hashes, hash_slices, mix, words_of
 
 SAMPLE = 1500
-BUCKETS = 1 << 15
+BUCKETS = 1 << 15  # of characters; those of words come behind
+WORD_BITS = 17
+ORDERS = (1, 2, 3)
+SIZE = BUCKETS + (1 << WORD_BITS)
 SCALE = 30.0
 THRESHOLD = 0.35
 MIN_WORDS = 50
@@ -99,21 +102,34 @@ def char_buckets(data: np.ndarray) -> np.ndarray:
     return ((grams * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int32)
 
 
-def word_buckets(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(49)).astype(np.int32) + BUCKETS
+def word_buckets(words: Words, hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For one, two and three words: the bucket of the words that start at each place, and whether they are of one text."""
+    found = []
+    for n in ORDERS:
+        grams = hashes if n == 1 else gram_hashes(hashes, n, seed=n)
+        count = len(grams)
+        found.append(((grams >> np.uint64(64 - WORD_BITS)).astype(np.int32) + BUCKETS, words.doc[:count] == words.doc[len(words) - count :]))
+    return found
+
+
+def gram_counts(words: Words, n: int) -> np.ndarray:
+    """How many n-grams each text has; at least 1, to divide by."""
+    return np.maximum(1, words.counts() - n + 1)
 
 
 def feature_rows(b: pa.RecordBatch) -> pa.RecordBatch:
     """Label, and the buckets of a text with their shares, as bytes."""
     words = words_of(b.column(1))
     hashes = words.hashes()
-    label, index, value = b.column(0).to_pylist(), [], []
-    for row in range(len(label)):
-        own = word_buckets(hashes[words.first[row] : words.first[row + 1]])
+    grams = word_buckets(words, hashes)
+    index, value = [], []
+    for row in range(b.num_rows):
+        begin, end = words.first[row], words.first[row + 1]
         data = words.data[words.offsets[row] : words.offsets[row + 1]]
-        chars = char_buckets(data) if len(data) > 2 else np.zeros(0, np.int32)
-        found, count = np.unique(np.concatenate([own, chars]), return_counts=True)
-        share = np.where(found >= BUCKETS, SCALE / max(1, len(own)), SCALE / max(1, len(chars))) * count
+        parts = [char_buckets(data) if len(data) > 2 else np.zeros(0, np.int32)]
+        parts += [buckets[begin:end][inside[begin:end]] for buckets, inside in grams]
+        found, place = np.unique(np.concatenate(parts), return_inverse=True)
+        share = np.bincount(place, np.concatenate([np.full(len(p), SCALE / max(1, len(p))) for p in parts]), minlength=len(found))
         index.append(found.astype("<i4").tobytes())
         value.append(share.astype("<f4").tobytes())
     return pa.RecordBatch.from_arrays([b.column(0), pa.array(index, pa.binary()), pa.array(value, pa.binary())], names=["label", "index", "value"])
@@ -129,8 +145,11 @@ class Model:
     shift: float
 
     def probabilities(self, words: Words, hashes: np.ndarray) -> np.ndarray:
-        counts = np.maximum(1, words.counts())
-        margin = self.intercept + per_doc(self.weights[word_buckets(hashes)], words.first) * SCALE / counts
+        margin = np.full(len(words.first) - 1, self.intercept)
+        for n, (buckets, inside) in zip(ORDERS, word_buckets(words, hashes)):
+            gain = np.zeros(len(words))
+            gain[: len(buckets)] = self.weights[buckets] * inside
+            margin += per_doc(gain, words.first) * SCALE / gram_counts(words, n)
         if len(words.data) > 2:
             gain = np.append(self.weights[char_buckets(words.data)], [0, 0])
             total = np.concatenate([[0], np.cumsum(gain)])
@@ -151,12 +170,12 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 120, rate:
     learn = ~held[row]
     li, lv, lr = index[learn], value[learn], row[learn]
     balance = np.where(label == 1, 0.5 / max(1, (label[~held] == 1).sum()), 0.5 / max(1, (label[~held] == 0).sum())) * ~held
-    weights, intercept = np.zeros(2 * BUCKETS), 0.0
+    weights, intercept = np.zeros(SIZE), 0.0
     m, v, mi, vi = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0
     for t in range(1, steps + 1):
         margin = np.bincount(lr, lv * weights[li], minlength=len(rows)) + intercept
         slip = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - label) * balance
-        g = np.bincount(li, lv * slip[lr], minlength=2 * BUCKETS) + ridge * weights
+        g = np.bincount(li, lv * slip[lr], minlength=SIZE) + ridge * weights
         gi = slip.sum()
         m, v, mi, vi = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mi + 0.1 * gi, 0.99 * vi + 0.01 * gi * gi
         fade, grow = 1 - 0.9**t, 1 - 0.99**t
@@ -194,7 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     chosen = known.filter("label = 0").orderBy(order, "id").limit(sample).unionByName(known.filter("label = 1").orderBy(order, "id").limit(sample))
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     # at most two samples of ids: small enough to be sent to every task at any size of the input
-    rows = map_batches(texts.join(F.broadcast(chosen), "id").select("label", "text"), feature_rows, "label int, index binary, value binary")
+    one_each = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
+    rows = map_batches(one_each.select("label", "text"), feature_rows, "label int, index binary, value binary")
     return fit(sorted(((r[0], np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<f4")) for r in rows.collect()), key=lambda r: (len(r[1]), r[1].tobytes())))
 
 

@@ -6,8 +6,10 @@ import random
 import re
 from collections import Counter
 
-import pytest
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 import tiktoken
 
 from plcatlas.llm import bpe, components, exact_dedup, language, licenses, mixture, ngram_join, quality, secrets, substring_dedup, warc
@@ -301,6 +303,31 @@ def test_quality(spark, docs, rows, odd, empty):
     assert quality.score(odd, None).count() == odd.count() and quality.score(empty, model).count() == 0
 
 
+def test_quality_margins_are_sums_over_ngrams(spark):
+    """Probabilities from arrays equal those from dictionaries of grams; grams never run over the end of a text."""
+    texts = ["a b c a b", "", "one", "two words", "ä b c\n" * 40, "a b c a b"]
+    labels = [1, 0, 1, 0, 1, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(texts)], names=["label", "text"])
+    made = quality.feature_rows(batch)
+    found = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4")) for i, v in zip(made.column(1).to_pylist(), made.column(2).to_pylist())]
+    weights = np.random.default_rng(5).normal(size=quality.SIZE)
+    words = quality.words_of(pa.array(texts))
+    got = quality.Model(weights, 0.25, 1.0, 0.0).probabilities(words, words.hashes())
+    for row, (index, value) in enumerate(found):
+        margin = 0.25 + float((weights[index] * value).sum())
+        assert abs(got[row] - 1 / (1 + np.exp(-margin))) < 1e-4
+        own = texts[row].split()
+        assert (index >= quality.BUCKETS).sum() == sum(len({tuple(own[i : i + n]) for i in range(len(own) - n + 1)}) for n in (1, 2, 3))
+    assert got[0] == got[5]
+
+
+def test_quality_takes_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 2} text {k}") for i in range(40) for k in range(1 + 5 * (i == 3))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = quality.train(docs.filter("text like '%text 0'"), labels)
+    assert np.allclose(quality.train(docs, labels).weights, once.weights)
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
