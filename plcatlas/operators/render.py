@@ -123,11 +123,17 @@ def _pou_members(graph: Graph, docs: DataFrame) -> DataFrame:
     return variables.unionByName(outgoing).unionByName(incoming)
 
 
-def pou_documents(graph: Graph, corpus: DataFrame | None = None, page_rows: int = LIST_ROWS) -> DataFrame:
-    """``(entity_id, page, relpath, body)`` of every unit."""
+def _only(rows: DataFrame, ids: DataFrame | None) -> DataFrame:
+    return rows if ids is None else rows.join(ids.select(F.col(ids.columns[0]).alias("id")), "id", "left_semi")
+
+
+def pou_documents(
+    graph: Graph, corpus: DataFrame | None = None, page_rows: int = LIST_ROWS, only: DataFrame | None = None
+) -> DataFrame:
+    """``(entity_id, page, relpath, body)`` of every unit, or of those whose ids are in ``only``."""
     docs = document_names(graph.pous)
     # read for the counts and for the lists
-    members = cut_lineage(_pou_members(graph, docs))
+    members = cut_lineage(_only(_pou_members(graph, docs), only))
     counts = members.groupBy("id").agg(
         F.count("variable").alias("n_variables"), F.count("call").alias("n_calls"), F.count("caller").alias("n_callers")
     )
@@ -137,7 +143,7 @@ def pou_documents(graph: Graph, corpus: DataFrame | None = None, page_rows: int
         counts=counts.select("id", (F.col("n_variables") + F.col("n_calls") + F.col("n_callers")).alias("_n")),
     )
     rows = (
-        graph.pous.join(docs, "id")
+        _only(graph.pous, only).join(docs, "id")
         .join(counts, "id", "left").join(lists, "id", "left")
         .fillna(0, ["n_variables", "n_calls", "n_callers", "page"])
     )
@@ -187,20 +193,22 @@ def _with_source(rows: DataFrame, graph: Graph, corpus: DataFrame | None, kind:
     return rows.join(snippets, "id", "left").withColumn("source", F.coalesce("source", note))
 
 
-def type_documents(graph: Graph, corpus: DataFrame | None = None, page_rows: int = LIST_ROWS) -> DataFrame:
-    """``(entity_id, page, relpath, body)`` of every type."""
+def type_documents(
+    graph: Graph, corpus: DataFrame | None = None, page_rows: int = LIST_ROWS, only: DataFrame | None = None
+) -> DataFrame:
+    """``(entity_id, page, relpath, body)`` of every type, or of those whose ids are in ``only``."""
     docs = document_names(graph.types)
     units = document_names(graph.pous).select(F.col("id").alias("pou_id"), F.col("doc").alias("user"))
     usages = type_usages(graph).join(units, "pou_id").select(
         F.col("type_id").alias("id"), _text("- ", link(F.col("user"), F.col("file"))).alias("usage"), F.col("pou_id").alias("member")
     )
-    usages = cut_lineage(usages)
+    usages = cut_lineage(_only(usages, only))
     counts = usages.groupBy("id").agg(F.count(F.lit(1)).alias("n_usages"))
     lists = paged_lists(
         usages, ["id"], {"usages": F.col("usage")}, ["member"], page_rows, counts=counts.withColumnRenamed("n_usages", "_n")
     )
     rows = (
-        graph.types.join(docs, "id").join(counts, "id", "left").join(lists, "id", "left").fillna(0, ["n_usages", "page"])
+        _only(graph.types, only).join(docs, "id").join(counts, "id", "left").join(lists, "id", "left").fillna(0, ["n_usages", "page"])
         .withColumn("_d", text.definition("definition"))
     )
     rows = _with_source(rows, graph, corpus, "TYPE")

@@ -145,3 +145,42 @@ def test_write_snapshot(spark, graph, tmp_path):
     nodes = spark.read.json(str(tmp_path / "snap" / "nodes"))
     assert records(nodes.filter("id like '%PRG_Station'"), "type", "data.label") == [("program", "PRG_Station")]
     assert spark.read.json(str(tmp_path / "snap" / "edges")).count() == graph.relationships.count()
+
+
+def pages_of(base):
+    return {str(p.relative_to(base)): p.read_text() for p in Path(base).rglob("*.md")}
+
+
+def test_a_change_renders_the_pages_it_concerns(spark, tmp_path):
+    """Increments end with the pages of a full export, and render no page that shows nothing of the change."""
+    build = lambda files: index_job.build(corpus(spark, files), Options(1, resolve_instances=True)).graph
+    files, base = dict(ALL), str(tmp_path / "vault")
+    twin = "FUNCTION_BLOCK FB_Device\nVAR z : INT; END_VAR\nEND_FUNCTION_BLOCK\n"
+    steps = [
+        {},
+        {"plant/FB_Motor.st": FILES["plant/FB_Motor.st"].replace("Torque", "Outcome")},
+        {"a/twin.st": twin},  # takes the plain page name
+        {"plant/FB_Motor.st": None},
+        {"a/twin.st": None, "mixed.st": None},
+    ]
+    rendered = []
+    for now, step in enumerate(steps):
+        files = {k: v for k, v in {**files, **step}.items() if v is not None}
+        graph = build(files)
+        stats = export_job.export(graph, corpus(spark, files), base, now).first()
+        full = str(tmp_path / f"full{now}")
+        export_job.export(graph, corpus(spark, files), full, now, mode="full")
+        assert pages_of(base) == pages_of(full), now
+        rendered.append(stats.files_written)
+    assert rendered[1] == 2
+    before = export_job.page_inputs(build({**ALL, "x.st": "PROGRAM X\nEND_PROGRAM\n"}), None)
+    after = build({**ALL, "x.st": "PROGRAM X\nVAR n : FB_Pump; END_VAR\nn();\nEND_PROGRAM\n"})
+    found = {r.id for r in export_job.affected_entities(after, export_job.page_inputs(after, None), before).collect()}
+    assert found == {"st:x.st:X", "st:plant/FB_Pump.st:FB_Pump"}
+
+
+def test_other_settings_render_all_pages_again(spark, tmp_path):
+    graph, base = index_job.build(corpus(spark, ALL), Options(1)).graph, str(tmp_path / "vault")
+    export_job.export(graph, corpus(spark, ALL), base, 1)
+    assert export_job.export(graph, None, base, 2).first().files_written > 5
+    assert export_job.export(graph, None, base, 3).first().files_written == 1
