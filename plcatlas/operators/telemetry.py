@@ -20,6 +20,8 @@ STAGES = (
     "preparing", "lsp_open", "parsing", "extracting", "building_edges", "resolving", "persisting", "cleanup", "done",
 )
 HISTORY = 1000
+# Sketches of durations: their size, and the rank error they keep with 99 % confidence.
+SKETCH_K, SKETCH_ERROR = 400, 0.01
 CALL_LIMIT = 50
 RUN_BUCKET_IDS = 1_000_000
 NO_START = -1
@@ -99,6 +101,24 @@ def file_durations(events: DataFrame) -> DataFrame:
     )
 
 
+def duration_sketches(events: DataFrame, by: Sequence[str] = ("file",), k: int = SKETCH_K) -> DataFrame:
+    """``(*by, day, runs, sketch)``: KLL sketches of the durations of a day; days merge without the events."""
+    done = events.filter("kind = 'index_file_done' AND durationMs IS NOT NULL").withColumn("day", F.to_date("ts"))
+    return done.groupBy(*by, "day").agg(
+        F.count(F.lit(1)).alias("runs"), F.kll_sketch_agg_bigint(F.col("durationMs").cast("bigint"), k).alias("sketch")
+    )
+
+
+def duration_quantiles(
+    sketches: DataFrame, by: Sequence[str] = ("file",), ranks: Sequence[float] = (0.5, 0.95, 0.99)
+) -> DataFrame:
+    """``(*by, runs, p50, p95, p99)`` of merged sketches, each within ``SKETCH_ERROR`` of its rank."""
+    merged = sketches.groupBy(*by).agg(F.sum("runs").alias("runs"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+    return merged.select(
+        *by, "runs", *[F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(r))).alias(f"p{round(r * 100)}") for r in ranks]
+    )
+
+
 def stage_progress(events: DataFrame) -> DataFrame:
     """The furthest stage each file has reached."""
     rank = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("stage"))

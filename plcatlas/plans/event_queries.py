@@ -43,6 +43,10 @@ SELECT epoch_ms(time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01')) AS
 event_query("file_durations", telemetry.file_durations, """
 SELECT file, count(*) AS runs, avg(durationMs) AS avg_ms, max(durationMs) AS max_ms FROM event_log
 WHERE kind = 'index_file_done' GROUP BY file""")
+# a sketch of at most SKETCH_K values is exact; tests hold larger ones against their rank error
+event_query("file_duration_quantiles", lambda e: telemetry.duration_quantiles(telemetry.duration_sketches(e)), """
+SELECT file, count(*) AS runs, quantile_disc(durationMs, 0.5) AS p50, quantile_disc(durationMs, 0.95) AS p95,
+ quantile_disc(durationMs, 0.99) AS p99 FROM event_log WHERE kind = 'index_file_done' AND durationMs IS NOT NULL GROUP BY file""")
 _STAGES = ", ".join(f"'{s}'" for s in telemetry.STAGES)
 event_query("stage_progress", telemetry.stage_progress, f"""
 SELECT file, list_extract([{_STAGES}], max(list_position([{_STAGES}], stage))) AS stage FROM event_log
@@ -89,6 +93,20 @@ event_query("index_runs", named_runs, f"{_RUNS} SELECT * FROM runs")
 event_query("latest_index_runs", lambda e: telemetry.latest_runs(named_runs(e)), f"""{_RUNS}
 SELECT r.* FROM runs r JOIN (SELECT workspace, max(run) AS run FROM runs GROUP BY workspace) m USING (workspace, run)""")
 
+_RUN_KINDS = "('index_started', 'index_file_done', 'index_file_failed', 'index_done', 'index_completed')"
+_FILLED = f"""WITH filled AS (SELECT * REPLACE (coalesce(workspace, last_value(CASE WHEN kind = 'index_started' THEN workspace END IGNORE NULLS)
+  OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS workspace) FROM bare_log WHERE kind IN {_RUN_KINDS}), """
+event_query("bare_index_runs", named_runs, _RUNS.strip().replace("WITH ", _FILLED, 1).replace("FROM event_log", "FROM filled")
+            .replace("JOIN event_log", "JOIN filled") + " SELECT * FROM runs", "bare_log")
+# a log read as one sequence, whoever its events belong to
+_SEQUENCE = (
+    _RUNS.replace("event_log", "bare_log").replace("PARTITION BY workspace ORDER BY id", "ORDER BY id")
+    .replace("GROUP BY workspace, run", "GROUP BY run")
+    .replace("SELECT workspace, run, max", """SELECT coalesce(arg_max(workspace, id) FILTER (kind = 'index_started'),
+  arg_max(workspace, id) FILTER (is_done), '(unknown)') AS workspace, run, max""")
+)
+event_query("log_runs", telemetry.index_runs, f"{_SEQUENCE} SELECT * FROM runs", "bare_log")
+
 _CALLS = """
 WITH valid AS (SELECT * FROM call_log WHERE callId IS NOT NULL AND tool IS NOT NULL),
 s AS (SELECT callId, arg_max({'id': id, 'ts': ts, 'tool': tool, 'args': argsPreview}, id) AS s FROM valid

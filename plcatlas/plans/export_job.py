@@ -190,14 +190,14 @@ def _setting(corpus: DataFrame | None, mermaid: bool, page_rows: int) -> str:
 def _state(spark: SparkSession, base: str, run: int, setting: str) -> tuple[DataFrame, DataFrame] | None:
     """Inputs and index of the last export, if it was complete and made with the same settings."""
     try:
+        done = spark.read.schema("setting STRING").parquet(f"{base}/.done/run={run}").first()
         inputs = spark.read.schema(_INPUTS).parquet(f"{base}/.inputs/run={run}")
         index = spark.read.schema(_INDEX).parquet(f"{base}/.index/run={run}")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    known = inputs.filter("kind = 'setting'").first()
-    return (inputs.filter("kind <> 'setting'"), index) if known is not None and known.a == setting else None
+    return (inputs, index) if done is not None and done.setting == setting else None
 
 
 def export(
@@ -214,8 +214,9 @@ def export(
     before = manifest if mode == "incremental" else None
     setting = _setting(corpus, mermaid, page_rows)
     last = _state(spark, base, run, setting) if before is not None else None
-    inputs = cut_lineage(page_inputs(graph, corpus))
     folder = f"run={run + 1}"
+    page_inputs(graph, corpus).write.mode("overwrite").parquet(f"{base}/.inputs/{folder}")
+    inputs = spark.read.schema(_INPUTS).parquet(f"{base}/.inputs/{folder}")
     # one row a kind
     unchanged = last is not None and set(totals(inputs).collect()) == set(totals(last[0]).collect())
     index = (last[1] if unchanged else render.index_documents(graph, mermaid, page_rows)).select("entity_id", "page", "relpath", "body")
@@ -238,9 +239,7 @@ def export(
         stale = manifest.select("relpath").join(written.select("relpath"), "relpath", "left_anti")
         stale.mapInPandas(_remover(base), "relpath STRING").write.format("noop").mode("overwrite").save()
     # the last step: an export that dies before it is followed by one that renders everything
-    known = spark.range(1).select(F.lit("setting").alias("kind"), F.lit(setting).alias("a"), F.lit("").alias("b"),
-                                  F.lit(0).cast("decimal(38,0)").alias("digest"), F.lit(1).cast("bigint").alias("n"))
-    inputs.unionByName(known).write.mode("overwrite").parquet(f"{base}/.inputs/{folder}")
+    spark.range(1).select(F.lit(setting).alias("setting")).write.mode("overwrite").parquet(f"{base}/.done/{folder}")
     return export_stats(written)
 
 

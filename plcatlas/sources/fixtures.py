@@ -182,6 +182,11 @@ LEFT JOIN (SELECT from_id, string_agg(concat('  FB_', substr(to_id, 5), '(x := 1
  ON c.from_id = p.id""",
 }
 
+# The log as jobs write it: only starts and ends of runs name their workspace.
+VIEWS["bare_log"] = VIEWS["event_log"].replace(
+    "concat('w', user_id) AS workspace", "CASE WHEN event_type IN ('signup', 'purchase') THEN concat('w', user_id) END AS workspace"
+)
+
 # Rows without their unit, type or end, besides all rows of a view; both engines run these texts.
 DANGLING = {
     "variables": """

@@ -25,7 +25,7 @@ from plcatlas.schemas import NAME_OWNERS, NAME_USERS, conform, struct_of
 from plcatlas.session import cut_lineage
 
 BUCKETS = 256
-WRITERS = 4  # tables written at the same time
+WRITERS = 8  # tables written at the same time
 NAME_TABLES = {"name_owners": NAME_OWNERS, "name_users": NAME_USERS}
 SCHEMAS = {**TABLE_SCHEMAS, **NAME_TABLES}
 _COMMITS = "version BIGINT, table_name STRING, bucket INT"

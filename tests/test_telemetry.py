@@ -1,3 +1,4 @@
+import bisect
 import json
 import random
 
@@ -219,3 +220,21 @@ def test_runs_whose_file_events_name_no_workspace(spark):
     assert records(tail, "workspace") == [("z",), ("z",)]
     marked = telemetry.mark_runs(df, ["workspace"], 2)
     assert records(marked, "id", "run") == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6), (7, 6)]
+
+
+def test_duration_quantiles_keep_their_rank_error(spark):
+    """Sketches of days merge to one whose quantiles lie within the stated rank error; few values are kept exactly."""
+    rows = spark.range(60_000).selectExpr(
+        "id", "timestamp_seconds(1700000000 + id * 40) AS ts", "'index_file_done' AS kind", "if(id % 6000 = 0, 'few', 'hot') AS file",
+        "CAST(id * 7919 % 60000 AS BIGINT) AS durationMs",
+    )
+    days = telemetry.duration_sketches(rows).cache()
+    assert days.filter("file = 'hot'").count() > 20
+    got = {r.file: r for r in telemetry.duration_quantiles(days).collect()}
+    values = sorted(r.durationMs for r in rows.filter("file = 'hot'").collect())
+    assert got["hot"].runs == len(values) == 59_990
+    for rank, value in ((0.5, got["hot"].p50), (0.95, got["hot"].p95), (0.99, got["hot"].p99)):
+        assert abs(bisect.bisect_right(values, value) / len(values) - rank) <= telemetry.SKETCH_ERROR
+    few = sorted(r.durationMs for r in rows.filter("file = 'few'").collect())
+    assert (got["few"].runs, got["few"].p50, got["few"].p99) == (10, few[4], few[9])
+    assert telemetry.duration_quantiles(telemetry.duration_sketches(rows.limit(0))).isEmpty()
