@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -392,6 +394,48 @@ def test_language_reads_whole_words():
     assert got == [(w, b) for (w, _), b in zip(want, buckets)]
 
 
+def test_forward_backward_sums_over_all_paths():
+    """Posteriors, expected transitions and normalisers against every path of short chains of different lengths."""
+    rnd = np.random.default_rng(7)
+    chains, places, states = 6, 5, 3
+    lengths = [1, 2, 3, 4, 5, 5]
+    scores, moves, begin = rnd.normal(0, 2, (chains, places, states)), rnd.normal(0, 1, (states, states)), rnd.normal(0, 1, states)
+    real = np.arange(places)[None, :] < np.array(lengths)[:, None]
+    post, moved, whole = language.forward_backward(scores, real, moves, begin)
+    single = language.posteriors(scores, real, moves, begin)
+    want_moved = np.zeros((states, states))
+    for c, n in enumerate(lengths):
+        paths = list(itertools.product(range(states), repeat=n))
+        weight = [math.exp(begin[p[0]] + sum(scores[c, t, p[t]] for t in range(n)) + sum(moves[p[t - 1], p[t]] for t in range(1, n))) for p in paths]
+        total = sum(weight)
+        assert math.isclose(whole[c], math.log(total), rel_tol=1e-9)
+        want = np.zeros((n, states))
+        for p, w in zip(paths, weight):
+            for t in range(n):
+                want[t, p[t]] += w / total
+                if t:
+                    want_moved[p[t - 1], p[t]] += w / total
+        assert np.allclose(post[c, :n], want, atol=1e-9) and np.allclose(single[c, :n], want, atol=1e-4)
+    assert np.allclose(moved, want_moved, atol=1e-9)
+
+
+def test_votes_are_posteriors_summed_over_words():
+    """The judged language and its score follow from the paths of a text's own chain."""
+    model = language.fit(["the house is red and old"] * 20 + ["das haus ist rot und alt"] * 20, ["en"] * 20 + ["de"] * 20, steps=5)
+    for text in ("the haus is rot", "das", "red alt the", "zzz qqq"):
+        tokens = language.Tokens(pa.array([text], pa.large_string()))
+        emission = model.emissions(tokens)[tokens.kind]
+        n, states = len(emission), len(model.languages)
+        votes, total = np.zeros(states), 0.0
+        for p in itertools.product(range(states), repeat=n):
+            w = math.exp(model.begin[p[0]] + sum(emission[t, p[t]] for t in range(n)) + sum(model.moves[p[t - 1], p[t]] for t in range(1, n)))
+            total += w
+            for k in p:
+                votes[k] += w
+        (lang,), score = language.judge(pa.array([text]), model)
+        assert lang == model.languages[int(votes.argmax())] and math.isclose(score[0], votes.max() / total / n, abs_tol=1e-3)
+
+
 def test_exact(docs, rows, odd, empty):
     groups = {}
     for i, t, *_ in rows:
@@ -404,15 +448,74 @@ def test_exact(docs, rows, odd, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {min(g) for g in groups.values()}
 
 
-def test_pipeline(spark):
+def mix_by_hand(spark, rows):
+    """How often the mix begins to take each document: targets by repeated resharing, then one walk a source in the order of the keys."""
+    tie = {r[0]: r[1] for r in spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string").select("doc_id", mixture.row_tie("text")).collect()}
+    keyed = spark.createDataFrame(list(tie.items()), "doc_id long, tie long").selectExpr("doc_id", f"xxhash64({mixture.SEED}, doc_id, tie)").collect()
+    key = {r[0]: r[1] for r in keyed}
+    size, source = {i: len(words(t)) for i, t, *_ in rows}, {i: s for i, _, _, s, *_ in rows}
+    names = sorted(set(source.values()), key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[i] for i in size if source[i] == s) for s in names}
+    weight, target, open_names = {s: 1 + k % 3 for k, s in enumerate(names)}, {}, list(names)
+    while open_names:
+        rest = sum(total.values()) - sum(target.values())
+        level = rest / sum(weight[s] for s in open_names)
+        above = [s for s in open_names if level * weight[s] > 3 * total[s]]
+        target.update({s: 3 * total[s] for s in above} if above else {s: level * weight[s] for s in open_names})
+        open_names = [s for s in open_names if s not in target]
+    copies = Counter()
+    for s in names:
+        left, mine = math.floor(target[s] + 1e-6), sorted((i for i in source if source[i] == s), key=lambda i: (key[i], i))
+        while left > 0:
+            for i in mine:
+                if left > 0 and size[i]:
+                    copies[i] += 1
+                    left -= size[i]
+    return copies
+
+
+def test_pipeline(spark, tmp_path):
+    """run() against the five stages by hand, on the smallest tables with planted copies, blanks and a row without a source."""
+    import corpus_pipeline
+
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    have, columns = [tuple(r) for r in given.select("doc_id", "text", "lang", "source", "n_chars").collect()], given.columns
+    top = max(r[0] for r in have) + 1
+    long = [r for r in have if len(words(r[1])) > 80][:12]
+    plants = [None, "", " \n ", "12 34 !"]
+    plants += ["  " + re.sub(r"[\x20\x09-\x0D]+", "\n\t", r[1]) for r in long[:4]]
+    plants += [" ".join(w if k != len(words(r[1])) // 2 else "qqq" for k, w in enumerate(words(r[1]))) for r in long[4:]]
+    rows = have + [(top + k, t, None, None if k % 2 else "planted", 0) for k, t in enumerate(plants)]
+    spark.createDataFrame(rows, given.select("doc_id", "text", "lang", "source", "n_chars").schema).select(*columns).write.parquet(f"{tmp_path}/documents.parquet")
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = language.train(docs, corpus_pipeline.LEARN_FROM)
+    lang, score = language.judge(pa.array([r[1] for r in rows], pa.string()), model)
+    known = [r for r, x, s in zip(rows, lang, score) if x != "und" and s >= corpus_pipeline.LEAST_SCORE]
+    assert not {top, top + 1, top + 2, top + 3} & {r[0] for r in known}
+    least = {}
+    for r in known:
+        same = re.sub(r"[\x20\x09-\x0D]+", " ", r[1])
+        least[same] = min(least.get(same, r[0]), r[0])
+    distinct = [r for r in known if r[0] in set(least.values())]
+    component = classes(distinct, 5, 80)
+    apart = [r for r in distinct if component[r[0]][1] == r[0]]
+    assert len(known) > len(distinct) > len(apart)
+    copies = mix_by_hand(spark, apart)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, bpe.read_ranks(VOCABULARY).splitlines())}
+    true = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter({(r[0], tuple(true.encode_ordinary(r[1]))): copies[r[0]] for r in apart if copies[r[0]]})
+    assert Counter((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_pipeline_stages(spark, odd, empty):
+    """All stages but the last keep the columns; repeated rows, rows without id and the empty table pass through all of them."""
     import corpus_pipeline
 
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
-    counts = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf)
-        counts.append(docs.count())
-        assert name == "encode" or docs.columns == columns
-    assert counts[0] >= counts[1] >= counts[2] >= counts[3] and counts[4] == counts[5] and set(docs.columns) >= {"doc_id", "ids"}
+    for docs in (odd, empty):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, "")
+            assert name == "encode" or docs.columns == columns
+        assert {"doc_id", "ids"} <= set(docs.columns)
+        assert docs.filter("ids IS NULL").isEmpty()
