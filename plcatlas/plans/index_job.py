@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from plcatlas.graph import Graph
 from plcatlas.operators import extract, resolve
-from plcatlas.schemas import DIAGNOSTICS, EVENTS, conform
+from plcatlas.plans.run_log import Journal, record
+from plcatlas.schemas import DIAGNOSTICS
 from plcatlas.session import cut_lineage
 from plcatlas.sources import corpus as sources
 from plcatlas.sources.store import GraphStore, diagnostic_rows
@@ -78,23 +79,38 @@ def build(corpus: DataFrame, options: Options) -> Indexed:
     return Indexed(graph, rejects.unionByName(unknown_targets(declared.references, names)))
 
 
-def full_index(store: GraphStore, corpus: DataFrame, options: Options) -> DataFrame:
-    """Index everything anew and return the statistics."""
-    result = build(corpus, options)
-    store.overwrite(result.graph)
-    return index_stats(store.read(), corpus.select("path"), corpus.select("path"))
+def full_index(store: GraphStore, corpus: DataFrame, options: Options, journal: Journal | None = None) -> DataFrame:
+    """Index everything anew and return the statistics; with a journal the run writes its events."""
+    paths = corpus.select("path")
+
+    def work() -> DataFrame:
+        store.overwrite(build(corpus, options).graph)
+        return paths
+
+    if journal:
+        return record(journal, store, paths, work)
+    work()
+    return index_stats(store.read(), paths, paths)
 
 
 def update(
-    store: GraphStore, corpus: DataFrame, options: Options, force: bool = False, diagnostics: DataFrame | None = None
+    store: GraphStore, corpus: DataFrame, options: Options, force: bool = False, diagnostics: DataFrame | None = None,
+    journal: Journal | None = None,
 ) -> DataFrame:
-    """Bring the store in line with a corpus: index new and changed files, drop those that are gone."""
+    """Bring the store in line with a corpus: index new and changed files, drop those that are gone.
+
+    Returns the statistics; with a journal the run writes its events.
+    """
     listing = cut_lineage(sources.fingerprints(corpus))
-    old = store.table("files")
-    work = cut_lineage(sources.changed(listing, old, force).select("path"))
-    gone = cut_lineage(sources.stale(old, listing).select("path"))
-    apply(store, corpus.join(work, "path", "left_semi"), work.unionByName(gone), options, diagnostics)
-    return _stats_of(store, listing, work)
+
+    def work() -> DataFrame:
+        old = store.table("files")
+        changed = cut_lineage(sources.changed(listing, old, force).select("path"))
+        gone = cut_lineage(sources.stale(old, listing).select("path"))
+        apply(store, corpus.join(changed, "path", "left_semi"), changed.unionByName(gone), options, diagnostics)
+        return changed
+
+    return record(journal, store, listing, work) if journal else _stats_of(store, listing, work())
 
 
 def update_named(store: GraphStore, corpus: DataFrame, paths: DataFrame, options: Options) -> DataFrame:
@@ -211,42 +227,3 @@ def coverage_summary(rows: DataFrame) -> DataFrame:
         total.alias("files"), parsed.alias("parsed"), (total - parsed).alias("failed"),
         F.when(total > 0, F.floor(parsed / total * 1000 + 0.5) / 10).alias("percent"),
     )
-
-
-def run_events(stats: DataFrame, rejected: DataFrame, workspace: str, first_id: int, now_ms: int, took_ms: int) -> DataFrame:
-    """The events an index run adds to the event log: start, one per file, end.
-
-    ``stats`` is ``file_stats`` of the run, ``rejected`` lists failed files ``(path, error)``. Ids follow the order of
-    the listing; they come from a sort and two-level numbering, not from one task.
-    """
-    spark = stats.sparkSession
-    files = stats.select("path", "entities", "edges", F.lit(None).cast("string").alias("error")).unionByName(
-        rejected.select("path", F.lit(None).cast("bigint").alias("entities"), F.lit(None).cast("bigint").alias("edges"), "error")
-    )
-    ordered = cut_lineage(
-        files.repartitionByRange(sources.listing_order("path")).sortWithinPartitions(sources.listing_order("path"))
-        .withColumn("_p", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    )
-    sizes = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition
-    before = sizes.selectExpr("_p", "sum(_n) OVER (ORDER BY _p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _before")
-    total = ordered.agg(F.count(F.lit(1)), F.coalesce(F.sum("entities"), F.lit(0)), F.coalesce(F.sum("edges"), F.lit(0)),
-                        F.count("error")).first()
-    numbered = ordered.join(before, "_p").withColumn("n", F.coalesce("_before", F.lit(0)) + F.col("_at"))
-    ts = F.timestamp_millis(F.lit(now_ms))
-    per_file = numbered.select(
-        (F.lit(first_id + 1) + F.col("n")).alias("id"), ts.alias("ts"),
-        F.when(F.col("error").isNull(), "index_file_done").otherwise("index_file_failed").alias("kind"),
-        F.col("path").alias("file"), (F.col("n") + 1).alias("index"), F.lit(total[0]).alias("total"), "entities", "edges", "error",
-    )
-    start = spark.range(1).select(
-        F.lit(first_id).alias("id"), ts.alias("ts"), F.lit("index_started").alias("kind"),
-        F.lit(workspace).alias("workspace"), F.lit(total[0]).alias("totalFiles"),
-    )
-    end = spark.range(1).select(
-        F.lit(first_id + 1 + total[0]).alias("id"), F.timestamp_millis(F.lit(now_ms + took_ms)).alias("ts"),
-        F.lit("index_done").alias("kind"), F.lit(workspace).alias("workspace"),
-        F.lit(total[0] - total[3]).alias("indexedFiles"), F.lit(0).alias("skippedFiles"), F.lit(total[1]).alias("totalEntities"),
-        F.lit(total[2]).alias("totalEdges"), F.lit(took_ms).alias("totalTimeMs"),
-    )
-    return conform(start, EVENTS).unionByName(conform(per_file, EVENTS)).unionByName(conform(end, EVENTS))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,24 @@ def read_corpus(spark: SparkSession, root: str, patterns: Sequence[str] = ()) ->
     return _texts(raw, root, patterns)
 
 
+def read_files(spark: SparkSession, root: str, paths: DataFrame, patterns: Sequence[str] = ()) -> DataFrame:
+    """Some files of a folder, by their paths relative to it; only these are opened. Meant for as many paths as one step takes.
+
+    A file that is no longer there is left out.
+    """
+    names = [r.path for r in paths.select("path").collect()]
+    if not names:
+        return spark.createDataFrame([], "path STRING, content STRING")
+    # a path is a pattern to the reader
+    plain = [f"{root.rstrip('/')}/" + re.sub(r"([\\{}\[\]*?])", r"\\\1", name) for name in names]
+    try:
+        return _texts(spark.read.format("binaryFile").load(plain), root, patterns)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return named_files(read_corpus(spark, root, patterns), paths)
+
+
 def stream_corpus(
     spark: SparkSession, root: str, patterns: Sequence[str] = (), files_per_batch: int = FILES_PER_BATCH
 ) -> DataFrame:

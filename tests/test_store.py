@@ -8,6 +8,7 @@ from st_files import FILES, MIXED, corpus
 from plcatlas.graph import Graph
 from plcatlas.plans import index_job
 from plcatlas.plans.index_job import Options
+from plcatlas.plans.run_log import Journal, record
 from plcatlas.sources import corpus as sources
 from plcatlas.sources import store as tables
 from plcatlas.sources.store import GraphStore
@@ -134,19 +135,111 @@ def test_remove_types_and_reset(spark):
     assert dict(records(gone))["types"] == 3
 
 
-def test_run_events(spark):
+def told(journal):
+    """Events without times, as ``(id, kind, file, index, entities, edges)``."""
+    return [tuple(r) for r in journal.events().orderBy("id").select("id", "kind", "file", "index", "entities", "edges").collect()]
+
+
+def test_jobs_write_their_events(spark, tmp_path):
     from plcatlas.operators import telemetry
 
-    graph = index_job.build(corpus(spark, ALL), Options(1)).graph
-    failed = spark.createDataFrame([("bad.st", "no unit")], "path STRING, error STRING")
-    events = index_job.run_events(index_job.file_stats(graph), failed, "ws", 100, 5000, 70)
-    ids = [r.id for r in events.orderBy("id").collect()]
-    assert ids == list(range(100, 110))
-    files = [r.file for r in events.filter("file is not null").orderBy("id").collect()]
-    assert files == sorted(list(ALL) + ["bad.st"])
-    run = telemetry.index_runs(events).first()
-    assert (run.workspace, run.total_files, run.indexed_files, run.failed, run.status, run.total_time_ms) == (
-        "ws", 8, 7, 1, "completed", 70)
+    ticks = iter(range(1000, 9000, 70))
+    journal = Journal(spark, str(tmp_path / "log"), "ws", lambda: next(ticks))
+    store = GraphStore(spark, str(tmp_path / "g"), buckets=4)
+    files = {**ALL, "open.st": "FUNCTION_BLOCK FB_Open\nVAR\nEND_VAR\n", "blank.st": " "}
+    stats = index_job.full_index(store, corpus(spark, files), Options(1), journal).first()
+    assert (stats.total_files, stats.indexed_files, stats.skipped_files) == (9, 8, 0)
+    events = told(journal)
+    assert [e[0] for e in events] == list(range(1, 21)) and events[0][1] == "index_started" and events[-1][1] == "index_done"
+    assert [(e[2], e[3]) for e in events[1:-1:2]] == [(e[2], e[3]) for e in events[2:-1:2]] == [(p, k + 1) for k, p in enumerate(sorted(files))]
+    graph = store.read()
+    want = {p: [0, 0] for p in files}
+    for df, k in ((graph.pous, 0), (graph.types, 0), (graph.relationships, 1)):
+        for r in df.collect():
+            want[r.file_path][k] += 1
+    ends = {e[2]: e for e in events if e[1] in ("index_file_done", "index_file_failed")}
+    assert {p for p, e in ends.items() if e[1] == "index_file_failed"} == {"open.st"}
+    assert {p: [e[4], e[5]] for p, e in ends.items() if p != "open.st"} == {p: v for p, v in want.items() if p != "open.st"}
+    assert ends["blank.st"][4:] == (0, 0) and ends["open.st"][4:] == (None, None)
+
+    same = index_job.update(store, corpus(spark, files), Options(1), journal=journal).first()
+    assert (same.total_files, same.indexed_files, same.skipped_files, same.total_entities) == (9, 0, 9, 0)
+    files["mixed.st"] += "\n"
+    files.pop("blank.st")
+    index_job.update(store, corpus(spark, files), Options(1), journal=journal)
+    last = told(journal)[22:]
+    assert [(e[0], e[1], e[2], e[3]) for e in last] == [
+        (23, "index_started", None, None), (24, "index_file_started", "mixed.st", 1), (25, "index_file_done", "mixed.st", 1), (26, "index_done", None, None)]
+    runs = records(telemetry.index_runs(journal.events()), "workspace", "total_files", "indexed_files", "skipped_files", "failed", "status", "total_time_ms")
+    assert runs == sorted([("ws", 9, 8, 0, 1, "completed", 70), ("ws", 9, 0, 9, 0, "completed", 70), ("ws", 8, 1, 7, 0, "completed", 70)])
+
+
+def test_a_run_that_breaks_says_so(spark, tmp_path):
+    journal = Journal(spark, str(tmp_path / "log"), "ws")
+    store = GraphStore(spark, str(tmp_path / "g"), buckets=4)
+
+    def broken():
+        raise RuntimeError("disk gone")
+
+    with pytest.raises(RuntimeError):
+        record(journal, store, corpus(spark, FILES).select("path"), broken)
+    assert [(r.id, r.kind, r.error) for r in journal.events().orderBy("id").collect()] == [(1, "index_started", None), (2, "index_failed", "disk gone")]
+    index_job.full_index(store, corpus(spark, FILES), Options(1), journal)
+    assert told(journal)[2][:2] == (3, "index_started")
+
+
+def write_sources(root, files):
+    for path, text in files.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+
+
+def test_catch_up_sees_edits_and_deletions(spark, tmp_path):
+    root, store = tmp_path / "src", GraphStore(spark, str(tmp_path / "g"), buckets=4)
+    files = {**ALL, "odd [1] {a}*.st": "PROGRAM Odd\nVAR m : FB_Motor; END_VAR\nEND_PROGRAM\n"}
+    write_sources(root, files)
+    first = ingest.catch_up_folder(spark, str(root), store, Options(1), files_per_step=3)
+    assert [r.step for r in first.orderBy("path").collect()] == [0, 0, 0, 1, 1, 1, 2, 2]
+    assert_same(store, spark, files)
+    version = store.version()
+    assert ingest.catch_up_folder(spark, str(root), store, Options(1)).isEmpty() and store.version() == version
+
+    # between two passes: an edit, a new file, a file that moved and one that is gone
+    files["plant/FB_Device.st"] = files["plant/FB_Device.st"].replace("FB_Device", "FB_Unit")
+    files["new/FB_Device.st"] = FILES["plant/FB_Device.st"]
+    files["moved/FB_Motor.st"] = files.pop("plant/FB_Motor.st")
+    files.pop("mixed.st")
+    (root / "plant" / "FB_Motor.st").unlink()
+    (root / "mixed.st").unlink()
+    write_sources(root, files)
+    work = ingest.catch_up_folder(spark, str(root), store, Options(1), files_per_step=2)
+    assert records(work, "path", "gone") == [
+        ("mixed.st", True), ("moved/FB_Motor.st", False), ("new/FB_Device.st", False), ("plant/FB_Device.st", False), ("plant/FB_Motor.st", True)]
+    assert_same(store, spark, files)
+
+
+def test_catch_up_goes_on_after_a_step_that_broke(spark, tmp_path):
+    store, calls = GraphStore(spark, str(tmp_path / "g"), buckets=4), []
+
+    def read(paths):
+        calls.append(sorted(r.path for r in paths.collect()))
+        if len(calls) == 2:
+            raise OSError("lost")
+        return sources.named_files(corpus(spark, ALL), paths)
+
+    with pytest.raises(OSError):
+        ingest.catch_up(store, corpus(spark, ALL), Options(1), 3, read)
+    assert store.read().files.count() == 3
+    ingest.catch_up(store, corpus(spark, ALL), Options(1), 3, read)
+    assert calls[0] == sorted(ALL)[:3] and calls[2] == sorted(ALL)[3:6] and calls[3] == sorted(ALL)[6:]
+    assert_same(store, spark, ALL)
+
+
+def test_a_file_that_vanished_is_left_out(spark, tmp_path):
+    write_sources(tmp_path, {"a.st": "PROGRAM A\nEND_PROGRAM\n"})
+    paths = spark.createDataFrame([("a.st",), ("gone.st",)], "path STRING")
+    assert records(sources.read_files(spark, str(tmp_path), paths), "path") == [("a.st",)]
+    assert sources.read_files(spark, str(tmp_path), paths.limit(0)).isEmpty()
 
 
 def test_excluded_takes_whole_segments(spark):
