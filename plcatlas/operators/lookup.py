@@ -205,12 +205,13 @@ def file_entities(
 
 
 def entity_snippets(
-    graph: Graph, corpus: DataFrame, context: int = 5, kinds: tuple[str, ...] = ("POU", "TYPE"), page_rows: int = 1000
+    graph: Graph, corpus: DataFrame, context: int = 5, kinds: tuple[str, ...] = ("POU", "TYPE"), page_rows: int = 1000,
+    names: DataFrame | str | None = None,
 ) -> DataFrame:
-    """Source lines ``start-context .. end+context`` of every entity, kept inside the file.
+    """Source lines ``start-context .. end+context`` of every entity, or of the named ones, kept inside the file.
 
-    Entities meet their file as lists, so a file's text is joined and split once per list and not once per entity.
-    Entities of a file outside the corpus keep a line saying so.
+    Entities meet their file as lists, so a file's text is joined and split once per list and not once per entity; texts
+    of files without a wanted entity are not split. Entities of a file outside the corpus keep a line saying so.
     """
     shape = lambda df, kind, type_column: df.select(
         F.lit(kind).alias("kind"), "id", "name", F.col(type_column).alias("type"), "file_path",
@@ -218,10 +219,12 @@ def entity_snippets(
     )
     entities = shape(graph.pous, "POU", "pou_type").unionByName(shape(graph.types, "TYPE", "type_kind"))
     entities = entities.filter(F.col("kind").isin(*kinds))
+    if names is not None:
+        entities = by_keys(entities, "name", names)
     lists = paged_lists(
         entities, ["file_path"], {"entities": F.struct("id", "name", "type", "line", "last")}, ["id"], page_rows
     )
-    texts = corpus.select(F.col("path").alias("file_path"), F.split("content", "\n").alias("lines"))
+    texts = corpus.select(F.col("path").alias("file_path"), "content")
 
     def cut(e: Column) -> Column:
         first = F.greatest(F.lit(1), e["line"] - context)
@@ -235,18 +238,21 @@ def entity_snippets(
             F.when(missing, e["last"]).otherwise(last).alias("last_line"), (~missing).alias("found"),
         )
 
-    cuts = lists.join(texts, "file_path", "left").select(
-        "file_path", F.explode(F.transform("entities", cut)).alias("e")
-    )
+    found = lists.join(texts, "file_path", "left").withColumn("lines", F.split("content", "\n"))
+    cuts = found.select("file_path", F.explode(F.transform("entities", cut)).alias("e"))
     return cuts.select("e.*", "file_path")
 
 
 def variable_flow(graph: Graph, pous: DataFrame | str | None = None, page_rows: int = LIST_ROWS) -> DataFrame:
     """Inputs, outputs and internals (VAR, VAR_TEMP, VAR_IN_OUT) of every unit, or of the named ones.
 
-    The counts are those of the unit and stand on each of its pages.
+    The counts are those of the unit and stand on each of its pages. Variables of other units than the named ones are
+    left out before anything is sorted.
     """
     units = graph.pous if pous is None else by_keys(graph.pous, "name", pous)
+    variables = graph.variables
+    if pous is not None:
+        variables = variables.join(units.select(F.col("id").alias("pou_id")), "pou_id", "left_semi")
     direction = F.col("direction")
     item = F.struct("name", "var_type", F.col("start_line").alias("line"), "id")
     inner = F.struct("name", "var_type", "direction", F.col("start_line").alias("line"), "id")
@@ -255,8 +261,8 @@ def variable_flow(graph: Graph, pous: DataFrame | str | None = None, page_rows:
         "outputs": F.when(direction == "VAR_OUTPUT", item),
         "internals": F.when(direction.isin("VAR", "VAR_TEMP", "VAR_IN_OUT"), inner),
     }
-    lists = paged_lists(graph.variables, ["pou_id"], items, ["id"], page_rows)
-    sizes = list_sizes(graph.variables, ["pou_id"], {f"_{name}": entry for name, entry in items.items()})
+    lists = paged_lists(variables, ["pou_id"], items, ["id"], page_rows)
+    sizes = list_sizes(variables, ["pou_id"], {f"_{name}": entry for name, entry in items.items()})
     joined = units.select("id", "name", "pou_type", "file_path").join(
         lists.join(sizes, "pou_id"), F.col("id") == F.col("pou_id"), "left"
     )
@@ -276,7 +282,7 @@ def state_machine_candidates(graph: Graph, name: str | None = None) -> DataFrame
 
 
 def entity_cards(graph: Graph, names: DataFrame | str | None = None, page_rows: int = LIST_ROWS) -> DataFrame:
-    """Unit or type with its variables, calls and callers; long lists continue on further pages."""
+    """Unit or type, or the named ones, with its variables, calls and callers; long lists continue on further pages."""
     entities = file_entities(graph, kinds=("POU", "TYPE"))
     if names is not None:
         entities = by_keys(entities, "name", names)
@@ -299,6 +305,8 @@ def entity_cards(graph: Graph, names: DataFrame | str | None = None, page_rows:
             )
         )
     )
+    if names is not None:
+        members = members.join(entities.select("id"), "id", "left_semi")
     lists = paged_lists(
         members, ["id"],
         {"variables": F.col("variable"), "calls": F.col("call"), "called_by": F.col("caller")},

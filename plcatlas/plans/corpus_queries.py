@@ -103,6 +103,25 @@ SELECT u.id, u.name, 'FUNCTION_BLOCK' AS type, CAST(2 AS INT) AS line, u.file_pa
              "corpus")
 
 
+# units that others call, by their names, and a twin of each in a file that is not there
+corpus_query("entity_snippets_of_called", lambda c: _called_snippets(c), f"""WITH {_PLACES},
+called AS (SELECT * FROM units WHERE name IN (SELECT callee FROM sites))
+SELECT u.id, CAST(1 AS INT) AS first_line, CAST(u.end_line + 1 AS INT) AS last_line, TRUE AS found, md5(c.content) AS source_hash
+FROM called u JOIN corpus c ON c.path = u.file_path
+UNION ALL SELECT concat('gone:', id), start_line, end_line, FALSE, NULL FROM called""", *ALL, "corpus")
+
+
+def _called_snippets(c):
+    from plcatlas.graph import Graph
+
+    facts = extract.extract(c)
+    units = extract.units(facts)
+    twins = units.withColumns({"id": F.concat(F.lit("gone:"), "id"), "file_path": F.concat(F.lit("gone/"), "file_path")})
+    graph = Graph(c.sparkSession, pous=units.unionByName(twins))
+    rows = lookup.entity_snippets(graph, c, context=5, names=extract.call_sites(facts).select("callee"))
+    return rows.select("id", "first_line", "last_line", "found", F.when(F.col("found"), F.md5("source")).alias("source_hash"))
+
+
 def _snippets(c):
     from plcatlas.graph import Graph
 

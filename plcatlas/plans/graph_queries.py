@@ -267,11 +267,26 @@ UNION ALL SELECT 'TYPE', id, name, type_kind, file_path, start_line FROM types
 UNION ALL SELECT 'VAR_GLOBAL', id, name, direction, file_path, start_line FROM variable_lists""",
             "pous", "types", "variable_lists")
 _LIST = "coalesce(string_agg({item}, ';' ORDER BY v.name, v.var_type) FILTER ({where}), '')"
-graph_query("variable_flow", lambda g: lookup.variable_flow(g).select(
-    "id", "name", "page", "input_count", "output_count", "internal_count",
-    F.coalesce(joined("inputs", "name", "var_type"), F.lit("")).alias("inputs"),
-    F.coalesce(joined("outputs", "name", "var_type"), F.lit("")).alias("outputs"),
-    F.coalesce(joined("internals", "name", "var_type", "direction"), F.lit("")).alias("internals")), f"""
+
+
+def flow(rows):
+    lists = {"inputs": ("name", "var_type"), "outputs": ("name", "var_type"), "internals": ("name", "var_type", "direction")}
+    texts = [F.coalesce(joined(c, *fields), F.lit("")).alias(c) for c, fields in lists.items()]
+    return rows.select("id", "name", "page", "input_count", "output_count", "internal_count", *texts)
+
+
+def cards(rows):
+    return rows.select("id", "name", "type", "page", *[F.array_join(c, ";").alias(c) for c in ("variables", "calls", "called_by")])
+
+
+def base_names(graph):
+    """Names of the units that others extend."""
+    extended = graph.relationships.filter("type = 'EXTENDS'").select(F.col("to_id").alias("id"))
+    return graph.pous.join(extended, "id", "left_semi").select("name")
+
+
+_BASES = "name IN (SELECT p.name FROM pous p JOIN relationships r ON r.to_id = p.id WHERE r.type = 'EXTENDS')"
+_FLOW_SQL = f"""
 SELECT p.id, p.name, 0 AS page, CAST(count(*) FILTER (v.direction = 'VAR_INPUT') AS INT) AS input_count,
  CAST(count(*) FILTER (v.direction = 'VAR_OUTPUT') AS INT) AS output_count,
  CAST(count(*) FILTER (v.direction IN ('VAR', 'VAR_TEMP', 'VAR_IN_OUT')) AS INT) AS internal_count,
@@ -279,7 +294,9 @@ SELECT p.id, p.name, 0 AS page, CAST(count(*) FILTER (v.direction = 'VAR_INPUT')
  {_LIST.format(item="v.name || ' ' || v.var_type", where="v.direction = 'VAR_OUTPUT'")} AS outputs,
  {_LIST.format(item="v.name || ' ' || v.var_type || ' ' || v.direction",
                where="v.direction IN ('VAR', 'VAR_TEMP', 'VAR_IN_OUT')")} AS internals
-FROM pous p LEFT JOIN variables v ON v.pou_id = p.id GROUP BY p.id, p.name""", "pous", "variables")
+FROM pous p LEFT JOIN variables v ON v.pou_id = p.id GROUP BY p.id, p.name"""
+graph_query("variable_flow", lambda g: flow(lookup.variable_flow(g)), _FLOW_SQL, "pous", "variables")
+graph_query("variable_flow_of_bases", lambda g: flow(lookup.variable_flow(g, base_names(g))), f"SELECT * FROM ({_FLOW_SQL}) WHERE {_BASES}", *GRAPH)
 _KINDS = {"inputs": "v.direction = 'VAR_INPUT'", "outputs": "v.direction = 'VAR_OUTPUT'",
           "internals": "v.direction IN ('VAR', 'VAR_TEMP', 'VAR_IN_OUT')"}
 graph_query("variable_flow_pages", lambda g: lookup.variable_flow(g, page_rows=1).select(
@@ -295,8 +312,7 @@ SELECT s.id, coalesce(v.page, 0) AS page, s.input_count, s.output_count, s.inter
 FROM sizes s LEFT JOIN ranked v ON v.pou_id = s.id GROUP BY ALL""", "pous", "variables")
 graph_query("state_machine_candidates", lookup.state_machine_candidates, """
 SELECT id, name, pou_type, file_path, start_line, end_line FROM pous WHERE pou_type IN ('FUNCTION_BLOCK', 'PROGRAM')""", "pous")
-graph_query("entity_cards", lambda g: lookup.entity_cards(g).select(
-    "id", "name", "type", "page", *[F.array_join(c, ";").alias(c) for c in ("variables", "calls", "called_by")]), """
+_CARDS_SQL = """
 SELECT n.id, n.name, n.type, 0 AS page, coalesce(v.l, '') AS variables, coalesce(o.l, '') AS calls,
  coalesce(i.l, '') AS called_by
 FROM (SELECT id, name, pou_type AS type FROM pous UNION ALL SELECT id, name, type_kind FROM types) n
@@ -305,7 +321,9 @@ LEFT JOIN (SELECT pou_id, string_agg(name || ' ' || direction || ' ' || var_type
 LEFT JOIN (SELECT from_id, string_agg(to_id, ';' ORDER BY to_id) AS l FROM relationships WHERE type = 'CALLS'
  GROUP BY from_id) o ON o.from_id = n.id
 LEFT JOIN (SELECT to_id, string_agg(from_id, ';' ORDER BY from_id) AS l FROM relationships WHERE type = 'CALLS'
- GROUP BY to_id) i ON i.to_id = n.id""", *GRAPH)
+ GROUP BY to_id) i ON i.to_id = n.id"""
+graph_query("entity_cards", lambda g: cards(lookup.entity_cards(g)), _CARDS_SQL, *GRAPH)
+graph_query("entity_cards_of_bases", lambda g: cards(lookup.entity_cards(g, base_names(g))), f"SELECT * FROM ({_CARDS_SQL}) WHERE {_BASES}", *GRAPH)
 
 # ---- joins ----
 _INSTANCES_SQL = """
