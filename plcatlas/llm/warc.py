@@ -29,6 +29,7 @@ from plcatlas.session import ensure_checkpoint_dir
 
 FILE_BYTES = 256 << 20
 RANGE_BYTES = 4 << 20
+MOST_TASKS = 100_000  # of a read; beyond it a task takes several ranges, one after the other
 PROBE = 1 << 14
 # Fixed values of the format.
 MAGIC = b"\x1f\x8b\x08"
@@ -183,7 +184,7 @@ def read_archives(files: DataFrame, with_payload: bool = True, range_bytes: int
         "path", F.explode(F.expr(f"sequence(0L, bytes - 1, {range_bytes}L)")).alias("start")
     ).withColumn("end", F.col("start") + range_bytes)
     # the rows are tiny and the work behind them isn't, so the number of tasks follows the bytes and not the rows
-    ranges = ranges.repartition(int(max(1, total)), "path", "start")
+    ranges = ranges.repartition(int(min(max(1, total), MOST_TASKS)), "path", "start")
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for path, start, end in zip(*(c.to_pylist() for c in b.columns)):

@@ -195,8 +195,9 @@ def test_mixture_caps(spark):
     assert got == {"a": 3.0, "b": pytest.approx(94.0), "c": 6.0, None: 0.0}
 
 
-@pytest.mark.parametrize("range_bytes", [300, warc.RANGE_BYTES])
-def test_warc(spark, rows, range_bytes):
+@pytest.mark.parametrize("range_bytes, tasks", [(300, warc.MOST_TASKS), (300, 3), (warc.RANGE_BYTES, warc.MOST_TASKS)])
+def test_warc(spark, rows, range_bytes, tasks, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_TASKS", tasks)
     pages = spark.createDataFrame([(i, None if i % 5 == 0 else f"http://x/{i}\r\n", t, 1) for i, t, *_ in rows] + [(None, None, "one", 1)], "page_id long, url string, html string, path long")
     files = warc.write_archives(pages.repartition(3), warc.shared_folder(spark, "warc"), file_bytes=20_000)
     got = warc.read_archives(files, range_bytes=range_bytes).collect()
