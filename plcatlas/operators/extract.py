@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plcatlas.functions.scanner import harvested, stripped
 from plcatlas.functions.standard import is_conversion, standard_names
+from plcatlas.session import cut_lineage
 
 NAME = r"[A-Za-z_]\w*"
 OUTER_KINDS = ("FUNCTION_BLOCK", "PROGRAM", "FUNCTION", "CLASS", "INTERFACE")
@@ -291,24 +292,25 @@ def extract(corpus: DataFrame) -> DataFrame:
 
 def units(facts: DataFrame, now_ms: int | None = None) -> DataFrame:
     """Declared units with end line and header clauses."""
-    by_line = W.partitionBy("path").orderBy("line", "part")
-    marks = facts.filter("unit_kind IS NOT NULL OR end_kind IS NOT NULL").select(
-        "path", "line", "part", "unit_kind", "unit_name", "end_kind", "parent", "pou_id"
-    )
     any_kind = F.coalesce("unit_kind", "end_kind")
     outer = any_kind.isin(*OUTER_KINDS)
     inner = any_kind.isin(*INNER_KINDS)
-    # the end belongs to the latest open unit of its level: the next mark of that level is looked at
-    following = F.struct("line", "end_kind")
-    outer_rows = marks.filter(outer).withColumn("next", F.lead(following).over(by_line)).filter("unit_kind IS NOT NULL")
-    inner_rows = marks.filter(outer | inner).withColumn("next", F.lead(following).over(by_line)).filter(
-        F.col("unit_kind").isin(*INNER_KINDS)
+    mark = F.struct("line", "end_kind")
+    marks = facts.filter("unit_kind IS NOT NULL OR end_kind IS NOT NULL OR heads IS NOT NULL").select(
+        "path", "line", "part", "unit_kind", "unit_name", "end_kind", "parent", "pou_id", "heads",
+        F.when(outer, mark).alias("_outer"), F.when(outer | inner, mark).alias("_any"),
     )
-    closes_inner = F.col("next.end_kind").isin(*INNER_KINDS)
-    closes_outer = F.col("next.end_kind").isin(*OUTER_KINDS)
-    rows = outer_rows.withColumn("end_line", F.when(closes_outer, F.col("next.line"))).unionByName(
-        inner_rows.withColumn("end_line", F.when(closes_inner, F.col("next.line")))
+    # the end belongs to the latest open unit of its level: the next mark of that level is looked at
+    following = lambda c: F.expr(f"lead({c}) IGNORE NULLS OVER (PARTITION BY path ORDER BY line, part)")
+    ended = F.when(outer, F.when(F.col("_next_outer.end_kind").isin(*OUTER_KINDS), F.col("_next_outer.line"))).when(
+        F.col("_next_any.end_kind").isin(*INNER_KINDS), F.col("_next_any.line")
     )
+    marks = marks.select("*", following("_outer").alias("_next_outer"), following("_any").alias("_next_any"))
+    # the few rows of units and headers are written, so the texts behind them are read once
+    marks = cut_lineage(marks.filter("unit_kind IS NOT NULL OR heads IS NOT NULL").select(
+        "path", "line", "part", "unit_kind", "unit_name", "parent", "pou_id", "heads", ended.alias("end_line")
+    ))
+    rows = marks.filter("unit_kind IS NOT NULL")
     now = F.lit(now_ms).cast("bigint")
     # a repeated declaration keeps its first place
     once = rows.groupBy(F.col("pou_id").alias("id")).agg(
@@ -318,7 +320,7 @@ def units(facts: DataFrame, now_ms: int | None = None) -> DataFrame:
         "id", F.col("u.unit_name").alias("name"), F.col("u.unit_kind").alias("pou_type"), F.col("u.path").alias("file_path"),
         F.col("u.line").alias("start_line"), F.col("u.end_line").alias("end_line"), F.col("u.parent").alias("namespace"),
     )
-    heads = clauses(facts).withColumnRenamed("path", "file_path")
+    heads = clauses(marks).withColumnRenamed("path", "file_path")
     return named.join(heads, ["file_path", "name"], "left").select(
         "id", "name", "pou_type", "file_path", "start_line", "end_line", "namespace", "extends", "implements",
         F.lit(None).cast("string").alias("signature"), now.alias("created_at"), now.alias("updated_at"),

@@ -11,6 +11,7 @@ from plcatlas.functions import text
 from plcatlas.operators import extract, lookup, resolve
 from plcatlas.plans import index_job
 from plcatlas.plans.registry import Registry
+from plcatlas.session import cut_lineage
 from plcatlas.sources import corpus as sources
 from plcatlas.sources import fixtures
 from plcatlas.sources import store as tables
@@ -74,7 +75,14 @@ corpus_query("attributed_calls", lambda c: _attributed(extract.extract(c)),
              f"WITH {_PLACES} SELECT path, line, callee, pou_id FROM sites", *ALL)
 
 
+def _written(facts):
+    """The facts of units and calls, written once for the tables that are read off them."""
+    columns = ("path", "line", "part", "unit_kind", "unit_name", "end_kind", "scope", "parent", "pou_id", "heads", "calls")
+    return cut_lineage(facts.filter("unit_kind IS NOT NULL OR end_kind IS NOT NULL OR heads IS NOT NULL OR size(calls) > 0").select(*columns))
+
+
 def _attributed(facts):
+    facts = _written(facts)
     sites = extract.call_sites(facts).select("path", "line", "callee")
     return extract.attribute_callers(sites, extract.units(facts))
 
@@ -113,7 +121,7 @@ UNION ALL SELECT concat('gone:', id), start_line, end_line, FALSE, NULL FROM cal
 def _called_snippets(c):
     from plcatlas.graph import Graph
 
-    facts = extract.extract(c)
+    facts = _written(extract.extract(c))
     units = extract.units(facts)
     twins = units.withColumns({"id": F.concat(F.lit("gone:"), "id"), "file_path": F.concat(F.lit("gone/"), "file_path")})
     graph = Graph(c.sparkSession, pous=units.unionByName(twins))
