@@ -39,6 +39,8 @@ SHINGLE = 4
 PERCENT = 85
 BLOCK = 24
 ROUNDS = 1
+# Fixed value: up to so many documents to compare, their ids go to the texts, and only their texts are shuffled.
+FEW = 1 << 17
 UNNUMBERED = 1 << 62
 GROWTH = 1.7
 LONE, PIVOT, MEMBER, SET = 0, 1, 2, 3
@@ -183,6 +185,11 @@ class Join:
     def __init__(self, texts: DataFrame, sketches: DataFrame, n: int, percent: int):
         self.texts, self.sketches, self.n, self.percent = texts, sketches, n, percent
 
+    def wanted(self, pairs: DataFrame) -> DataFrame:
+        """The texts of ``pairs``; where these are few, no other text is moved for them."""
+        nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        return self.texts.join(F.broadcast(nodes), "node", "left_semi") if nodes.count() <= FEW else self.texts
+
     def compare(self, pairs: DataFrame) -> DataFrame:
         """a, b, apart (Jaccard distance), linked, exactly, from both whole texts. Other columns of ``pairs`` are kept by joins of the caller."""
         n, percent = self.n, self.percent
@@ -202,9 +209,11 @@ class Join:
                 names=["a", "b", "apart", "linked"],
             )
 
-        left = self.texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        right = self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.select("a", "b").distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
+        pairs = written(pairs.select("a", "b").distinct())
+        texts = self.wanted(pairs)
+        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
         return written(map_batches(both, run, "a long, b long, apart double, linked boolean"))
 
 
