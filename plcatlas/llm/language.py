@@ -18,16 +18,14 @@ ties go to the language that comes first by code point; repeated rows are judged
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plcatlas.llm.common import map_batches
-from plcatlas.llm.words import hash_slices, mix, words_of
+from plcatlas.llm.words import hash_slices, mix, slices, words_of
 
 PER_LANGUAGE = 120
 SALTS = 64
@@ -285,20 +283,9 @@ def train(docs: DataFrame, eligible: str, id_column: str = "doc_id", text_column
     return fit([text for _, text in found], [lang for lang, _ in found])
 
 
-def slices(column: pa.Array) -> Iterator[pa.Array]:
-    """Runs of whole texts of at most ``SLICE_BYTES``; a longer text is a run of its own."""
-    until = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(column):
-        done = until[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(until, done + SLICE_BYTES, side="right")))
-        yield column.slice(at, end - at)
-        at = end
-
-
 def judge(column: pa.Array, model: Tagger | None) -> tuple[list[str], np.ndarray]:
     """Language and score of each text of a batch, a slice of it at a time."""
-    found = [judge_slice(part, model) for part in slices(column)]
+    found = [judge_slice(part, model) for part in slices(column, SLICE_BYTES)]
     return [x for lang, _ in found for x in lang], np.concatenate([np.zeros(0), *[share for _, share in found]])
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from plcatlas.llm.common import bounded_batches, map_batches, written
 from plcatlas.llm.components import components
 from plcatlas.llm.substring_dedup import runs, sorted_groups
-from plcatlas.llm.words import gram_hashes, mix, signed, words_of
+from plcatlas.llm.words import gram_hashes, mix, signed, slices, words_of
 
 SHINGLE = 4
 PERCENT = 85
@@ -43,6 +43,7 @@ ROUNDS = 1
 FEW = 1 << 17
 UNNUMBERED = 1 << 62
 GROWTH = 1.7
+SLICE_BYTES = 1 << 20
 LONE, PIVOT, MEMBER, SET = 0, 1, 2, 3
 PAIR, HOT = 4, 5
 ROW = "key long, node long, other long, n int, kind byte, sketch binary"
@@ -83,13 +84,14 @@ class Bands:
 
 
 def shingle_sets(column, n: int) -> list[np.ndarray]:
-    """The sorted distinct shingles of each text."""
-    words = words_of(column, lower=True)
-    hashes = words.hashes()
-    grams = gram_hashes(hashes, n)
+    """The sorted distinct shingles of each text; the words of a slice of the batch are held at a time."""
     out = []
-    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-        out.append(np.unique(grams[a : b - n + 1]) if b - a >= n else gram_hashes(hashes[a:b], b - a, 100 + b - a) if b > a else np.zeros(0, np.uint64))
+    for part in slices(column, SLICE_BYTES):
+        words = words_of(part, lower=True)
+        hashes = words.hashes()
+        grams = gram_hashes(hashes, n)
+        for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+            out.append(np.unique(grams[a : b - n + 1]) if b - a >= n else gram_hashes(hashes[a:b], b - a, 100 + b - a) if b > a else np.zeros(0, np.uint64))
     return out
 
 

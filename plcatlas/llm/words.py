@@ -6,9 +6,11 @@ Everything here is a bounded helper inside a task: it sees one Arrow batch and h
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 # The white space bytes that part words, 0x09 to 0x0D and 0x20.
@@ -21,6 +23,17 @@ MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 LONG_WORD = 64
 
 
+def slices(column: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Runs of whole texts of at most ``most`` bytes; a longer text is a run of its own."""
+    until = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        done = until[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(until, done + most, side="right")))
+        yield column.slice(at, end - at)
+        at = end
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads every bit of a 64-bit number over all others."""
     x = x ^ (x >> np.uint64(32))
