@@ -26,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plcatlas.llm.common import bounded_batches
+from plcatlas.llm.words import slices
 
 # Pieces whose ids a worker keeps, in each of two generations. Bounds its memory, never changes a result.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 100_000
 LONGEST_KEPT = 64
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 250_000
+# Texts of this size are encoded at a time; a worker holds the ids of a slice and not of a whole batch.
+SLICE_BYTES = 1 << 20
 
 
 def read_ranks(path: str) -> bytes:
@@ -180,6 +183,14 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def _ids(own: Codec, texts: pa.Array) -> pa.Array:
+    encoded = [own.encode(text.as_py() or "") for text in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in encoded])]).astype(np.int32)
+    # ids are far below 2^31, so their bytes are those of signed numbers too
+    ids = pa.array(np.frombuffer(b"".join(encoded), "<i4"))
+    return pa.ListArray.from_arrays(pa.array(offsets), ids)
+
+
 def encode(docs: DataFrame, rank_file: bytes, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and ids: an array of token ids for each row."""
     bounded_batches(docs.sparkSession)
@@ -187,10 +198,10 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, id_column: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(rank_file, pattern)
         for b in batches:
-            encoded = [own.encode(text or "") for text in b.column(1).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in encoded])]).astype(np.int32)
-            ids = pa.array(np.frombuffer(b"".join(encoded), "<u4").astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=["doc_id", "ids"])
+            at = 0
+            for part in slices(b.column(1), SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), _ids(own, part)], names=["doc_id", "ids"])
+                at += len(part)
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
