@@ -163,18 +163,32 @@ def impact_reach(graph: Graph, roots: DataFrame, max_depth: int = DEPENDENTS_DEP
 
 
 def _paths(first: DataFrame, later: DataFrame, max_depth: int) -> DataFrame:
-    level = cut_lineage(first.withColumn("visited", F.array("id")))
+    """Ends of paths without repeated units. A path that leaves a strong component never comes back to it, so a row remembers only what its
+    path has visited of the component it is in, and nothing outside of cycles: paths that differ in nothing else are one row.
+    """
+    later = later.filter("from_id <> to_id")
+    components = strong.strong_components(later.select("from_id", "to_id"))
+    large = components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
+    cyclic = cut_lineage(components.join(large, "component").select("node", "component"))
+    of = lambda end: cyclic.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    # stays: the edge remains within a component; cyclic: it leads to a unit that a path may come back to
+    later = cut_lineage(later.join(of("to_id"), "to_id", "left").join(of("from_id"), "from_id", "left").select(
+        "from_id", "to_id", "rel_type", F.coalesce(F.col("_from_id") == F.col("_to_id"), F.lit(False)).alias("stays"), F.col("_from_id").isNotNull().alias("cyclic")
+    ))
+    nothing = F.array().cast("array<string>")
+    begin = first.join(of("id"), "id", "left").select("root", "id", "rel_type", F.when(F.col("_id").isNotNull(), F.array("id")).otherwise(nothing).alias("visited"))
+    level = cut_lineage(begin)
     levels = [level.select("root", "id", "rel_type", F.lit(1).alias("depth"))]
     for depth in range(2, max_depth + 1):
-        frontier = level.select("root", F.col("id").alias("to_id"), "visited").distinct()
-        step = frontier.join(later, "to_id").filter(~F.array_contains("visited", F.col("from_id")))
-        level = cut_lineage(step.select(
-            "root", F.col("from_id").alias("id"), "rel_type", F.array_append("visited", F.col("from_id")).alias("visited")
-        ))
+        # rows are dealt by the unit they are at, once for both the distinct rows and the join
+        frontier = level.select("root", F.col("id").alias("to_id"), "visited").repartition("to_id").distinct()
+        step = frontier.join(later, "to_id").filter(~(F.col("stays") & F.array_contains("visited", F.col("from_id"))))
+        seen = F.when(F.col("stays"), F.array_append("visited", F.col("from_id"))).when(F.col("cyclic"), F.array("from_id")).otherwise(nothing)
+        level = cut_lineage(step.select("root", F.col("from_id").alias("id"), "rel_type", seen.alias("visited")))
         if level.isEmpty():
             break
         levels.append(level.select("root", "id", "rel_type", F.lit(depth).alias("depth")))
-    return _union(levels).distinct()
+    return _union(levels).repartition("id").distinct()
 
 
 def impact(
