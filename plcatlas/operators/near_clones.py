@@ -4,7 +4,7 @@ A unit's set holds the (name, type) pairs of its inputs, outputs and in-outs. Un
 Pairs of all sets stand in one global order, rarest first. Two sets that are similar enough share a pair among the first
 ``size - needed + 1`` of each, so only those prefixes are join keys, and what many units declare is at the end of that order and seldom in a
 prefix. Sizes are banded, places within the sets bound what two can still share, and the overlap of what is left is counted exactly.
-Sets stay in rows: none is ever a list.
+Sets stay in rows: none is ever a list. Classes and pairs go by numbers while they are compared, so what is shuffled most holds no texts.
 """
 
 from __future__ import annotations
@@ -55,16 +55,22 @@ def prefix_pairs(ranked: DataFrame, percent: int) -> DataFrame:
 
 def similar_classes(items: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Linked pairs of classes: ``a, b, shared``."""
-    tokens = items.join(known.filter("id = class_id").select("id", "class_id", "size"), "id").select("class_id", "size", F.struct("name", "type").alias("token"))
-    tokens = cut_lineage(tokens)
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets"))
+    number = F.monotonically_increasing_id()
+    # written before they are used: a number that is made again may be another one
+    numbers = cut_lineage(known.filter("id = class_id").select("class_id", "size", number.alias("no")))
+    tokens = items.join(numbers, items["id"] == numbers["class_id"]).select("no", "size", "name", "type")
+    common = cut_lineage(tokens.groupBy("name", "type").agg(F.count(F.lit(1)).alias("sets")).select("name", "type", "sets", number.alias("token")))
     rarest_first = Window.partitionBy("class_id").orderBy("sets", "token")
-    ranked = cut_lineage(tokens.join(common, "token").select("class_id", "size", "token", F.row_number().over(rarest_first).alias("place")))
+    tokens = tokens.join(common, ["name", "type"]).select(F.col("no").alias("class_id"), "size", "token", "sets")
+    ranked = cut_lineage(tokens.select("class_id", "size", "token", F.row_number().over(rarest_first).alias("place")))
     pairs = cut_lineage(prefix_pairs(ranked, percent))
     left = ranked.select(F.col("class_id").alias("a"), "token")
     right = ranked.select(F.col("class_id").alias("b"), "token")
     shared = pairs.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.filter(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))).select("a", "b", "shared")
+    linked = shared.filter(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared")))
+    name_of = lambda end: numbers.select(F.col("no").alias(end), F.col("class_id").alias(f"class_{end}"))
+    named = linked.join(name_of("a"), "a").join(name_of("b"), "b")
+    return named.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "shared")
 
 
 def near_clones(graph: Graph, percent: int = PERCENT, min_variables: int = 3) -> DataFrame:
